@@ -1 +1,104 @@
-"""x"""
+"""Time series, daily totals and comparisons."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import DIRTY, dirty_orders, load, query, r, rounded, sql_date_ms, sql_num
+from cellgrain.operators import timeseries
+from cellgrain.sources import business
+
+
+@query("time_series", "SELECT event_id AS _row_id, epoch_us(ts) // 1000 AS ms, value FROM events")
+def time_series(spark, sf):
+    df = load(spark, sf, "events").withColumnRenamed("event_id", "_row_id")
+    return timeseries.time_series(df, "ts", "value").drop("date_label")
+
+
+@query("time_series_dirty", f"""WITH {DIRTY} SELECT o_orderkey AS _row_id, {sql_date_ms("date_text")} AS ms, trim(date_text) AS date_label, {sql_num("price_text")} AS value
+FROM d WHERE {sql_date_ms("date_text")} IS NOT NULL""")
+def time_series_dirty(spark, sf):
+    df = dirty_orders(spark, sf).withColumnRenamed("o_orderkey", "_row_id")
+    return timeseries.time_series(df, "date_text", "price_text")
+
+
+@query("time_series_quality", f"""WITH {DIRTY}, p AS (SELECT {sql_date_ms("date_text")} AS ms, {sql_num("price_text")} AS v FROM d)
+SELECT count(ms) AS point_count, count(*) - count(ms) AS invalid_date_count, count(*) FILTER (ms IS NOT NULL AND v IS NULL) AS invalid_value_count,
+ count(ms) - count(DISTINCT ms) AS duplicate_count FROM p""")
+def time_series_quality(spark, sf):
+    df = dirty_orders(spark, sf).withColumnRenamed("o_orderkey", "_row_id")
+    return timeseries.time_series_quality(df, "date_text", "price_text")
+
+
+def _days(spark, sf):
+    """Daily totals of orders per priority as the source; some days are missing."""
+    c = F.col
+    df = load(spark, sf, "orders")
+    # every order has one to seven items, some weekends have no trade
+    return timeseries.daily_overview(
+        df.where(F.dayofmonth("o_orderdate") % 10 != 3), source=c("o_orderstatus"), day=c("o_orderdate"),
+        order_id=c("o_orderkey"), customer=c("o_custkey"), sales=c("o_totalprice"),
+        quantity=c("o_orderkey") % 7 + 1,
+    )
+
+
+_DAYS = """t AS (SELECT o_orderstatus AS source_system, cast(o_orderdate AS DATE) AS dt, sum(o_totalprice) AS total_sales, count(DISTINCT o_orderkey) AS total_orders,
+ count(DISTINCT o_custkey) AS total_customers, sum(o_orderkey % 7 + 1)::DOUBLE AS total_quantity, sum(o_totalprice) / count(DISTINCT o_orderkey) AS avg_order_value
+ FROM orders WHERE day(o_orderdate) % 10 <> 3 GROUP BY 1, 2)"""
+
+
+def _pct(m: str) -> str:
+    return f"({m} - nullif(prev_{m}, 0)) / nullif(prev_{m}, 0) * 100.0"
+
+
+_COMPARED = _DAYS + """, c AS (SELECT *, lag(dt) OVER w AS comparison_date, """ + ", ".join(
+    f"lag({m}) OVER w AS prev_{m}" for m in timeseries.DAY_MEASURES
+) + " FROM t WINDOW w AS (PARTITION BY source_system ORDER BY dt))"
+
+
+@query("daily_overview", f"WITH {_DAYS} SELECT source_system, cast(dt AS varchar) AS dt, {r('total_sales', 3)} AS total_sales, total_orders, total_customers, total_quantity, {r('avg_order_value', 3)} AS avg_order_value FROM t")
+def daily_overview(spark, sf):
+    got = _days(spark, sf).withColumn("dt", F.col("dt").cast("string"))
+    return rounded(got, "total_sales", "avg_order_value", digits=3)
+
+
+@query("prev_day_comparison", f"WITH {_COMPARED} SELECT source_system, cast(dt AS varchar) AS dt, cast(comparison_date AS varchar) AS comparison_date, comparison_date IS NOT NULL AS comparison_available, "
+       + ", ".join(f"{r(_pct(m), 3)} AS {m}_percent" for m in timeseries.DAY_MEASURES) + " FROM c")
+def prev_day_comparison(spark, sf):
+    got = timeseries.compare_previous_day(_days(spark, sf))
+    percents = [f"{m}_percent" for m in timeseries.DAY_MEASURES]
+    return rounded(got, *percents, digits=3).select(
+        "source_system", F.col("dt").cast("string").alias("dt"),
+        F.col("comparison_date").cast("string").alias("comparison_date"), "comparison_available", *percents,
+    )
+
+
+_LOSS = "CASE WHEN prev_total_sales IS NOT NULL THEN greatest(prev_total_sales - total_sales, 0.0) END"
+
+
+@query("change_decomposition", f"""WITH {_COMPARED} SELECT source_system, cast(dt AS varchar) AS dt, cast(comparison_date AS varchar) AS prev_dt, {r("total_sales", 3)} AS total_sales,
+ {r("prev_total_sales", 3)} AS prev_sales, {r(_pct("total_sales"), 3)} AS sales_change_pct, {r(_LOSS, 3)} AS sales_loss_amount, {r(_pct("total_orders"), 3)} AS orders_change_pct,
+ {r(_pct("total_customers"), 3)} AS customers_change_pct, {r(_pct("total_quantity"), 3)} AS quantity_change_pct, {r(_pct("avg_order_value"), 3)} AS aov_change_pct FROM c""")
+def change_decomposition(spark, sf):
+    got = timeseries.change_decomposition(timeseries.compare_previous_day(_days(spark, sf)))
+    return rounded(
+        got, "total_sales", "prev_sales", "sales_change_pct", "sales_loss_amount", "orders_change_pct",
+        "customers_change_pct", "quantity_change_pct", "aov_change_pct", digits=3,
+    ).withColumns({d: F.col(d).cast("string") for d in ("dt", "prev_dt")})
+
+
+@query("anomaly_summary", f"""WITH {_COMPARED} SELECT count(*) FILTER ({_pct("total_sales")} <= -80) AS high_count,
+ count(*) FILTER ({_pct("total_sales")} > -80 AND {_pct("total_sales")} <= -50) AS medium_count, {r(f"sum(coalesce({_LOSS}, 0))", 1)} AS total_loss FROM c""")
+def anomaly_summary(spark, sf):
+    compared = timeseries.compare_previous_day(_days(spark, sf))
+    p = F.col("total_sales_percent")
+    level = F.when(p <= -80, "HIGH").when(p <= -50, "MEDIUM")
+    got = timeseries.anomaly_summary(timeseries.change_decomposition(compared, level))
+    return rounded(got, "total_loss", digits=1)
+
+
+@query("business_table", f"""WITH {_DAYS} SELECT cast(dt AS varchar) AS 日期, cast(cast(floor(total_sales) AS BIGINT) AS varchar) AS 销售额, cast(total_orders AS varchar) AS 订单数,
+ cast(total_customers AS varchar) AS 客户数, cast(cast(total_quantity AS BIGINT) AS varchar) AS 销售数量, cast(cast(floor(avg_order_value) AS BIGINT) AS varchar) AS 平均客单价, source_system AS 数据来源 FROM t""")
+def business_table(spark, sf):
+    whole = {m: F.floor(m).cast("double") for m in ("total_sales", "avg_order_value")}
+    return business.business_table(_days(spark, sf).withColumns(whole))
