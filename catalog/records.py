@@ -1 +1,88 @@
-"""x"""
+"""Record lookup and locator analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import load, query, r, rounded
+from cellgrain.operators import lookup
+from cellgrain.plans import locator, profile
+
+
+@query("lookup_field", "SELECT c_custkey, c_name FROM customer WHERE lower(c_name) = 'customer#000000042'")
+def lookup_field(spark, sf):
+    # full-width letters and separators still find the record
+    return lookup.lookup(load(spark, sf, "customer"), "c_name", " ＣＵＳＴＯＭＥＲ#0000-00042 ").select("c_custkey", "c_name")
+
+
+@query("lookup_digits", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE cast(o_orderdate AS DATE) = DATE '1997-05-28'")
+def lookup_digits(spark, sf):
+    df = load(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return lookup.lookup(df, "day", "19970528", "time").select("o_orderkey", "day")
+
+
+@query("lookup_combo", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7")
+def lookup_combo(spark, sf):
+    got = lookup.lookup_combo(load(spark, sf, "customer"), {"c_mktsegment": "building", "c_nationkey": "７", "c_name": " "})
+    return got.select("c_custkey", "c_name")
+
+
+@query("lookup_many", """
+SELECT p_partkey, c_custkey FROM part JOIN customer ON c_custkey = p_partkey""")
+def lookup_many(spark, sf):
+    asked = load(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit("customer # "), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("query")
+    )
+    return lookup.lookup_many(load(spark, sf, "customer"), "c_name", asked).select("p_partkey", "c_custkey")
+
+
+@query("lookup_cascade", "SELECT c_custkey, 2 AS stage, 'c_mktsegment' AS stage_field FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def lookup_cascade(spark, sf):
+    got = lookup.lookup_cascade(
+        load(spark, sf, "customer"), "machinery", id_field="c_name",
+        candidates=[("c_mktsegment", "group")], others=["c_nationkey", "c_acctbal"],
+    )
+    return got.select("c_custkey", "stage", "stage_field")
+
+
+@query("fill_values", "SELECT c_custkey, c_acctbal, cast(c_nationkey AS DOUBLE) AS c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'note' ELSE '' END AS empty FROM customer WHERE c_mktsegment = 'BUILDING'")
+def fill_values(spark, sf):
+    df = lookup.lookup(load(spark, sf, "customer"), "c_mktsegment", "building").withColumn(
+        "note", F.when(F.col("c_custkey") % 2 == 1, F.lit("x"))
+    )
+    got = lookup.fill_values(df, ["c_acctbal", "c_nationkey", "note"])
+    return got.select("c_custkey", "c_acctbal", "c_nationkey", F.array_join("empty_fields", ",").alias("empty"))
+
+
+def _people(spark, sf):
+    """Customers under the headers of a class list."""
+    return load(spark, sf, "customer").select(
+        F.col("c_name").alias("学号"), F.col("c_mktsegment").alias("班级"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")).alias("日期"),
+        F.col("c_acctbal").alias("余额"), F.col("c_custkey").alias("key"),
+    )
+
+
+@query("locator_fields", f"""
+WITH n AS (SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS s, count(DISTINCT c_custkey % 28) AS d, count(DISTINCT c_acctbal) AS b, count(DISTINCT c_custkey) AS k,
+ count(*) FILTER (regexp_full_match(cast(c_custkey AS varchar), '[0-9A-Za-z][0-9A-Za-z._\\-]{{2,29}}')) AS code FROM customer)
+SELECT unnest([0, 1, 2, 4]) AS ordinal, unnest(['学号', '班级', '日期', 'key']) AS field, unnest(['student_id', 'class', 'time', 'key']) AS normalized_name,
+ unnest(['identifier', 'group', 'time', CASE WHEN code / n >= 0.5 THEN 'identifier' ELSE 'other' END]) AS semantic, unnest([{r("0.94", 2)}, CASE WHEN s / n <= 0.15 THEN {r("0.84", 2)} ELSE {r("0.84", 2)} END, {r("0.85", 2)}, CASE WHEN code / n >= 0.5 THEN {r("0.78", 2)} ELSE {r("0.2", 2)} END]) AS confidence,
+ n AS non_empty, unnest([n, s, d, k]) AS unique_count, unnest([{r("1.0", 2)}, {r("s / n", 2)}, {r("d / n", 2)}, {r("k / n", 2)}]) AS uniqueness,
+ unnest([true, true, true, code / n >= 0.5]) AS is_candidate FROM n""")
+def locator_fields(spark, sf):
+    counts = profile.column_counts(_people(spark, sf))
+    return rounded(locator.locator_fields(counts), "confidence", "uniqueness", digits=2).where("field <> '余额'").select(
+        "ordinal", "field", "normalized_name", "semantic", "confidence", "non_empty", "unique_count", "uniqueness",
+        "is_candidate",
+    )
+
+
+@query("locator_report", """
+WITH n AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS m FROM customer)
+SELECT unnest(['学号', '班级', '日期']) AS field, unnest(['identifier', 'group', 'time']) AS semantic, unnest([0, m, 0]) AS matched_count, unnest([true, false, false]) AS is_unique_field,
+ '学号' AS unique_field, '未识别出明显的标识/姓名/分组字段，请检查表头或数据。' AS suggestion FROM n""")
+def locator_report(spark, sf):
+    return locator.locator_report(_people(spark, sf).drop("余额", "key"), "building").select(
+        "field", "semantic", "matched_count", "is_unique_field", "unique_field", "suggestion"
+    )

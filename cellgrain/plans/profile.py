@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from cellgrain.functions import dates, numbers, text
 from cellgrain.functions.text import RE_ALL_DIGITS
-from cellgrain.operators.cells import KIND_NUMBER, kind_of, ref, text_of
+from cellgrain.operators.cells import kind_of, text_of
+from cellgrain.plans.rules import once
 
 # Texts longer than this are merged by a digest, so long documents are not shuffled.
 DIGEST_ABOVE = 200
@@ -172,7 +173,7 @@ def feature_types(
         )
         .otherwise(kind("invalid", F.lit(0.5), "unrecognised"))
     )
-    return counts.withColumn("_t", found).select(
+    return once(counts, _t=found).select(
         "ordinal", "field", c("_t.type").alias("feature_type"),
         c("_t.confidence").alias("confidence"), c("_t.reason").alias("reason"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrain.functions.text import trimmed
@@ -17,8 +17,20 @@ def header_key(field: Column) -> Column:
 
 def first_word(header: Column, words: Sequence[str]) -> Column:
     """The first listed word the header contains, else null."""
-    hits = [F.when(F.contains(header, F.lit(w.lower())), F.lit(w)) for w in words]
-    return F.coalesce(*hits, F.lit(None).cast("string"))
+    if not words:
+        return F.lit(None).cast("string")
+    listed = F.array(*[F.lit(w) for w in words])
+    return F.get(F.filter(listed, lambda w: F.contains(header, F.lower(w))), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out a single time per row.
+
+    Later expressions that use them several times see plain columns: a generator is
+    not merged into the projections above it.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
 
 
 @dataclass(frozen=True)

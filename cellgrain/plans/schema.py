@@ -99,9 +99,8 @@ def infer_schema(counts: DataFrame, word_boundary: bool = False) -> DataFrame:
         F.when(F.col("kind") == "time", _answer("datetime", "time", "neutral", src, "high", "typed column"))
         .when(F.col("kind") == "flag", _answer("boolean", "dimension", "neutral", src, "high", "typed column"))
     )
-    return shape.withColumn("_s", F.coalesce(typed, name_rule, structure)).select(
-        "ordinal", "field", "_s.*"
-    )
+    answered = rules.once(shape, _s=F.coalesce(typed, name_rule, structure))
+    return answered.select("ordinal", "field", "_s.*")
 
 
 def apply_template(schema: DataFrame, template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE,
