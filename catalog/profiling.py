@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import dirty_orders, load, query, r, rounded, sql_num, sql_text
+from cellgrain.functions.text import WHITESPACE
 from cellgrain.operators.cells import text_of
 from cellgrain.plans import legacy, overview, profile, schema
 from cellgrain.plans.rules import EDUCATION_TEMPLATE
@@ -54,9 +55,9 @@ def column_profile(spark, sf):
     )
 
 
-@query("document_profile", """
+@query("document_profile", f"""
 SELECT field, count(*) AS total, count(DISTINCT cell) AS unique_all, sum(length(cell))::BIGINT AS length, count(*) FILTER (length(cell) >= 50) AS long_text
-FROM (SELECT 'text' AS field, trim(text, E' \\t\\n\\r\\u000b\\u000c\\u00a0\\u1680\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff') AS cell FROM documents
+FROM (SELECT 'text' AS field, trim(text, '{WHITESPACE}') AS cell FROM documents
  UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY field""")
 def document_profile(spark, sf):
     got = profile.column_counts(load(spark, sf, "documents"), ["text", "lang", "source"])

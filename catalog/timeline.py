@@ -56,10 +56,10 @@ _COMPARED = _DAYS + """, c AS (SELECT *, lag(dt) OVER w AS comparison_date, """
 ) + " FROM t WINDOW w AS (PARTITION BY source_system ORDER BY dt))"
 
 
-@query("daily_overview", f"WITH {_DAYS} SELECT source_system, cast(dt AS varchar) AS dt, {r('total_sales', 3)} AS total_sales, total_orders, total_customers, total_quantity, {r('avg_order_value', 3)} AS avg_order_value FROM t")
+@query("daily_overview", f"WITH {_DAYS} SELECT source_system, cast(dt AS varchar) AS dt, {r('total_sales', 3)} AS total_sales, total_orders, total_customers, total_quantity, {r('avg_order_value', 6)} AS avg_order_value FROM t")
 def daily_overview(spark, sf):
     got = _days(spark, sf).withColumn("dt", F.col("dt").cast("string"))
-    return rounded(got, "total_sales", "avg_order_value", digits=3)
+    return rounded(rounded(got, "total_sales", digits=3), "avg_order_value", digits=6)
 
 
 @query("prev_day_comparison", f"WITH {_COMPARED} SELECT source_system, cast(dt AS varchar) AS dt, cast(comparison_date AS varchar) AS comparison_date, comparison_date IS NOT NULL AS comparison_available, "
@@ -88,13 +88,13 @@ def change_decomposition(spark, sf):
 
 
 @query("anomaly_summary", f"""WITH {_COMPARED} SELECT count(*) FILTER ({_pct("total_sales")} <= -80) AS high_count,
- count(*) FILTER ({_pct("total_sales")} > -80 AND {_pct("total_sales")} <= -50) AS medium_count, {r(f"sum(coalesce({_LOSS}, 0))", 1)} AS total_loss FROM c""")
+ count(*) FILTER ({_pct("total_sales")} > -80 AND {_pct("total_sales")} <= -50) AS medium_count, {r(f"sum(coalesce({_LOSS}, 0))", 2)} AS total_loss FROM c""")
 def anomaly_summary(spark, sf):
     compared = timeseries.compare_previous_day(_days(spark, sf))
     p = F.col("total_sales_percent")
     level = F.when(p <= -80, "HIGH").when(p <= -50, "MEDIUM")
     got = timeseries.anomaly_summary(timeseries.change_decomposition(compared, level))
-    return rounded(got, "total_loss", digits=1)
+    return rounded(got, "total_loss", digits=2)
 
 
 @query("business_table", f"""WITH {_DAYS} SELECT cast(dt AS varchar) AS 日期, cast(cast(floor(total_sales) AS BIGINT) AS varchar) AS 销售额, cast(total_orders AS varchar) AS 订单数,
