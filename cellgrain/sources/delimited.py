@@ -149,18 +149,18 @@ def read_csv(
     ``multi_line`` allows line breaks inside quotes, at the price of one task per
     file; switch it off for large files without such cells, which are then split.
     """
-    options = dict(
+    reader = spark.read.options(
         sep=",", quote='"', escape='"', multiLine=multi_line, encoding=encoding, mode="PERMISSIVE",
+        # the width check needs every cell, whatever is selected later
         columnPruning=False,
     )
     has_header = headers is None
     if headers is None:
-        headers = spark.read.csv(path, header=True, inferSchema=False, **options).columns
+        headers = reader.csv(path, header=True, inferSchema=False).columns
     names = clean_headers(headers)
     schema = ", ".join(f"`{c}` string" for c in [*names, "_corrupt"])
-    raw = spark.read.csv(
-        path, schema=schema, header=has_header, enforceSchema=True,
-        columnNameOfCorruptRecord="_corrupt", **options,
+    raw = reader.csv(
+        path, schema=schema, header=has_header, enforceSchema=True, columnNameOfCorruptRecord="_corrupt"
     )
     # Records of the wrong width arrive with their full text; only those are split again.
     typed = F.array(*[normalize_cell(F.col(f"`{c}`")) for c in names])
