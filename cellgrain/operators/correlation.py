@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +26,6 @@ PAIR_SCHEMA = (
     "pearson double, strength string, direction string, listed boolean"
 )
 
-# Pairs per aggregate: keeps the generated aggregation code within JVM method limits.
-PAIRS_PER_PASS = 64
-
 
 @dataclass(frozen=True)
 class CorrelationOptions:
@@ -44,46 +40,41 @@ def correlation_pairs(
 ) -> DataFrame:
     """Every unordered pair with r over rows where both sides are numbers.
 
-    Fewer than two such rows or a constant side give 0.  Each pass is one
-    map-side aggregate without grouping keys, so only one row per task is shuffled.
+    Fewer than two such rows or a constant side give 0.  One scan serves any number of
+    fields; each task shuffles one partial row per pair of columns.
     """
     numbers = df.select(*[number_of(df, f).alias(f) for f in fields])
-
-    def both(a: str, b: str) -> Column:
-        return ref(a).isNotNull() & ref(b).isNotNull()
-
-    frames = []
-    todo = list(combinations(range(len(fields)), 2))
-    for start in range(0, len(todo), PAIRS_PER_PASS):
-        block = todo[start:start + PAIRS_PER_PASS]
-        aggs = []
-        for k, (i, j) in enumerate(block):
-            a, b = ref(fields[i]), ref(fields[j])
-            ok = both(fields[i], fields[j])
-            aggs += [
-                F.covar_pop(a, b).alias(f"c{k}"),
-                F.var_pop(F.when(ok, a)).alias(f"x{k}"),
-                F.var_pop(F.when(ok, b)).alias(f"y{k}"),
-                F.count_if(ok).alias(f"n{k}"),
-            ]
-        rows = [
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.lit(fields[i]).alias("field_a"), F.lit(fields[j]).alias("field_b"),
-                F.col(f"n{k}").alias("valid_count"),
-                F.try_divide(
-                    F.col(f"c{k}"), F.sqrt(F.col(f"x{k}")) * F.sqrt(F.col(f"y{k}"))
-                ).alias("r"),
-            )
-            for k, (i, j) in enumerate(block)
-        ]
-        frames.append(numbers.agg(*aggs).select(F.inline(F.array(*rows))))
+    pairs = list(combinations(range(len(fields)), 2))
+    # a row fans out to its column pairs inside the task and is folded at once
+    cells = numbers.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            ref(fields[i]).alias("a"), ref(fields[j]).alias("b"),
+        )
+        for i, j in pairs
+    ])))
+    folded = cells.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("c"),
+        F.var_pop("a").alias("x"), F.var_pop("b").alias("y"),
+    )
+    # pairs without a single complete row still get a result
+    every = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            F.lit(fields[i]).alias("field_a"), F.lit(fields[j]).alias("field_b"),
+        )
+        for i, j in pairs
+    ])))
+    measured = every.join(F.broadcast(folded), ["i", "j"], "left").select(
+        "i", "j", "field_a", "field_b",
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("valid_count"),
+        F.try_divide(F.col("c"), F.sqrt("x") * F.sqrt("y")).alias("r"),
+    )
     r = F.when(
         F.col("valid_count") < 2, F.lit(0.0)
     ).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)))))
     return (
-        reduce(DataFrame.unionByName, frames)
-        .withColumn("r", F.when(F.isnan(r), F.lit(0.0)).otherwise(r))
+        measured.withColumn("r", F.when(F.isnan(r), F.lit(0.0)).otherwise(r))
         .select(
             "i", "j", "field_a", "field_b", "valid_count", "r",
             half_up(F.col("r"), 4).alias("pearson"),

@@ -15,10 +15,11 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellgrain.functions import numbers
 from cellgrain.functions.text import WHITESPACE, normalize_cell
-from cellgrain.operators.cells import kind_of, number_of, text_of
+from cellgrain.operators.cells import KIND_NUMBER, KIND_TEXT, kind_of, number_of, ref, text_of
 
 # Roles of older field metadata that always count as numbers.
 NUMERIC_ROLES = ("primaryTotal", "rank", "sectionTotal", "courseScore", "adjustment")
@@ -86,30 +87,60 @@ def migrate_condition(cond: Condition) -> Condition:
 
 
 def _empty_like(df: DataFrame, field: str) -> Column:
+    if kind_of(df, field) != KIND_TEXT:
+        return ref(field).isNull()
     return numbers.is_empty_like(text_of(df, field))
 
 
+# operator -> comparison
+_COMPARE = {
+    "gt": lambda c, x: c > x,
+    "lt": lambda c, x: c < x,
+    "gte": lambda c, x: c >= x,
+    "lte": lambda c, x: c <= x,
+    "equals": lambda c, x: c == x,
+}
+# for whole numbers: the same test against a whole literal
+_WHOLE_LIMIT = {"gt": math.floor, "lt": math.ceil, "gte": math.ceil, "lte": math.floor}
+
+
+def _typed_compare(df: DataFrame, field: str, operator: str, x: float) -> Column:
+    """A comparison on the bare column, which the file scan can evaluate itself."""
+    c = ref(field)
+    if isinstance(df.schema[field].dataType, T.IntegralType) and abs(x) < 2**62:
+        if operator == "equals":
+            return c == int(x) if x == int(x) else F.lit(False)
+        return _COMPARE[operator](c, int(_WHOLE_LIMIT[operator](x)))
+    hit = _COMPARE[operator](c, F.lit(x))
+    # NaN and the infinities are no numbers; NaN sorts above +infinity
+    if operator in ("gt", "gte"):
+        return hit & (c < F.lit(float("inf")))
+    if operator in ("lt", "lte"):
+        return hit & (c > F.lit(float("-inf")))
+    return hit
+
+
 def numeric_predicate(df: DataFrame, cond: Condition) -> Column:
     if cond.operator == "isEmpty":
         return _empty_like(df, cond.field)
     if cond.operator == "isNotEmpty":
         return ~_empty_like(df, cond.field)
+    typed = kind_of(df, cond.field) == KIND_NUMBER
     v = number_of(df, cond.field)
+
+    def compare(operator: str, x: float) -> Column:
+        return _typed_compare(df, cond.field, operator, x) if typed else _COMPARE[operator](v, x)
+
     if cond.operator == "between":
         bounds = between_bounds(cond)
-        hit = v.between(*bounds) if bounds else F.lit(False)
-    else:
+        hit = compare("gte", bounds[0]) & compare("lte", bounds[1]) if bounds else F.lit(False)
+    elif cond.operator in _COMPARE:
         x = literal_number(cond.value)
-        if cond.operator not in ("gt", "lt", "gte", "lte", "equals"):
-            # an unknown operator matches every numeric cell
-            hit = v.isNotNull()
-        elif x is None:
-            hit = F.lit(False)
-        else:
-            hit = {
-                "gt": v > x, "lt": v < x, "gte": v >= x, "lte": v <= x, "equals": v == x,
-            }[cond.operator]
-    return hit if kind_of(df, cond.field) == "number" else F.coalesce(hit, F.lit(False))
+        hit = F.lit(False) if x is None else compare(cond.operator, x)
+    else:
+        # an unknown operator matches every numeric cell
+        hit = v.isNotNull()
+    return hit if typed else F.coalesce(hit, F.lit(False))
 
 
 def text_predicate(df: DataFrame, cond: Condition) -> Column:
@@ -134,7 +165,7 @@ def predicate(df: DataFrame, conditions: Sequence[Condition], numeric_fields: Co
         numeric_predicate(df, c) if c.field in numeric_fields else text_predicate(df, c)
         for c in active
     ]
-    return reduce(and_, tests, F.lit(True))
+    return reduce(and_, tests) if tests else F.lit(True)
 
 
 def active_conditions(conditions: Sequence[Condition]) -> list[Condition]:
@@ -152,7 +183,7 @@ def filter_rows(
     if on_empty != "keep":
         return df.where(test)
     any_hit = df.agg(F.bool_or(test).alias("any")).scalar()
-    return df.where(test | ~F.coalesce(any_hit, F.lit(False)))
+    return df.where(F.coalesce(test, F.lit(False)) | ~F.coalesce(any_hit, F.lit(False)))
 
 
 def filter_summary(

@@ -357,3 +357,32 @@ def test_score_profiles(spark):
     assert (got[0]["field_count"], got[0]["advantages"], got[0]["weaknesses"]) == (2, "x,y", "y,x")
     assert got[0]["average_normalized"] == pytest.approx(85.0)
     assert got[1]["advantages"] is None
+
+
+@pytest.mark.parametrize("op, value, want", [
+    ("gt", "2.5", [3, 4]), ("gte", "3", [3, 4]), ("lt", "2.5", [1, 2]), ("lte", "2.5", [1, 2]), ("equals", "2.5", []),
+    ("equals", "3", [3]), ("gt", "1e30", []), ("lt", "1e30", [1, 2, 3, 4]), ("isEmpty", "", [None]), ("bogus", "", [1, 2, 3, 4]),
+])
+def test_conditions_on_whole_columns(spark, op, value, want):
+    df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "v bigint")
+    got = [r[0] for r in filters.filter_rows(df, [Condition("v", op, value)], {"v"}).collect()]
+    assert got == want
+
+
+def test_conditions_on_doubles_skip_nan_and_infinity(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (inf,), (-inf,), (None,)], "v double")
+
+    def found(*c):
+        return [r[0] for r in filters.filter_rows(df, [Condition("v", *c)], {"v"}).collect()]
+
+    assert found("gt", "0") == [1.0] and found("lt", "5") == [1.0] and found("between", "0,5") == [1.0]
+
+
+def test_typed_conditions_reach_the_scan(spark, tmp_path):
+    spark.range(10).select(F.col("id"), F.col("id").cast("double").alias("v"), F.lit("x").alias("unused")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    kept = filters.filter_rows(df, [Condition("v", "between", "2,5"), Condition("id", "gt", "2.5")], {"v", "id"}).select("id")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,2)" in plan and "LessThanOrEqual(v,5.0)" in plan and "unused" not in plan.split("ReadSchema")[1]
+    assert kept.count() == 3
