@@ -144,13 +144,15 @@ def axis_maximum(df: DataFrame, field: str) -> DataFrame:
     return df.agg(top.alias("axis_max")).select(F.lit(field).alias("field"), "axis_max")
 
 
-def _cumulative(df: DataFrame, field: str, rows: int | None) -> DataFrame:
+def _cumulative(df: DataFrame, field: str, rows: int | None, reread: bool = False) -> DataFrame:
     values = df.select(number_of(df, field).alias("value"))
     rows = ordering.count_rows(df, rows)
     limits = ordering.range_limits(values, F.col("value"), rows)
-    return ordering.cumulative_counts(
+    cum = ordering.cumulative_counts(
         ordering.value_counts(values, [], "value"), [], "value", limits
     )
+    # a large result that is read more than once is written once
+    return ordering.fixed(cum) if limits and reread else cum
 
 
 def cdf(df: DataFrame, field: str, *, rows: int | None = None) -> DataFrame:
@@ -170,7 +172,7 @@ def ranked_records(
     Ranks are worked out once per distinct value and joined back on the value;
     rows without a number get nulls.
     """
-    cum = _cumulative(df, field, rows)
+    cum = _cumulative(df, field, rows, reread=True)
     at_most = F.col("n_below") + F.col("n_equal")
     at_least = F.col("n_total") - F.col("n_below")
     if direction == "lower-is-better":

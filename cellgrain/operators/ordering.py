@@ -66,10 +66,31 @@ def value_counts(
     )
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """Write a frame once, so that later reads see the same rows in the same partitions.
+
+    Uses the session's ``spark.checkpoint.dir``; only a local session without one
+    gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="cellgrain-checkpoint-"))
+    return df.checkpoint()
+
+
 def cumulative_counts(
-    counts: DataFrame, keys: Sequence[str], value: str, limits: Sequence[float] = ()
+    counts: DataFrame, keys: Sequence[str], value: str, limits: Sequence[float] = (),
+    written: bool = False,
 ) -> DataFrame:
-    """Add ``n_below`` (rows with a smaller value) and ``n_total`` per key to value counts."""
+    """Add ``n_below`` (rows with a smaller value) and ``n_total`` per key to value counts.
+
+    With ``limits`` the counts are read twice, so they are written once first, unless
+    the caller says they are ``written`` already.
+    """
     keys = list(keys)
     if not limits:
         base = counts.withColumn("_range", F.lit(0))
@@ -80,7 +101,7 @@ def cumulative_counts(
             .withColumn("n_total", F.sum("n_equal").over(whole))
             .drop("_range")
         )
-    ranged = with_range(counts, value, limits)
+    ranged = with_range(counts if written else fixed(counts), value, limits)
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_n"))
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")
     every = W.partitionBy(*(keys or [F.lit(0)]))
@@ -121,6 +142,7 @@ def quantiles(
     *,
     aggs: Sequence[Column] = (),
     weight: str | None = None,
+    merged: bool = False,
     method: str = "exact",
     rows: int | None = None,
 ) -> DataFrame:
@@ -129,7 +151,8 @@ def quantiles(
     Null values take no part in the quantiles; every key of ``df`` is kept.
     A table above ``SINGLE_TASK_ROWS`` rows goes through value ranges, because the
     built-in ``percentile`` keeps all distinct values of a key in one task.
-    ``method='approx'`` swaps in the bounded sketch.  ``weight`` names a row-count column.
+    ``method='approx'`` swaps in the bounded sketch.  ``weight`` names a row-count column;
+    ``merged`` says that ``df`` holds one row per key and value and is cheap to read again.
     """
     keys = list(keys)
     grouping = keys or [F.lit(0).alias("_all")]
@@ -150,8 +173,13 @@ def quantiles(
             *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
         )
     limits = range_limits(df, F.col(value), rows)
-    counts = value_counts(df, keys, value, weight).withColumnRenamed(value, "_v")
-    ordered = cumulative_counts(counts, keys, "_v", limits)
+    if merged:
+        counts = df.where(F.col(value).isNotNull()).select(
+            *keys, F.col(value).alias("_v"), F.col(weight).alias("n_equal")
+        )
+    else:
+        counts = value_counts(df, keys, value, weight).withColumnRenamed(value, "_v")
+    ordered = cumulative_counts(counts, keys, "_v", limits, written=merged)
     found = ordered.groupBy(*grouping).agg(*_quantile_columns(names))
     if not aggs:
         head = df.select(*keys).distinct() if keys else None
@@ -203,22 +231,6 @@ def attach_by_value(
     )
 
 
-def _fixed(df: DataFrame) -> DataFrame:
-    """Write a frame once, so that later reads see the same rows in the same partitions.
-
-    Uses the session's ``spark.checkpoint.dir``; only a local session without one
-    gets a temporary folder.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="cellgrain-checkpoint-"))
-    return df.checkpoint()
-
-
 def row_numbers(
     df: DataFrame, order: Sequence[str], out: str = "_row_id", rows: int | None = None
 ) -> DataFrame:
@@ -235,7 +247,7 @@ def row_numbers(
     parts = max(2, min(MAX_RANGES, rows // ROWS_PER_RANGE + 1))
     keyed = df.withColumn("_tie", F.xxhash64(*df.columns))
     cols = [*order, "_tie"]
-    placed = _fixed(
+    placed = fixed(
         keyed.repartitionByRange(parts, *cols)
         .sortWithinPartitions(*cols)
         .withColumn("_at", F.monotonically_increasing_id())

@@ -191,6 +191,9 @@ def positions(
     )
     limits = ordering.range_limits(values, F.col("value"), rows)
     cum = ordering.cumulative_counts(counts, [], "value", limits).where("_asked > 0")
+    if limits:
+        # read twice below, so written once; it holds the asked values only
+        cum = ordering.fixed(cum)
     n_total = F.col("n_total")
     above = n_total - F.col("n_below") - F.col("n_equal")
     # Nothing at or below the input, or nothing at or above it: it lies outside the data.
