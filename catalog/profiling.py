@@ -303,6 +303,29 @@ def parse_report_fields(spark, sf):
     )
 
 
+@query("analysable_fields", f"WITH {_sql_schema('orders')} SELECT ordinal, field, role FROM i WHERE role = 'metric'")
+def analysable_fields(spark, sf):
+    counts = _counts(spark, sf, "orders")
+    return schema.analysable_fields(schema.resolve_schema(schema.infer_schema(counts)), counts)
+
+
+@query("fields_by_role", f"""WITH {_sql_schema('part')} SELECT CASE WHEN role IN ('metric', 'dimension', 'identifier', 'time', 'description') THEN role ELSE 'others' END AS role_group,
+ string_agg(field, ',' ORDER BY ordinal) AS fields FROM i GROUP BY 1""")
+def fields_by_role(spark, sf):
+    got = schema.fields_by_role(schema.resolve_schema(schema.infer_schema(_counts(spark, sf, "part"))))
+    return got.select("role_group", F.array_join("fields", ",").alias("fields"))
+
+
+@query("semantic_definitions", """
+WITH n AS (SELECT count(DISTINCT o_orderkey) = count(*) AS key FROM orders)
+SELECT unnest(['学号', '班级名次', '班级', '总分', '选科', '政策加分']) AS field, unnest(['entity', 'metric', 'dimension', 'metric', 'dimension', 'metric']) AS kind,
+ unnest([CASE WHEN key THEN 'id' ELSE 'identity' END, 'rank', 'group', 'total', 'category', 'adjustment']) AS type,
+ unnest([NULL, 'lower-is-better', NULL, 'higher-is-better', NULL, 'higher-is-better']) AS direction, unnest([key, NULL, NULL, NULL, NULL, NULL]) AS primary_key FROM n""")
+def semantic_definitions(spark, sf):
+    fields = legacy.classify_fields(profile.column_counts(_education(spark, sf)))
+    return legacy.semantic_definitions(fields).select("field", "kind", "type", "direction", "primary_key")
+
+
 # ---- overviews ------------------------------------------------------------------------------
 @query("dataset_overview", f"""WITH {_sql_types('events')}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS m, stddev_pop(value) AS sd FROM events),
 o AS (SELECT count(*) AS n FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), n AS (SELECT * FROM q, o)

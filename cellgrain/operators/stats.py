@@ -15,6 +15,9 @@ from cellgrain.operators import ordering
 from cellgrain.operators.cells import long_numbers, number_of, ref, text_of, time_ms_of
 from cellgrain.functions.text import is_blank, trimmed
 
+# Header words of rank columns.
+RANK_WORDS = ("名次", "排名", "位次")
+
 METRIC_QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q90": 0.9, "q95": 0.95}
 DIRECTIONAL = ("higher-is-better", "lower-is-better")
 
@@ -29,6 +32,11 @@ class Metric:
     recommended: bool = False
 
 
+def is_rank_field(name: str, role: str | None = None) -> bool:
+    """Whether smaller numbers are better, judged by role or header (known at plan time)."""
+    return role == "rank" or any(w in name.lower() for w in RANK_WORDS)
+
+
 def min_max(df: DataFrame, field: str) -> DataFrame:
     v = number_of(df, field)
     return df.agg(F.min(v).alias("min"), F.max(v).alias("max"))

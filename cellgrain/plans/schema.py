@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from cellgrain.operators.stats import Metric
 from cellgrain.plans import profile, rules
@@ -199,12 +200,58 @@ def dimension_candidates(resolved: DataFrame) -> DataFrame:
     return resolved.where(F.col("role").isin("dimension", "time")).select("ordinal", "field", "role")
 
 
-def analysable_fields(resolved: DataFrame, excluded_words: Sequence[str] = (), limit: int = 12) -> DataFrame:
-    """The first ``limit`` metric columns in table order (a shortlist for display)."""
-    keep = (F.col("role") == "metric") & ~F.col("ignored")
+def _allowed(excluded_words: Sequence[str]) -> Column:
+    keep = ~F.col("ignored")
     for word in excluded_words:
         keep = keep & ~F.contains("field", F.lit(word))
-    return resolved.where(keep).orderBy("ordinal").limit(limit).select("ordinal", "field", "role")
+    return keep
+
+
+def analysable_fields(
+    resolved: DataFrame, counts: DataFrame | None = None, excluded_words: Sequence[str] = ()
+) -> DataFrame:
+    """Metric columns; without any, the mostly numeric columns of a usable role.
+
+    ``counts`` (from ``column_counts``) is only needed for that fallback.
+    """
+    metrics = (F.col("role") == "metric") & _allowed(excluded_words)
+    if counts is None:
+        return resolved.where(metrics).select("ordinal", "field", "role")
+    blocked = F.col("role").isin("identifier", "time", "description", "ignored", "unspecified")
+    numeric = counts.select("field", (F.col("numeric") >= F.col("total") * 0.5).alias("_numeric"))
+    # one row per column of the table
+    any_metric = F.max(metrics).over(W.partitionBy(F.lit(0)))
+    return (
+        resolved.join(F.broadcast(numeric), "field")
+        .withColumn("_any", any_metric)
+        .where(metrics | (~F.col("_any") & ~blocked & F.col("_numeric") & _allowed(excluded_words)))
+        .select("ordinal", "field", "role")
+    )
+
+
+def default_shortlist(resolved: DataFrame, excluded_words: Sequence[str] = (), n: int = 12) -> DataFrame:
+    """The first n metric columns in table order, for a first display."""
+    return analysable_fields(resolved, None, excluded_words).orderBy("ordinal").limit(n)
+
+
+def fields_by_role(resolved: DataFrame) -> DataFrame:
+    """Column names per role, in table order; roles without a use are grouped as 'others'."""
+    known = F.col("role").isin("metric", "dimension", "identifier", "time", "description")
+    grouped = resolved.groupBy(F.when(known, F.col("role")).otherwise("others").alias("role_group"))
+    return grouped.agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("ordinal", "field"))), lambda s: s["field"]
+        ).alias("fields")
+    )
+
+
+def context_fallback(counts: DataFrame, field: str, n: int = 2) -> DataFrame:
+    """Context columns without a schema: mostly non-numeric columns first, in table order."""
+    numeric = profile.share("numeric", "total") >= 0.9
+    return (
+        counts.where(F.col("field") != field).orderBy(numeric, "ordinal").limit(n)
+        .select("ordinal", "field")
+    )
 
 
 def context_columns(resolved: DataFrame, field: str, n: int = 3) -> DataFrame:

@@ -77,7 +77,9 @@ def test_catalogue_and_context(table):
     assert cat.dimensions == ("地区", "日期", "是否付费") and cat.entities == (("订单号", False),)
     got = [r["field"] for r in schema.context_columns(resolved, "销售额").collect()]
     assert got == ["订单号", "日期", "地区"]
-    assert [r["field"] for r in schema.analysable_fields(resolved, ["成本"]).collect()] == ["销售额", "数量"]
+    assert [r["field"] for r in schema.default_shortlist(resolved, ["成本"]).collect()] == ["销售额", "数量"]
+    groups = {r["role_group"]: r["fields"] for r in schema.fields_by_role(resolved).collect()}
+    assert groups["metric"] == ["销售额", "成本", "数量"] and groups["description"] == ["备注"]
     flags = {r["field"]: (r["analysable"], r["evaluated"]) for r in schema.with_participation(resolved).collect()}
     assert flags["销售额"] == (True, True) and flags["备注"] == (False, False) and flags["成本"] == (True, False)
 
@@ -126,6 +128,13 @@ def test_legacy_fields(table):
     assert "非法/未命名字段" in r["warnings"]
     hidden = {r["field"]: r["hidden_reason"] for r in legacy.report_fields(fields).collect()}
     assert hidden["总分"] == "" and hidden["学号"] == "标识/身份字段，不参与数值分析"
+    assert legacy.analysable_fields(fields, show_all=True).count() == 9
+    assert {r["field"] for r in legacy.analysable_fields(fields).collect()} == {"总分", "班级排名", "数学"}
+    made = {r["field"]: r for r in legacy.semantic_definitions(fields).collect()}
+    assert (made["学号"]["kind"], made["学号"]["type"], made["学号"]["primary_key"]) == ("entity", "id", True)
+    assert (made["班级"]["kind"], made["班级"]["type"]) == ("dimension", "group")
+    assert (made["班级排名"]["direction"], made["政策加分"]["recommended"]) == ("lower-is-better", False)
+    assert "12_34" not in made
     mapped = {r["field"]: (r["data_type"], r["role"]) for r in legacy.to_schema(fields).collect()}
     assert mapped["班级"] == ("category", "dimension") and mapped["学号"] == ("identifier", "identifier")
     assert mapped["班级排名"] == ("number", "metric") and mapped["12_34"] == ("unknown", "ignored")
@@ -238,3 +247,18 @@ def test_business_table(spark):
     df = spark.createDataFrame([("2024-01-01", 10.0, 2, 1, 3, 5.25, "shop")], "dt string, total_sales double, total_orders int, total_customers int, total_quantity int, avg_order_value double, source_system string")
     assert tuple(business.business_table(df).first()) == ("2024-01-01", "10", "2", "1", "3", "5.25", "shop")
     assert business.business_warnings(df).count() == 0 and business.business_warnings(df.limit(0)).count() == 1
+
+
+def test_analysable_fallback_and_context(table):
+    df = table(["m", "c", "user_id"], [[str(i % 3), "ab"[i % 2], str(i)] for i in range(20)])
+    counts = profile.column_counts(df)
+    resolved = schema.resolve_schema(schema.infer_schema(counts), {"m": Override("category", "dimension")})
+    assert schema.analysable_fields(resolved).count() == 0
+    assert [r["field"] for r in schema.analysable_fields(resolved, counts).collect()] == ["m"]
+    assert [r["field"] for r in schema.context_fallback(counts, "user_id").collect()] == ["c", "m"]
+
+
+def test_rank_field_names():
+    from cellgrain.operators.stats import is_rank_field
+
+    assert is_rank_field("班级排名") and is_rank_field("x", "rank") and not is_rank_field("总分")
