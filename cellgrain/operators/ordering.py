@@ -120,20 +120,92 @@ def cumulative_counts(
     )
 
 
-def _quantile_columns(names: Mapping[str, float]) -> list[Column]:
-    """Linear interpolation at (n - 1) * q, read off a cumulative-count frame."""
+def _quantile_columns(names: Mapping[str, float], of: Column | None = None) -> list[Column]:
+    """Linear interpolation at (n - 1) * q, read off a cumulative-count frame.
+
+    ``of`` numbers the quantile a row was kept for, when rows differ per quantile.
+    """
     out = []
-    for name, q in names.items():
+    for i, (name, q) in enumerate(names.items()):
         pos = (F.col("n_total") - 1) * F.lit(float(q))
         base = F.floor(pos)
         v, lo, hi = F.col("_v"), F.col("n_below"), F.col("n_below") + F.col("n_equal")
-        low = F.max(F.when((lo <= base) & (base < hi), v))
-        high = F.max(F.when((lo <= base + 1) & (base + 1 < hi), v))
+        mine = F.lit(True) if of is None else of == i
+        low = F.max(F.when(mine & (lo <= base) & (base < hi), v))
+        high = F.max(F.when(mine & (lo <= base + 1) & (base + 1 < hi), v))
         rest = F.max(pos - base)
         out.append((low + rest * (F.coalesce(high, low) - low)).alias(name))
+        if of is not None:
+            whole = low.isNotNull() & (high.isNotNull() | (F.max(base) + 1 >= F.max("n_total")))
+            out.append(whole.alias(f"_ok_{i}"))
     return out
 
 
+# The quantile sketch is asked for ranks this far (as a share of the rows) to both
+# sides of the wanted one: four times its own error bound.
+SKETCH_ACCURACY = 10_000
+BRACKET = 4 / SKETCH_ACCURACY
+# Keys with fewer numbers keep all of them.
+WHOLE_KEY_ROWS = SKETCH_ACCURACY // 2
+# Most keys whose brackets are sent to every task.
+MAX_BRACKET_KEYS = 100_000
+
+
+def _narrowed_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]
+) -> DataFrame | None:
+    """Exact quantiles from the few values near each wanted rank, or None if that fails.
+
+    A sketch per key brackets each rank.  The second scan counts the values below
+    every bracket (one merged row) and keeps the distinct values inside it, so only
+    about a thousandth of the column is shuffled.  The result is used only if every
+    rank was found inside its bracket.
+    """
+    keys = list(keys)
+    at = [min(1.0, max(0.0, q + d)) for q in names.values() for d in (-BRACKET, BRACKET)]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, (F.col(value) + F.lit(0.0)).alias("_v")
+    )
+    if not keys:
+        keys, rows = ["_all"], rows.withColumn("_all", F.lit(0))
+    brackets = fixed(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_total"),
+        F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("_b"),
+    ))
+    if brackets.count() > MAX_BRACKET_KEYS:
+        return None
+    few = F.col("n_total") <= WHOLE_KEY_ROWS
+    inf = F.lit(float("inf"))
+    kept = []
+    for i in range(len(names)):
+        low = F.when(few, -inf).otherwise(F.col("_b")[2 * i])
+        high = F.when(few, inf).otherwise(F.col("_b")[2 * i + 1])
+        inside = F.when(F.col("_v") >= low, F.col("_v"))
+        kept.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("_i"), inside.alias("_v"))))
+    # at most MAX_BRACKET_KEYS rows
+    near = rows.join(F.broadcast(brackets), keys).select(
+        *keys, F.inline(F.filter(F.array(*kept), lambda s: s.isNotNull()))
+    )
+    counts = fixed(near.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("n_equal")))
+    below = counts.where("_v IS NULL").select(*keys, "_i", F.col("n_equal").alias("_before"))
+    values = counts.where("_v IS NOT NULL")
+    limits = range_limits(values, F.col("_v"), values.count())
+    # one row per key and quantile on the small sides
+    placed = (
+        cumulative_counts(values, [*keys, "_i"], "_v", limits, written=True).drop("n_total")
+        .join(F.broadcast(below), [*keys, "_i"], "left")
+        .join(F.broadcast(brackets.select(*keys, "n_total")), keys)
+        .withColumn("n_below", F.col("n_below") + F.coalesce("_before", F.lit(0)))
+    )
+    found = fixed(placed.groupBy(*keys).agg(*_quantile_columns(names, F.col("_i"))))
+    sound = F.lit(True)
+    for i in range(len(names)):
+        sound = sound & F.col(f"_ok_{i}")
+    if not found.where(~sound).isEmpty():
+        return None
+    return found.select(*keys, *names)
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -149,8 +221,9 @@ def quantiles(
     """Exact interpolated quantiles per key, with further aggregates ``aggs`` of the same rows.
 
     Null values take no part in the quantiles; every key of ``df`` is kept.
-    A table above ``SINGLE_TASK_ROWS`` rows goes through value ranges, because the
-    built-in ``percentile`` keeps all distinct values of a key in one task.
+    A table above ``SINGLE_TASK_ROWS`` rows does not use the built-in ``percentile``,
+    which keeps all distinct values of a key in one task: the wanted ranks are
+    bracketed, or else all value ranges are counted through.
     ``method='approx'`` swaps in the bounded sketch.  ``weight`` names a row-count column;
     ``merged`` says that ``df`` holds one row per key and value and is cheap to read again.
     """
@@ -172,6 +245,20 @@ def quantiles(
             *[F.col(f"`{c}`") for c in plain],
             *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
         )
+    found = None if weight else _narrowed_quantiles(df, keys, value, names)
+    if found is None:
+        found = _ranged_quantiles(df, keys, value, names, weight, merged, rows)
+    if not aggs:
+        return df.select(*keys).distinct().join(found, keys, "left") if keys else found.drop("_all")
+    others = df.groupBy(*grouping).agg(*aggs)
+    return others.join(found, keys or ["_all"], "left").drop("_all")
+
+
+def _ranged_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float],
+    weight: str | None, merged: bool, rows: int,
+) -> DataFrame:
+    """Exact quantiles by counting through all value ranges; works for any number of keys."""
     limits = range_limits(df, F.col(value), rows)
     if merged:
         counts = df.where(F.col(value).isNotNull()).select(
@@ -180,13 +267,7 @@ def quantiles(
     else:
         counts = value_counts(df, keys, value, weight).withColumnRenamed(value, "_v")
     ordered = cumulative_counts(counts, keys, "_v", limits, written=merged)
-    found = ordered.groupBy(*grouping).agg(*_quantile_columns(names))
-    if not aggs:
-        head = df.select(*keys).distinct() if keys else None
-        return head.join(found, keys, "left") if keys else found.drop("_all")
-    others = df.groupBy(*grouping).agg(*aggs)
-    on = keys or ["_all"]
-    return others.join(found, on, "left").drop("_all")
+    return ordered.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(*_quantile_columns(names))
 
 
 # A value held by more than 1/HOT_SHARE of the rows counts as hot, so there are

@@ -115,3 +115,37 @@ def test_outliers_agree_on_both_paths(skewed, monkeypatch):
     monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
     monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 100)
     assert small and ids() == small
+
+
+def test_brackets_and_ranges_agree_with_numpy(spark, monkeypatch):
+    """Keys above and below the whole-key limit, a hot value, far outliers."""
+    monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 5000)
+    i = F.col("id")
+    v = (
+        F.when(i % 3 == 0, 5.0).when(i % 1001 == 0, 1e12)
+        .otherwise(F.exp(F.pmod(F.xxhash64(i), F.lit(100000)) / 20000.0))
+    )
+    df = spark.range(30000).select(F.when(i % 10 < 9, "big").otherwise("small").alias("k"), v.alias("v"))
+    names = {"q0": 0.0, "q1": 0.25, "q2": 0.4, "q5": 0.5, "q95": 0.95, "q100": 1.0}
+    want = {k: list(np.quantile(x, list(names.values()))) for k, x in _by_key(df).items()}
+    near = ordering._narrowed_quantiles(df, ["k"], "v", names)
+    assert near is not None
+    through = ordering._ranged_quantiles(df, ["k"], "v", names, None, False, 30000)
+    for got in (near, through, ordering.quantiles(df, ["k"], "v", names)):
+        rows = {r["k"]: [r[n] for n in names] for r in got.collect()}
+        assert rows == {k: pytest.approx(x) for k, x in want.items()}
+
+
+def test_too_many_keys_or_a_missed_rank_use_the_ranges(spark, skewed, large_path, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_BRACKET_KEYS", 1)
+    assert ordering._narrowed_quantiles(skewed, ["k"], "v", {"m": 0.5}) is None
+    got = {r["k"]: r["m"] for r in ordering.quantiles(skewed, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {k: pytest.approx(float(np.median(x))) for k, x in _by_key(skewed).items()}
+    monkeypatch.setattr(ordering, "MAX_BRACKET_KEYS", 100)
+    monkeypatch.setattr(ordering, "WHOLE_KEY_ROWS", 0)
+    monkeypatch.setattr(ordering, "BRACKET", 0.0)
+    # brackets without width lose the upper neighbour of an interpolated rank
+    wide = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    assert ordering._narrowed_quantiles(wide, [], "v", {"m": 0.5}) is None
+    assert ordering.quantiles(wide, [], "v", {"m": 0.5}).first()[0] == 499.5
