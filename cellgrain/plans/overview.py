@@ -18,7 +18,7 @@ HIGH_MISSING = 0.3
 
 def _types(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
     """Column counts and the feature type of each column (one row per column on the driver)."""
-    counts = profile.column_counts(df, fields)
+    counts = profile.kept_small(profile.column_counts(df, fields))
     types = {r["field"]: r["feature_type"] for r in profile.feature_types(counts).collect()}
     return counts, types
 

@@ -193,8 +193,16 @@ def structure_features(counts: DataFrame) -> DataFrame:
     )
 
 
-def content_features(counts: DataFrame) -> DataFrame:
-    """Ratios plus the value pattern that older field metadata uses."""
+def kept_small(frame: DataFrame) -> DataFrame:
+    """A frame of one row per column, brought to the driver once and used as local data.
+
+    Later steps then start from these rows instead of scanning the table again.
+    """
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+
+
+def content_columns() -> list[Column]:
+    """Ratios, range and value pattern as expressions over column counts."""
     numeric = share("numeric", "total")
     pattern = (
         F.when(F.col("total") == 0, "unknown")
@@ -209,28 +217,35 @@ def content_features(counts: DataFrame) -> DataFrame:
         )
         .otherwise("unknown")
     )
-    return counts.select(
-        "ordinal", "field",
+    return [
         numeric.alias("numeric_ratio"),
         share("integer", "numeric").alias("integer_ratio"),
         share(F.col("numeric") - F.col("integer"), "numeric").alias("decimal_ratio"),
         share("unique_all", "total").alias("unique_ratio"),
-        "min", "max", "mean",
+        *map(F.col, ("min", "max", "mean")),
         share("length", "total").alias("avg_length"),
         pattern.alias("value_pattern"),
-    )
+    ]
 
 
-def value_status_counts(counts: DataFrame) -> DataFrame:
-    """Valid, empty and invalid cells per column; text = empty + invalid."""
+def content_features(counts: DataFrame) -> DataFrame:
+    """Ratios plus the value pattern that older field metadata uses."""
+    return counts.select("ordinal", "field", *content_columns())
+
+
+def value_status_columns() -> list[Column]:
     rest = F.col("total") - F.col("numeric")
-    return counts.select(
-        "ordinal", "field",
+    return [
         F.col("numeric").alias("valid_count"),
         F.col("empty_like").alias("empty_count"),
         (rest - F.col("empty_like")).alias("invalid_count"),
         rest.alias("text_count"),
-    )
+    ]
+
+
+def value_status_counts(counts: DataFrame) -> DataFrame:
+    """Valid, empty and invalid cells per column; text = empty + invalid."""
+    return counts.select("ordinal", "field", *value_status_columns())
 
 
 def field_statistics(counts: DataFrame) -> DataFrame:
