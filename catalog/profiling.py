@@ -200,7 +200,7 @@ SELECT unnest(['学号', '班级名次', '班级', '总分', '选科', '政策
  unnest(['identifier', 'metric', 'dimension', 'metric', 'dimension', 'metric']) AS role, unnest(['neutral', 'lower_is_better', 'neutral', 'higher_is_better', 'neutral', 'higher_is_better']) AS direction,
  'template' AS source, unnest([a, b, c, d, e, f]) AS unique_filled FROM n""")
 def template_rules(spark, sf):
-    counts = profile.column_counts(_education(spark, sf))
+    counts = profile.kept_small(profile.column_counts(_education(spark, sf)))
     resolved = schema.resolve_schema(schema.infer_schema(counts), template=EDUCATION_TEMPLATE)
     return resolved.join(counts.select("field", "unique_filled"), "field").select(
         "field", "data_type", "role", "direction", "source", "unique_filled"
@@ -270,7 +270,7 @@ def analytic_scores_numeric_heavy(spark, sf):
 @query("recommended_fields", """
 SELECT 1 AS position, '总分' AS field, 'primaryTotal' AS role, 1 AS priority, count(*) AS cells FROM orders UNION ALL SELECT 2, '班级名次', 'rank', 2, count(*) FROM orders""")
 def recommended_fields(spark, sf):
-    counts = profile.column_counts(_education(spark, sf))
+    counts = profile.kept_small(profile.column_counts(_education(spark, sf)))
     got = legacy.recommended_fields(legacy.classify_fields(counts))
     return got.join(counts.select("field", F.col("total").alias("cells")), "field").select(
         "position", "field", "role", "priority", "cells"
@@ -305,7 +305,7 @@ def parse_report_fields(spark, sf):
 
 @query("analysable_fields", f"WITH {_sql_schema('orders')} SELECT ordinal, field, role FROM i WHERE role = 'metric'")
 def analysable_fields(spark, sf):
-    counts = _counts(spark, sf, "orders")
+    counts = profile.kept_small(_counts(spark, sf, "orders"))
     return schema.analysable_fields(schema.resolve_schema(schema.infer_schema(counts)), counts)
 
 

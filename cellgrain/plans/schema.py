@@ -104,9 +104,8 @@ def infer_schema(counts: DataFrame, word_boundary: bool = False) -> DataFrame:
     return answered.select("ordinal", "field", "_s.*")
 
 
-def apply_template(schema: DataFrame, template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE,
-                   name: str = "教育模板") -> DataFrame:
-    """Template answers for the columns whose header matches; other columns give no row."""
+def template_answer(template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE, name: str = "教育模板") -> Column:
+    """What the template says about a header (column ``field``), null without a match."""
     h = header_key(F.col("field"))
     options = []
     for rule in template:
@@ -122,10 +121,13 @@ def apply_template(schema: DataFrame, template: Sequence[NameRule] = rules.EDUCA
             grouping = _answer("category", "dimension", "neutral", "template", "high", why("分组维度"))
             answer = F.when(hit.isin(*rules.EDU_GROUPING_WORDS), grouping).otherwise(answer)
         options.append(F.when(hit.isNotNull(), answer))
-    return (
-        schema.select("ordinal", "field", F.coalesce(*options).alias("_s"))
-        .where("_s IS NOT NULL").select("ordinal", "field", "_s.*")
-    )
+    return F.coalesce(*options)
+
+
+def apply_template(schema: DataFrame, template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE) -> DataFrame:
+    """Template answers for the columns whose header matches; other columns give no row."""
+    answered = rules.once(schema.select("ordinal", "field"), _s=template_answer(template))
+    return answered.where("_s IS NOT NULL").select("ordinal", "field", "_s.*")
 
 
 def template_matches(fields: DataFrame, template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE) -> DataFrame:
@@ -168,7 +170,8 @@ def resolve_schema(
         out = out.join(F.broadcast(packed(legacy, "_legacy")), "field", "left")
         ranked.append(F.col("_legacy"))
     if template is not None:
-        out = out.join(F.broadcast(packed(apply_template(inferred, template), "_template")), "field", "left")
+        # header rules need no data, so they are added to the same rows
+        out = rules.once(out, _template=template_answer(template))
         ranked.insert(0, F.col("_template"))
     nothing = _answer("unknown", "unspecified", "unspecified", "structure", "unknown", "无法推断字段模式")
     base = F.coalesce(*ranked, nothing)
@@ -186,7 +189,7 @@ def resolve_schema(
             F.lit("high").alias("confidence"), F.array(why).alias("reasons"),
         )
         chosen = F.when(F.col("field") == field, mine).otherwise(chosen)
-    return out.select("ordinal", "field", chosen.alias("_s")).select("ordinal", "field", "_s.*")
+    return rules.once(out, _s=chosen).select("ordinal", "field", "_s.*")
 
 
 def with_participation(resolved: DataFrame) -> DataFrame:
