@@ -34,6 +34,20 @@ def _instant(text: Column) -> Column:
     return F.unix_millis(zoned.try_cast("timestamp"))
 
 
+def wall_clock_ms(c: Column) -> Column:
+    """Epoch milliseconds of a zone-less timestamp read as UTC."""
+    return (
+        F.unix_date(c.cast("date")).cast("bigint") * F.lit(_DAY_MS)
+        + (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1000
+        + F.floor(F.extract(F.lit("SECOND"), c) * 1000).cast("bigint")
+    )
+
+
+def day_text(ms: Column) -> Column:
+    """The UTC day of an epoch-millisecond value as yyyy-MM-dd."""
+    return F.date_from_unix_date(F.floor(ms / F.lit(_DAY_MS)).cast("int")).cast("string")
+
+
 def parse_date_ms(c: Column) -> Column:
     """Epoch milliseconds of ``Y-M-D``, ``Y/M/D`` or an ISO-8601 date-time, else null."""
     t = trimmed(c)

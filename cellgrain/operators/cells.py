@@ -71,6 +71,8 @@ def time_ms_of(df: DataFrame, name: str, wide: bool = False) -> Column:
     if kind_of(df, name) == KIND_TIME:
         if isinstance(df.schema[name].dataType, T.DateType):
             return F.unix_date(c).cast("bigint") * F.lit(86_400_000)
+        if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+            return dates.wall_clock_ms(c)
         return F.unix_millis(c.cast("timestamp"))
     t = text_of(df, name)
     return dates.temporal_ms(t) if wide else dates.parse_date_ms(t)

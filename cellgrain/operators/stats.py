@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cellgrain.functions import labels
+from cellgrain.functions import dates, labels
 from cellgrain.functions.numbers import half_up
 from cellgrain.operators import ordering
 from cellgrain.operators.cells import long_numbers, number_of, ref, text_of, time_ms_of
@@ -324,8 +324,8 @@ def time_range(df: DataFrame, field: str) -> DataFrame:
         F.max(ms).alias("max_ms"),
     ).select(
         F.lit(field).alias("field"), "*",
-        F.date_format(F.to_date(F.timestamp_millis("min_ms")), "yyyy-MM-dd").alias("min_date"),
-        F.date_format(F.to_date(F.timestamp_millis("max_ms")), "yyyy-MM-dd").alias("max_date"),
+        dates.day_text(F.col("min_ms")).alias("min_date"),
+        dates.day_text(F.col("max_ms")).alias("max_date"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrain.functions import dates
 from cellgrain.operators import ordering
 from cellgrain.operators.cells import time_ms_of
 from cellgrain.operators.outliers import outlier_status, plain_outliers
@@ -121,7 +122,6 @@ def dataset_profile(
     out = df.sparkSession.createDataFrame([], schema)
     for frame in frames:
         out = out.unionByName(frame)
-    ms = F.timestamp_millis(F.col("min").cast("bigint")), F.timestamp_millis(F.col("max").cast("bigint"))
     insight = (
         F.when(
             F.col("feature_type") == "categorical",
@@ -129,7 +129,7 @@ def dataset_profile(
         )
         .when(
             F.col("feature_type") == "temporal",
-            F.concat(F.lit("时间范围 "), F.date_format(ms[0], "yyyy-MM-dd"), F.lit(" 到 "), F.date_format(ms[1], "yyyy-MM-dd")),
+            F.concat(F.lit("时间范围 "), dates.day_text(F.col("min")), F.lit(" 到 "), dates.day_text(F.col("max"))),
         )
         .otherwise(F.concat(F.col("valid_count").cast("string"), F.lit(" 个有效值")))
     )

@@ -70,3 +70,15 @@ def test_labels(spark):
     assert [tuple(r) for r in got] == [("auto-exclude", "extremeLow"), ("mark", "extremeHigh"), ("keep", "extremeHigh")]
     p = spark.createDataFrame([(90.0,), (75.0,), (25.0,), (10.0,), (9.9,)], "p double")
     assert [r[0] for r in p.select(labels.tier(F.col("p"))).collect()] == ["top10", "top25", "middle", "bottom25", "bottom10"]
+
+
+def test_zone_less_times_do_not_depend_on_the_session_zone(spark):
+    from cellgrain.operators.stats import time_range
+
+    df = spark.sql("SELECT timestamp_ntz'2024-01-30 23:26:16.2209' AS ts UNION ALL SELECT timestamp_ntz'1969-12-31 23:59:59.5'")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = time_range(df, "ts").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (r["min_ms"], r["max_ms"], r["min_date"], r["max_date"]) == (-500, 1706657176220, "1969-12-31", "2024-01-30")
