@@ -67,9 +67,24 @@ def on_row_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join on ``_id`` and ``_text_hash``; a null id meets a null id. The right side's key columns go."""
     right = right.withColumnsRenamed({"_id": "_right_id", "_text_hash": "_right_hash"})
     held = (F.col("_id").eqNullSafe(F.col("_right_id"))) & (F.col("_text_hash") == F.col("_right_hash"))
-    return left.join(right, held, how).drop("_right_id", "_right_hash")
+    return left.join(right, held, how).drop("_right_id", "_right_hash")  # absent after a semi or anti join
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, whatever else a table brings along."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as ``_row``, so that no name can clash with an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*(F.col(f"`{c}`").alias(c) for c in others)) if others else F.lit(None).cast("int")
+    return docs.select("doc_id", "text", row.alias("_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    """The columns of ``docs`` in their order, and ``added`` ones in place of any of the same name."""
+    own = [c for c in docs.columns if c not in added]
+    return df.select(*(
+        F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in own
+    ), *added)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrain.llm.common import BLANK_CHARS, load, on_row_key, only, query, row_key, settle
+from cellgrain.llm.common import BLANK_CHARS, load, on_row_key, only, packed, query, row_key, settle, unpacked
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,13 +28,12 @@ def line_key(line: Column) -> Column:
 
 
 def _hashed(lines: Column, min_chars: int) -> Column:
-    def one(line: Column) -> Column:
-        key = line_key(line)
+    def one(key: Column) -> Column:
         return F.when(
             F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
         )
 
-    return F.transform(lines, one)
+    return F.transform(F.transform(lines, line_key), one)  # the key is made once, then used three times
 
 
 def frequent_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
@@ -62,7 +61,7 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) ->
         .groupBy("_id", "_text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     )
     key_id, key_hash = row_key()
-    keyed = docs.withColumns({"_id": key_id, "_text_hash": key_hash})
+    keyed = packed(docs).withColumns({"_id": key_id, "_text_hash": key_hash})
     joined = on_row_key(keyed, marks, "left").withColumns({
         "_lines": lines_of(F.col("text")), "_drop": F.coalesce("_drop", F.array().cast("array<int>")),
     })
@@ -72,14 +71,14 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) ->
         F.slice(F.col("_cuts"), F.lit(1), F.size("_cuts") - 1),
         lambda at, i: F.slice(F.col("_lines"), at + 2, F.get(F.col("_cuts"), i + 1) - at - 1),
     ))
-    return (
+    out = (
         joined.withColumn("_cuts", cuts)
         .withColumns({
             "text": F.when(F.size("_drop") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
             "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size("_drop").cast("long"),
         })
-        .drop("_id", "_text_hash", "_lines", "_drop", "_cuts")
     )
+    return unpacked(out, docs, "n_lines", "n_dropped")
 
 
 SQL = f"""
