@@ -2,8 +2,9 @@
 
 Every rule looks at counted features of the whole text and votes 1 (good), 0 (bad) or null (abstains). How often
 each rule is right for good and for bad documents is estimated by expectation-maximisation over the table of
-vote patterns, which has at most 3 ** rules rows at any corpus size. A document is kept where its posterior
-probability of being good reaches the threshold and it passes the base test. No labels are used.
+vote patterns, which has at most 3 ** rules rows at any corpus size; abstaining counts as an outcome of its own.
+A document is kept where its posterior probability of being good reaches the threshold and it passes the base
+test. No labels are used.
 
 DataFrame functions only. The texts are read once: the features are written to the shared folder, patterns and
 verdicts come from there.
@@ -73,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     return df.withColumns({
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "word_chars": _count_of(text, f"^{BLANK}"),
+        "word_chars": F.length(F.regexp_replace(text, f"[{BLANK}]+", "")).cast("long"),
         "n_symbols": _count_of(text, r"#*$%&|<>"),
         "n_upper": _count_of(text, r"\p{Lu}"),
         "n_letters": _count_of(text, r"\p{L}"),
@@ -98,10 +99,11 @@ def rules() -> dict[str, Column]:
         "length": _vote(n >= 50, n < 10),
         "word_length": _vote(F.col("word_chars").between(3 * n, 12 * n), ~F.col("word_chars").between(2 * n, 20 * n)),
         "symbols": _vote(50 * F.col("n_symbols") <= n, 5 * F.col("n_symbols") > n),
+        "dense_symbols": _vote(10 * F.col("n_symbols") <= n, F.col("n_symbols") > n),
         "capitals": _vote(10 * F.col("n_upper") <= letters, 3 * F.col("n_upper") > letters),
         "shouting": _vote(50 * F.col("n_shouts") <= n, 10 * F.col("n_shouts") > n),
         "tables": _vote(50 * F.col("n_bars") <= n, 10 * F.col("n_bars") > n),
-        "repeated_lines": _vote(10 * F.col("n_dup_lines") <= lines, 10 * F.col("n_dup_lines") > 3 * lines),
+        "repeated_lines": _vote(10 * F.col("n_dup_lines") <= lines, 2 * F.col("n_dup_lines") > lines),
         "repeated_words": _vote(20 * F.col("n_repeat_words") <= n, 5 * F.col("n_repeat_words") > n),
         "closed_lines": _vote(10 * F.col("n_closed_lines") >= 7 * lines, 10 * F.col("n_closed_lines") < 3 * lines),
     }
@@ -109,16 +111,22 @@ def rules() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents, and for each rule how often its vote is right for good and for bad ones."""
+    """Share of good documents, and each rule's chance of voting good or bad on good and on bad documents.
+
+    ``chances[rule]`` is ((good | good, bad | good), (good | bad, bad | bad)); the rest is abstaining.
+    """
 
     prior: float
-    right: dict[str, tuple[float, float]]
+    chances: dict[str, tuple[tuple[float, float], tuple[float, float]]]
 
     def log_odds(self) -> Column:
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (good, bad) in self.right.items():
+        for name, (good, bad) in self.chances.items():
             vote = F.col(f"_vote_{name}")
-            total = total + F.when(vote == 1, math.log(good / (1 - bad))).when(vote == 0, math.log((1 - good) / bad)).otherwise(0.0)
+            said = [math.log(good[k] / bad[k]) for k in (0, 1)]
+            total = total + F.when(vote == 1, said[0]).when(vote == 0, said[1]).otherwise(
+                math.log((1 - sum(good)) / (1 - sum(bad)))
+            )
         return total
 
     def posterior(self) -> Column:
@@ -129,43 +137,44 @@ def votes(df: DataFrame) -> DataFrame:
     return df.withColumns({f"_vote_{name}": vote for name, vote in rules().items()})
 
 
-def fit(featured: DataFrame, rounds: int = 12, start: float = 0.8, prior: float = 0.8) -> LabelModel:
+def fit(featured: DataFrame, rounds: int = 20) -> LabelModel:
     """Expectation-maximisation over the counted vote patterns of all rows of ``featured``.
 
-    A rule is held to be right more often than not (0.55 to 0.99), which keeps good and bad from changing
-    places, and the prior between 0.05 and 0.95. Each round is one small aggregate over the pattern table.
+    Junk comes in kinds, and each rule knows one or two of them. So a bad document need not be seen by most rules:
+    the start takes a pattern with one bad vote for bad with 0.7, one with more with 0.95, one without any with
+    0.05. A rule's bad vote is held to speak against a document (at least four times as likely on bad ones), which
+    keeps the two classes from changing places. Each round is one small aggregate over the pattern table.
     """
     names = list(rules())
     columns = [f"_vote_{n}" for n in names]
     patterns = settle(votes(featured).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
     # at most 3 ** rules rows: one task sums them in one order, so a rerun gives the same numbers
     patterns = patterns.coalesce(1).sortWithinPartitions(*columns)
-    model = LabelModel(prior, {n: (start, start) for n in names})
-
-    def held(x: float, low: float, high: float) -> float:
-        return round(min(max(x, low), high), 9)
-
+    against = sum((F.coalesce((F.col(c) == 0).cast("int"), F.lit(0)) for c in columns), F.lit(0))
+    p_good: Column = F.when(against == 0, 0.95).when(against == 1, 0.3).otherwise(0.05)
+    model = LabelModel(0.9, {n: ((0.9, 0.01), (0.6, 0.3)) for n in names})
     for _ in range(rounds):
-        good = F.col("n") * F.col("_p")
-        bad = F.col("n") * (1 - F.col("_p"))
-        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
+        good, bad = F.col("n") * F.col("_p"), F.col("n") * (1 - F.col("_p"))
+        sums = [F.sum("n").alias("n"), F.sum(good).alias("good"), F.sum(bad).alias("bad")]
         for name in names:
             vote = F.col(f"_vote_{name}")
             sums += [
-                F.sum(F.when(vote == 1, good)).alias(f"gg_{name}"), F.sum(F.when(vote.isNotNull(), good)).alias(f"g_{name}"),
-                F.sum(F.when(vote == 0, bad)).alias(f"bb_{name}"), F.sum(F.when(vote.isNotNull(), bad)).alias(f"b_{name}"),
+                F.sum(F.when(vote == v, weight)).alias(f"{k}{v}_{name}")
+                for k, weight in (("g", good), ("b", bad)) for v in (0, 1)
             ]
-        row = patterns.withColumn("_p", model.posterior()).agg(*sums).first()
+        row = patterns.withColumn("_p", p_good).agg(*sums).first()
         if not row["n"]:
             return model
-        # one pseudo-vote at the starting accuracy, so that a rule nobody could judge keeps it
-        model = LabelModel(held(row["good"] / row["n"], 0.05, 0.95), {
-            name: tuple(
-                held(((row[f"{k}{k}_{name}"] or 0.0) + start) / ((row[f"{k}_{name}"] or 0.0) + 1), 0.55, 0.99)
-                for k in ("g", "b")
-            )
-            for name in names
-        })
+        # pseudo-votes spread over the three outcomes, so that no chance is 0
+        share = lambda k, v, name: ((row[f"{k}{v}_{name}"] or 0.0) + 0.1) / (row["good" if k == "g" else "bad"] + 0.3)
+        chances = {}
+        for name in names:
+            good_pair = share("g", 1, name), min(share("g", 0, name), 0.2)
+            bad_pair = share("b", 1, name), max(share("b", 0, name), 4 * good_pair[1])
+            over = max(1.0, sum(bad_pair) / 0.999)
+            chances[name] = tuple(round(x, 9) for x in good_pair), tuple(round(x / over, 9) for x in bad_pair)
+        model = LabelModel(round(min(max(row["good"] / row["n"], 0.3), 0.99), 9), chances)
+        p_good = model.posterior()
     return model
 
 
