@@ -1,4 +1,4 @@
 """Operators for training-data pipelines. Importing the package registers their queries."""
 
-from cellgrain.llm import chat, decontamination, line_dedup, near_dedup, quality, sharding, substring_dedup, warc  # noqa: F401
+from cellgrain.llm import chat, decontamination, line_dedup, near_dedup, quality, sharding, substring_dedup, token_counts, warc  # noqa: F401
 from cellgrain.llm.common import ORACLES, QUERIES  # noqa: F401
