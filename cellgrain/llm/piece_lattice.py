@@ -38,13 +38,16 @@ from cellgrain.llm.wordhash import U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Words a worker remembers (about 150 bytes each); when it is full it starts anew.
-CACHE = 300_000
+CACHE = 400_000
 #: Words of more characters are folded one by one.
 LONG = 48
+#: Low bits of a hash by which most substrings are seen not to be pieces.
+_FILTER = (1 << 18) - 1
 _MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15
-#: Blanks before letters, before ASCII marks and digits, or alone; one control character.
-_WORD = r" *[^\x00-\x40\x5B-\x60\x7B-\x7F]+| *[\x21-\x40\x5B-\x60\x7B-\x7E]+| +|[\x00-\x1F\x7F]"
+#: Blanks before letters, before anything else, or alone. Where a table's pieces don't fit, texts are cut at blanks only.
+_FORMS = "²³¹¼-¾"  # of Latin-1; Python counts them as word characters
+_WORD = rf" *[^\W\d_{_FORMS}]+| *(?:[^\w ]|[\d_{_FORMS}])+| +"
 _AT_BLANKS = r" *[^ ]+| +"
 
 
@@ -57,7 +60,7 @@ class Model:
     byte_ids: np.ndarray
     unknown: int
     word: re.Pattern
-    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     cache: dict[str, bytes]
 
     @property
@@ -126,7 +129,9 @@ def model_of(pieces: list[tuple[int, str, float]], kind: int, bytes_of: list[byt
         codes = _codes("".join(held))
         hashes = _substring_hashes(codes)(np.arange(0, len(codes), length), length)
         order = np.argsort(hashes)
-        by_length[length] = hashes[order], np.array([table[p] for p in held], dtype=np.int64)[order]
+        maybe = np.zeros(_FILTER + 1, dtype=bool)
+        maybe[hashes & U(_FILTER)] = True
+        by_length[length] = hashes[order], np.array([table[p] for p in held], dtype=np.int64)[order], maybe
     return Model(kind, table, scores, bytes_of, byte_ids, unknown, word, by_length, {})
 
 
@@ -164,9 +169,11 @@ def lattice(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     hashed = _substring_hashes(codes)
     found = []
     at = np.arange(len(codes))
-    for length, (hashes, ids) in model.by_length.items():
+    for length, (hashes, ids, maybe) in model.by_length.items():
         starts = at[at + length <= stop]
         h = hashed(starts, length)
+        held = maybe[h & U(_FILTER)]
+        starts, h = starts[held], h[held]
         place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         held = hashes[place] == h
         found.append((starts[held], starts[held] + length, ids[place[held]]))
@@ -295,16 +302,18 @@ def encode_words(words: list[str], model: Model) -> list[bytes]:
         place = np.minimum(np.searchsorted(keys[order], wanted), max(len(keys) - 1, 0))
         known = keys[order][place] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
         ids = np.where(known, piece[order][place] if len(keys) else 0, -1).astype(np.int32)
-        text = "".join(short)
-        first = np.searchsorted(cut, bounds)
+        first = np.searchsorted(cut, bounds).tolist()
+        whole, unknown = ids.tobytes(), np.concatenate([[0], np.cumsum(ids < 0)])[first].tolist()
+        text = "".join(short) if unknown[-1] else ""
         for i, w in enumerate(short):
-            path = ids[first[i] : first[i + 1]]
-            if (path < 0).any():
-                ends = cut[first[i] : first[i + 1] + 1]
-                path = np.concatenate([
-                    [p] if p >= 0 else _ids(text[a:b], model) for p, a, b in zip(path, ends[:-1], ends[1:], strict=True)
-                ]).astype(np.int32)
-            out[w] = path.tobytes()
+            a, b = first[i], first[i + 1]
+            if unknown[i] == unknown[i + 1]:
+                out[w] = whole[4 * a : 4 * b]
+            else:
+                ends = cut[a : b + 1].tolist()
+                out[w] = b"".join(
+                    p.tobytes() if p >= 0 else _ids(text[x:y], model).tobytes() for p, x, y in zip(ids[a:b], ends[:-1], ends[1:], strict=True)
+                )
     return [out[w] for w in words]
 
 
