@@ -123,18 +123,22 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float, miss: float)
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, miss: float = 1e-9) -> DataFrame:
     """One row per document row and item contained in it: _id, _text_hash, item_id, n_shared, n_item, containment."""
     items = items_of(benchmark)
-    found = candidates(docs, items, threshold, miss)
-    texts = docs.select(*row_key(), "text").dropDuplicates(["_id", "_text_hash"])
-    pairs = on_row_key(found, texts, "inner").join(
+    # written, so that its size is known: a small table is broadcast, and the texts stay where they are
+    found = settle(candidates(docs, items, threshold, miss), "contamination-candidates")
+    pairs = on_row_key(docs.select(*row_key(), "text"), found, "inner").join(
         items.select(F.col("item_id").alias("_item"), F.col("item_hash").alias("_item_hash"), "shingles"),
         F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_hash") == F.col("_item_hash")),
     )
     pairs = pairs.withColumn("_plain", F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" ")))
     pairs = pairs.select(
         "_id", "_text_hash", "item_id", F.size("shingles").cast("long").alias("n_item"),
-        F.size(F.filter("shingles", lambda s: F.contains(F.col("_plain"), s))).cast("long").alias("n_shared"),
+        # named twice, so that the optimizer does not put its making into the loop
+        F.when(F.col("_plain") == "  ", 0).otherwise(
+            F.size(F.filter("shingles", lambda s: F.contains(F.col("_plain"), s)))
+        ).cast("long").alias("n_shared"),
     )
-    return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold)
+    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold)
+    return pairs.distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
