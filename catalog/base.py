@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrain.functions.numbers import half_up
+from cellgrain.operators import ordering
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +141,13 @@ def sql_unpivot(table: str, fields: Sequence[str], extra: str = "") -> str:
     return " UNION ALL ".join(
         f"SELECT '{f}' AS field, cast({f} AS double) AS value{more} FROM {table}" for f in fields
     )
+
+
+def at_scale(name: str, rows: int = 2_000_000) -> None:
+    """Register ``<name>_at_scale``: the query as planned for a table of that many rows, nothing counted."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with ordering.assuming(rows):
+            return QUERIES[name](spark, sf_dir)
+
+    QUERIES[f"{name}_at_scale"] = run
+    ORACLES[f"{name}_at_scale"] = ORACLES[name]

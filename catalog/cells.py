@@ -314,6 +314,22 @@ def ragged_good_rows(spark, sf):
     return delimited.route_records(lines, ["name", "brand", "type"]).rows
 
 
+@query("csv_document_cells", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 4 ELSE 3 END AS cells, lang,
+ length(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n\\f\\v]', '', 'g')) AS length, md5(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n\\f\\v]', '', 'g')) AS digest
+FROM documents""")
+def csv_document_cells(spark, sf):
+    """Whole texts as quoted cells with commas, doubled quotes and line breaks, some records with a surplus cell."""
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, "lang", F.when(F.col("doc_id") % 7 == 0, F.lit('"x ""y"", z"')))
+    got = load(spark, sf, "documents").select("doc_id", delimited.split_cells(line).alias("c"))
+    plain = F.regexp_replace(F.col("c")[1], r"[ \t\r\n\f\x0B]", "")
+    return got.select(
+        F.col("c")[0].cast("bigint").alias("doc_id"), F.size("c").alias("cells"), F.col("c")[2].alias("lang"),
+        F.length(plain).cast("bigint").alias("length"), F.md5(plain).alias("digest"),
+    )
+
+
 @query("spaced_lines", """
 SELECT c_custkey, c_name AS name, c_mktsegment AS segment, cast(c_nationkey AS varchar) AS nation FROM customer""")
 def spaced_lines(spark, sf):

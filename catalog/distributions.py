@@ -117,6 +117,25 @@ def systematic_indices(spark, sf):
     return sampling.systematic_indices(spark, load(spark, sf, "orders").count(), 500)
 
 
+@query("dataset_gate_rows", f"WITH {_NUMBERED}, {_SAMPLE.format(s=1000)} SELECT o_orderkey, o_totalprice FROM n JOIN t USING (_row_id)")
+def dataset_gate_rows(spark, sf):
+    return sampling.analysis_dataset(_numbered(spark, sf), SizeGate(sample_above=1000))[0].select("o_orderkey", "o_totalprice")
+
+
+@query("record_page_after", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 20")
+def record_page_after(spark, sf):
+    return sampling.page_after(load(spark, sf, "orders"), "o_orderkey", 1000).select("o_orderkey", "o_totalprice")
+
+
+@query("row_numbers_tied", f"WITH r AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1) SELECT s, n, sum(n) OVER (ORDER BY s) - n AS first_id, sum(n) OVER (ORDER BY s) - 1 AS last_id FROM r")
+def row_numbers_tied(spark, sf):
+    """Numbers of rows that tie in the order column, seen per tie."""
+    got = ordering.row_numbers(load(spark, sf, "orders"), ["o_orderstatus"])
+    return got.groupBy(F.col("o_orderstatus").alias("s")).agg(
+        F.count_distinct("_row_id").alias("n"), F.min("_row_id").alias("first_id"), F.max("_row_id").alias("last_id")
+    )
+
+
 @query("dataset_gate", """
 WITH n AS (SELECT count(*) AS n FROM orders) SELECT CASE WHEN n > 1000 THEN 'ready_sampled' ELSE 'ready_full' END AS status,
  CASE WHEN n > 1000 THEN 'systematic_even_v1' END AS algorithm, n AS original_rows, least(n, 1000) AS analysed_rows FROM n""")

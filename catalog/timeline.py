@@ -31,20 +31,20 @@ def time_series_quality(spark, sf):
 
 
 def _days(spark, sf):
-    """Daily totals of orders per priority as the source; some days are missing."""
+    """Daily totals of orders per status; quantities are those of the order's line items."""
     c = F.col
-    df = load(spark, sf, "orders")
-    # every order has one to seven items, some weekends have no trade
+    quantity = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    df = load(spark, sf, "orders").join(quantity, c("o_orderkey") == c("l_orderkey"), "left")
     return timeseries.daily_overview(
-        df.where(F.dayofmonth("o_orderdate") % 10 != 3), source=c("o_orderstatus"), day=c("o_orderdate"),
-        order_id=c("o_orderkey"), customer=c("o_custkey"), sales=c("o_totalprice"),
-        quantity=c("o_orderkey") % 7 + 1,
+        df, source=c("o_orderstatus"), day=c("o_orderdate"), order_id=c("o_orderkey"), customer=c("o_custkey"),
+        sales=c("o_totalprice"), quantity=F.coalesce(c("quantity"), F.lit(0.0)),
     )
 
 
-_DAYS = """t AS (SELECT o_orderstatus AS source_system, cast(o_orderdate AS DATE) AS dt, sum(o_totalprice) AS total_sales, count(DISTINCT o_orderkey) AS total_orders,
- count(DISTINCT o_custkey) AS total_customers, sum(o_orderkey % 7 + 1)::DOUBLE AS total_quantity, sum(o_totalprice) / count(DISTINCT o_orderkey) AS avg_order_value
- FROM orders WHERE day(o_orderdate) % 10 <> 3 GROUP BY 1, 2)"""
+_DAYS = """i AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+t AS (SELECT o_orderstatus AS source_system, cast(o_orderdate AS DATE) AS dt, sum(o_totalprice) AS total_sales, count(DISTINCT o_orderkey) AS total_orders,
+ count(DISTINCT o_custkey) AS total_customers, sum(coalesce(quantity, 0.0))::DOUBLE AS total_quantity, sum(o_totalprice) / count(DISTINCT o_orderkey) AS avg_order_value
+ FROM orders LEFT JOIN i ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
 
 
 def _pct(m: str) -> str:

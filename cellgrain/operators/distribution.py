@@ -184,7 +184,7 @@ def ranked_records(
         half_up(share / F.col("n_total") * 100.0, digits).alias("percentile"),
         (ahead + 1).alias("best_rank"),
         (ahead + F.col("n_equal")).alias("worst_rank"),
-        (F.col("n_equal") * ordering.HOT_SHARE > F.col("n_total")).alias("_hot"),
+        ordering.is_hot(F.col("n_equal"), F.col("n_total")).alias("_hot"),
     )
     return ordering.attach_by_value(
         df, number_of(df, field), marks, "_mark_value", F.col("_hot"),

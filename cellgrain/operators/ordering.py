@@ -12,30 +12,58 @@ fills a third of the table costs one row.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 # Tables of at most this many rows may be ordered inside one task.
 SINGLE_TASK_ROWS = 1_000_000
-# Aimed rows per value range beyond that, and the limit on the number of ranges.
+# Aimed rows per value range beyond that.
 ROWS_PER_RANGE = 500_000
+# Cut points are literals of the plan; beyond these ranges grow with the table, or with its shuffle partitions.
 MAX_RANGES = 4096
 
 
+_assumed: ContextVar[int | None] = ContextVar("assumed_rows", default=None)
+
+
+@contextmanager
+def assuming(rows: int) -> Iterator[None]:
+    """Plan every table for that many rows, as if ``rows`` were passed to each operator; nothing is counted."""
+    token = _assumed.set(rows)
+    try:
+        yield
+    finally:
+        _assumed.reset(token)
+
+
 def count_rows(df: DataFrame, rows: int | None = None) -> int:
-    """Row count used to bound single-task work; pass ``rows`` when it is known."""
+    """Row count that bounds single-task work.
+
+    Pass ``rows``, or plan inside :func:`assuming`, when the size is known; otherwise the table is counted.
+    """
+    if rows is None:
+        rows = _assumed.get()
     return df.count() if rows is None else rows
 
 
+def range_count(df: DataFrame, rows: int) -> int:
+    """Ranges for that many rows: one per ROWS_PER_RANGE, up to MAX_RANGES or the session's shuffle partitions."""
+    most = max(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(2, min(most, rows // ROWS_PER_RANGE + 1))
+
+
 def range_limits(df: DataFrame, value: Column, rows: int) -> list[float]:
-    """At most ``MAX_RANGES - 1`` increasing cut points, or none for a small table."""
+    """Increasing cut points between ranges, or none for a small table."""
     if rows <= SINGLE_TASK_ROWS:
         return []
-    ranges = max(2, min(MAX_RANGES, rows // ROWS_PER_RANGE + 1))
+    ranges = range_count(df, rows)
     at = [i / ranges for i in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(value.cast("double"), at, ranges * 8).alias("c")).first()["c"]
     return sorted(set(cuts or []))
@@ -168,6 +196,10 @@ def _narrowed_quantiles(
     )
     if not keys:
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(0))
+    # a sketch of the keys first: with too many, no quantile sketch is built at all
+    n_keys = rows.agg(F.approx_count_distinct(F.struct(*keys), 0.02).alias("n")).first()["n"]
+    if n_keys > 1.1 * MAX_BRACKET_KEYS:
+        return None
     brackets = fixed(rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_total"),
         F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("_b"),
@@ -270,9 +302,17 @@ def _ranged_quantiles(
     return ordered.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(*_quantile_columns(names))
 
 
-# A value held by more than 1/HOT_SHARE of the rows counts as hot, so there are
-# never more than HOT_SHARE hot values.
+# A value held by more than 1/HOT_SHARE of the rows, or by more than HOT_ROWS of them if that is less, counts as
+# hot. There are never more than the larger of HOT_SHARE and rows / HOT_ROWS; HOT_MOST bounds what is broadcast.
 HOT_SHARE = 1000
+HOT_ROWS = 10_000_000
+HOT_MOST = 100_000
+
+
+def is_hot(n_equal: Column, total: Column) -> Column:
+    """Whether so many rows of one value would make a heavy shuffle key."""
+    least = F.greatest(F.least(total / HOT_SHARE, F.lit(float(HOT_ROWS))), total / HOT_MOST)
+    return n_equal > least
 
 
 def attach_by_value(
@@ -280,8 +320,7 @@ def attach_by_value(
 ) -> DataFrame:
     """Left-join per-value results (unique in ``mark``) to rows, without a hot shuffle key.
 
-    ``hot`` flags the values that fill more than 1/HOT_SHARE of the rows: at most
-    HOT_SHARE of them, broadcast.  All other rows meet their value in a shuffle
+    ``hot`` flags the values of :func:`is_hot`: at most HOT_MOST of them, broadcast.  All other rows meet their value in a shuffle
     join; rows already answered travel under spread-out keys that match nothing.
     """
     picked = marks.withColumn("_is_hot", F.coalesce(hot, F.lit(False)))
@@ -318,16 +357,18 @@ def row_numbers(
     """Contiguous 0-based row positions in the order of the given columns.
 
     A large table is range-sorted, fixed by a checkpoint, and each partition starts
-    at the number of rows before it.  A hash of the whole row breaks ties, so rows
+    at the number of rows before it.  Ties go by a hash of the whole row, then by all
+    columns that can be ordered, on both paths; so the numbers do not depend on the path, and rows
     that share one order value still spread over partitions.
     """
     rows = count_rows(df, rows)
+    keyed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    plain = [f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    cols = [*order, "_tie", *plain]
     if rows <= SINGLE_TASK_ROWS:
-        run = W.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(run) - 1).cast("bigint"))
-    parts = max(2, min(MAX_RANGES, rows // ROWS_PER_RANGE + 1))
-    keyed = df.withColumn("_tie", F.xxhash64(*df.columns))
-    cols = [*order, "_tie"]
+        run = W.partitionBy(F.lit(0)).orderBy(*cols)
+        return keyed.withColumn(out, (F.row_number().over(run) - 1).cast("bigint")).drop("_tie")
+    parts = range_count(df, rows)
     placed = fixed(
         keyed.repartitionByRange(parts, *cols)
         .sortWithinPartitions(*cols)

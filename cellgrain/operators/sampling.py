@@ -12,9 +12,13 @@ ALGORITHM = "systematic_even_v1"
 
 
 def sample_index(i: Column, rows: int, size: int) -> Column:
-    """round(i * (rows - 1) / (size - 1)), halves up, in whole numbers."""
+    """round(i * (rows - 1) / (size - 1)), halves up, in whole numbers.
+
+    Quotient and remainder of the step are taken apart, so that only numbers below rows + 2 * size ** 2 occur.
+    """
     step = size - 1
-    return F.call_function("div", i * (2 * (rows - 1)) + step, F.lit(2 * step)).cast("bigint")
+    whole, rest = divmod(rows - 1, step)
+    return (i * whole + F.call_function("div", i * (2 * rest) + step, F.lit(2 * step))).cast("bigint")
 
 
 def systematic_indices(spark: SparkSession, rows: int, size: int) -> DataFrame:
@@ -40,8 +44,9 @@ def is_sampled(row_id: Column, rows: int, size: int) -> Column:
         return F.lit(True)
     if size == 1:
         return row_id == 0
-    near = F.floor(row_id.cast("double") * F.lit(float(size - 1)) / F.lit(float(rows - 1)))
-    near = near.cast("bigint")
+    # exact at any size: a double's 53 bits would be off by more than a step beyond 10 ** 15
+    product = row_id.cast("decimal(19,0)") * F.lit(size - 1).cast("decimal(19,0)")
+    near = F.call_function("div", product, F.lit(rows - 1).cast("decimal(19,0)")).cast("bigint")
     out = F.lit(False)
     for shift in (-1, 0, 1, 2):
         i = near + shift
@@ -96,6 +101,18 @@ def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     )
 
 
+def page_after(df: DataFrame, key: str, after=None, size: int = PAGE_SIZE) -> DataFrame:
+    """The page that follows the row with key ``after`` (the first one for None), by a unique, non-null key.
+
+    Deep pages cost no more than the first: a filter that reaches the scan, then ``size`` rows per task.
+    """
+    rest = df if after is None else df.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
+
+
 def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page (0-based) of an ordered result, for display."""
+    """One page (0-based) of an ordered result, for display; early pages only, as a task skips those before it.
+
+    Deep pages of large results go by :func:`page_after`.
+    """
     return df.orderBy(*order).offset(number * size).limit(size)

@@ -187,7 +187,8 @@ def positions(
     Inputs enter the value counts with weight 0, so one cumulative count answers
     all of them; the answers come back by an equality join on the value.
     """
-    rows = ordering.count_rows(df, rows)
+    # the inputs are ranged together with the table's values, so both count
+    rows = ordering.count_rows(df, rows) + ordering.count_rows(inputs)
     values = df.select(number_of(df, field).alias("value"))
     asked = inputs.select(number_of(inputs, x).alias("value")).where("value IS NOT NULL")
     asked_counts = ordering.value_counts(asked, [], "value").withColumnRenamed("n_equal", "_asked")
@@ -197,7 +198,7 @@ def positions(
         .groupBy("value")
         .agg(F.sum("n_equal").alias("n_equal"), F.sum("_asked").alias("_asked"))
     )
-    limits = ordering.range_limits(values, F.col("value"), rows)
+    limits = ordering.range_limits(values.union(asked), F.col("value"), rows)
     cum = ordering.cumulative_counts(counts, [], "value", limits).where("_asked > 0")
     if limits:
         # read twice below, so written once; it holds the asked values only
@@ -218,7 +219,7 @@ def positions(
     answers = cum.select(
         F.col("value").alias("_answer_value"), *cols,
         outside.isNotNull().alias("is_out_of_range"), outside.alias("out_of_range_direction"),
-        (F.col("_asked") * ordering.HOT_SHARE > total_asked).alias("_hot"),
+        ordering.is_hot(F.col("_asked"), total_asked).alias("_hot"),
     )
     names = [c for c in answers.columns if c not in ("_answer_value", "_hot")]
     return ordering.attach_by_value(

@@ -40,14 +40,16 @@ def _cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def _digest(cell: Column) -> Column:
     """A short stand-in for a long text that keeps every shape test's answer.
 
-    A long text is no name, code, date or placeholder.  It may still be a number
-    (left as is) or hold a class word (kept as a suffix).
+    A long text is no name, code or placeholder: their shapes have a greatest length.  It may still be a number
+    or a date-time (left as they are) or hold a class word (kept as a suffix).
     """
     stand_in = F.concat(
         F.lit("#"), F.md5(cell.cast("binary")),
         F.when(text.is_class_label(cell), F.lit("班")).otherwise(F.lit("")),
     )
-    lengthy = (F.length(cell) > DIGEST_ABOVE) & ~cell.rlike(r"^[0-9.,eE+% -]*$")
+    lengthy = (
+        (F.length(cell) > DIGEST_ABOVE) & ~cell.rlike(r"^[0-9.,eE+% -]*$") & ~dates.is_temporal(cell)
+    )
     return F.when(lengthy, stand_in).otherwise(cell)
 
 
@@ -285,15 +287,14 @@ def sample_values(
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """Header text, row count and an order-free content hash over every row.
 
-    The sums of two row hashes also tell apart tables that differ in repeated rows.
+    The row hash is an md5 over the cells' texts with their lengths, summed in four 32-bit slices. Sums
+    tell apart tables that differ in repeated rows.
     """
     names = df.columns
-    h = F.xxhash64(*[F.coalesce(text_of(df, c), F.lit("")) for c in names])
-    # bounded halves keep the sums far from the bigint limit
-    low, high = h.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(h, 33)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(low), F.lit(0)).alias("low_sum"),
-        F.coalesce(F.sum(high), F.lit(0)).alias("high_sum"),
-    ).select(F.lit("\x01".join(names)).alias("headers"), "*")
+    cells = [F.coalesce(text_of(df, c), F.lit("")) for c in names]
+    h = F.md5(F.concat_ws("", *[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in cells]))
+    sums = [
+        F.coalesce(F.sum(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"sum_{k}")
+        for k in range(4)
+    ]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *sums).select(F.lit("\x01".join(names)).alias("headers"), "*")

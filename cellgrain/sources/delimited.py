@@ -14,6 +14,7 @@ from cellgrain.functions.text import WHITESPACE, WS_CLASS, normalize_cell, trimm
 # Routes of a record after the width check.
 OK, SHORT, TOO_WIDE, OPEN_QUOTE = "ok", "short", "too_wide", "open_quote"
 
+_NO_SEPARATOR = "\x02\x03\x02\x04"
 _CONTROL = re.compile("[\x00-\x1f\x7f\xa0]")
 
 
@@ -57,16 +58,17 @@ def split_cells(line: Column, delimiter: str = "comma") -> Column:
     elif delimiter == "multi-space":
         parts = F.split(line, f"[{WS_CLASS}]{{2,}}")
     elif delimiter == "comma":
-        # A cell is a quoted run ("" inside stands for one quote) or plain text.
+        # A cell is a quoted run ("" inside stands for one quote) or plain text. Possessive, so that a long cell
+        # takes no stack.
         pieces = F.regexp_extract_all(
-            F.concat(F.lit(","), line), F.lit(r',((?:"(?:[^"]|"")*")?[^,]*)'), F.lit(1)
+            F.concat(F.lit(","), line), F.lit(r',((?:"(?:[^"]++|"")*+")?[^,]*)'), F.lit(1)
         )
         parts = F.transform(
             pieces,
             lambda p: F.when(
                 F.startswith(p, F.lit('"')),
                 F.replace(
-                    F.regexp_replace(p, r'(?s)^"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"')
+                    F.regexp_replace(p, r'(?s)^"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"')
                 ),
             ).otherwise(p),
         )
@@ -126,18 +128,22 @@ def read_lines(
     spark: SparkSession, path: str | list[str], headers: Sequence[str] | None = None,
     delimiter: str = "tab",
 ) -> Split:
-    """A tab or multi-space text table.  Without ``headers`` the first line names the columns."""
-    lines = spark.read.text(path)
+    """A tab or multi-space text table; blank lines are no records.
+
+    Without ``headers`` the first line of the first file names the columns, and the first line of every file is
+    skipped, by its place and not by its text.
+    """
     if headers is None:
-        first = lines.first()
+        first = spark.read.text(path).where(F.trim("value") != "").first()
         if first is None:
             raise ValueError("the file is empty")
-        head = first["value"]
         pattern = "\t" if delimiter == "tab" else f"[{WHITESPACE}]{{2,}}"
-        headers = re.split(pattern, head.lstrip("\ufeff"))
-        # each file of a folder starts with the same header line
-        lines = lines.where(F.col("value") != F.lit(head))
-    return route_records(lines, headers, delimiter)
+        headers = re.split(pattern, first["value"].lstrip("\ufeff"))
+        # Spark's own csv reader skips the head of each file; with this separator and no quotes a line is one cell
+        lines = spark.read.options(sep=_NO_SEPARATOR, quote="", header=True, enforceSchema=True).csv(path, schema="value string")
+    else:
+        lines = spark.read.text(path)
+    return route_records(lines.where(F.trim("value") != ""), headers, delimiter)
 
 
 def read_csv(
