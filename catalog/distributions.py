@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import load, query, r, rounded, sql_unpivot
+from cellgrain.functions.numbers import half_up
 from cellgrain.operators import distribution, ordering, sampling
 from cellgrain.operators.sampling import SizeGate
 from cellgrain.plans import explain
@@ -181,12 +182,14 @@ def explain_values(spark, sf):
 
 
 @query("explain_summary", f"""WITH {_EXPLAIN} SELECT array_to_string(list(field ORDER BY p DESC, ordinal)[1:3], ',') AS top_fields,
- array_to_string(list(field ORDER BY p, ordinal DESC)[1:3], ',') AS bottom_fields, {r("avg(p)")} AS average_percentile, count(*) AS field_count, count(*) < 3 AS insufficient_data FROM e""")
+ array_to_string(list(field ORDER BY p, ordinal DESC)[1:3], ',') AS bottom_fields, {r("avg(p)")} AS average_percentile, count(*) AS field_count, count(*) < 3 AS insufficient_data,
+ [{r("q")} FOR q IN list(p ORDER BY p DESC, ordinal)[1:3]] AS top_percentiles, [{r("q")} FOR q IN list(p ORDER BY p, ordinal DESC)[1:3]] AS bottom_percentiles FROM e""")
 def explain_summary(spark, sf):
     got = explain.explain_values(
         load(spark, sf, "lineitem"), INPUTS, rank_fields=["l_extendedprice"], directions={"l_tax": "neutral"}
     )
-    return rounded(explain.summarize_explanations(got), "average_percentile")
+    got = rounded(explain.summarize_explanations(got), "average_percentile")
+    return got.withColumns({c: F.transform(c, lambda p: half_up(p, 4)) for c in ("top_percentiles", "bottom_percentiles")})
 
 
 @query("field_profile", f"""WITH {_EXPLAIN}, p2 AS (SELECT *, CASE WHEN field = 'l_tax' THEN within / n * 100.0 ELSE p END AS pp FROM e),

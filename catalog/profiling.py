@@ -349,11 +349,13 @@ def overview_type_counts(spark, sf):
 WITH n AS (SELECT count(*) AS n FROM orders),
 t AS (SELECT string_agg(concat(v, '=', c), '; ' ORDER BY c DESC, v) AS top, count(*) AS u FROM (SELECT o_orderpriority AS v, count(*) AS c FROM orders GROUP BY 1))
 SELECT 'o_totalprice' AS field, 'numerical' AS feature_type, n AS count, n AS valid_count, 0::BIGINT AS missing_count, min(o_totalprice) AS min, max(o_totalprice) AS max, {r("avg(o_totalprice)")} AS mean,
- {r("stddev_pop(o_totalprice)")} AS std, NULL::BIGINT AS unique_count, NULL AS top_categories FROM orders, n GROUP BY n
-UNION ALL SELECT 'o_orderpriority', 'categorical', n, n, 0, NULL, NULL, NULL, NULL, u, top FROM n, t
-UNION ALL SELECT 'o_orderdate', 'temporal', n, n, 0, epoch_ms(min(o_orderdate))::DOUBLE, epoch_ms(max(o_orderdate))::DOUBLE, NULL, NULL, NULL, NULL FROM orders, n GROUP BY n""")
+ {r("stddev_pop(o_totalprice)")} AS std, NULL::BIGINT AS unique_count, NULL AS top_categories,
+ printf('%d 个有效值，%.2f 至 %.2f，均值 %.2f，标准差 %.2f', n, min(o_totalprice), max(o_totalprice), avg(o_totalprice), stddev_pop(o_totalprice)) AS insight FROM orders, n GROUP BY n
+UNION ALL SELECT 'o_orderpriority', 'categorical', n, n, 0, NULL, NULL, NULL, NULL, u, top, concat(u, ' 个类别，最多为 ', replace(split_part(top, '; ', 1), '=', ' × ')) FROM n, t
+UNION ALL SELECT 'o_orderdate', 'temporal', n, n, 0, epoch_ms(min(o_orderdate))::DOUBLE, epoch_ms(max(o_orderdate))::DOUBLE, NULL, NULL, NULL, NULL,
+ concat('时间范围 ', strftime(min(o_orderdate), '%Y-%m-%d'), ' 到 ', strftime(max(o_orderdate), '%Y-%m-%d')) FROM orders, n GROUP BY n""")
 def dataset_profile(spark, sf):
-    return overview.dataset_profile(load(spark, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"]).drop("insight")
+    return overview.dataset_profile(load(spark, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"])
 
 
 @query("dataset_anomalies", f"""
@@ -361,7 +363,7 @@ WITH q AS (SELECT {r("quantile_cont(value, 0.25)")} AS q1, {r("quantile_cont(val
 SELECT event_id AS _row_id, 'value' AS field, value, CASE WHEN abs({r("(value - mean) / std")}) > 3 THEN 'high' ELSE 'medium' END AS severity FROM events, q WHERE value < q1 - 1.5 * iqr OR value > q3 + 1.5 * iqr""")
 def dataset_anomalies(spark, sf):
     df = load(spark, sf, "events").withColumnRenamed("event_id", "_row_id")
-    return overview.dataset_anomalies(df, ["event_type", "value", "props"]).drop("z_score")
+    return overview.dataset_anomalies(df, ["event_type", "value", "props"]).drop("z_score", "description")
 
 
 @query("dataset_warnings", f"WITH {_sql_types('part')} SELECT count(*) FILTER (feature_type = 'invalid') AS unrecognised_fields FROM f")

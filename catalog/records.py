@@ -36,6 +36,16 @@ def lookup_many(spark, sf):
     return lookup.lookup_many(load(spark, sf, "customer"), "c_name", asked).select("p_partkey", "c_custkey")
 
 
+@query("lookup_many_digits", """
+SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey""")
+def lookup_many_digits(spark, sf):
+    """Identifiers written with other separators are found by their digits."""
+    asked = load(spark, sf, "orders").select(
+        "o_orderkey", F.concat(F.lit("No."), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("query")
+    )
+    return lookup.lookup_many(load(spark, sf, "customer"), "c_name", asked, semantic="identifier").select("o_orderkey", "c_custkey")
+
+
 @query("lookup_cascade", "SELECT c_custkey, 2 AS stage, 'c_mktsegment' AS stage_field FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def lookup_cascade(spark, sf):
     got = lookup.lookup_cascade(

@@ -63,7 +63,7 @@ def explain_values(
 
 
 def summarize_explanations(explained: DataFrame, n: int = 3) -> DataFrame:
-    """One row: best and worst fields, mean percentile, whether there are enough fields.
+    """One row: best and worst fields with their percentiles, mean percentile, whether there are enough fields.
 
     Works on one row per asked field.
     """
@@ -78,9 +78,10 @@ def summarize_explanations(explained: DataFrame, n: int = 3) -> DataFrame:
         return F.array_join(F.transform(part, lambda s: s["field"]), ",")
 
     last = F.reverse(F.slice(F.col("i"), F.greatest(F.lit(1), F.col("field_count").cast("int") - n + 1), n))
+    first = F.slice(F.col("i"), 1, n)
     return got.select(
-        named(F.slice(F.col("i"), 1, n)).alias("top_fields"),
-        named(last).alias("bottom_fields"),
+        named(first).alias("top_fields"), F.transform(first, lambda s: s["percentile"]).alias("top_percentiles"),
+        named(last).alias("bottom_fields"), F.transform(last, lambda s: s["percentile"]).alias("bottom_percentiles"),
         F.coalesce("p", F.lit(0.0)).alias("average_percentile"), "field_count",
         (F.col("field_count") < n).alias("insufficient_data"),
     )

@@ -122,16 +122,25 @@ def dataset_profile(
     out = df.sparkSession.createDataFrame([], schema)
     for frame in frames:
         out = out.unionByName(frame)
+    best = F.regexp_extract("top_categories", r"(?s)^(.*?)=(\d+)(?:; |$)", 1)
+    times = F.regexp_extract("top_categories", r"(?s)^(.*?)=(\d+)(?:; |$)", 2)
     insight = (
         F.when(
             F.col("feature_type") == "categorical",
-            F.concat(F.col("unique_count").cast("string"), F.lit(" 个类别")),
+            F.concat(
+                F.col("unique_count").cast("string"), F.lit(" 个类别"),
+                F.when(times != "", F.concat(F.lit("，最多为 "), best, F.lit(" × "), times)).otherwise(""),
+            ),
         )
         .when(
             F.col("feature_type") == "temporal",
             F.concat(F.lit("时间范围 "), dates.day_text(F.col("min")), F.lit(" 到 "), dates.day_text(F.col("max"))),
         )
-        .otherwise(F.concat(F.col("valid_count").cast("string"), F.lit(" 个有效值")))
+        .when(F.col("valid_count") == 0, "0 个有效值")
+        .otherwise(F.concat(
+            F.col("valid_count").cast("string"),
+            F.format_string(" 个有效值，%.2f 至 %.2f，均值 %.2f，标准差 %.2f", "min", "max", "mean", "std"),
+        ))
     )
     return out.withColumn("insight", insight)
 
@@ -139,17 +148,18 @@ def dataset_profile(
 def dataset_anomalies(
     df: DataFrame, fields: Sequence[str] | None = None, row_id: str = "_row_id", *, rows: int | None = None
 ) -> DataFrame:
-    """Unguarded outliers of every numeric column with severity (|z| > 3 is high)."""
+    """Unguarded outliers of every numeric column with severity (|z| > 3 is high) and a sentence."""
     fields = [f for f in (fields or df.columns) if f != row_id]
     _, types = _types(df, fields)
     numeric = [f for f in fields if types[f] == "numerical"]
     if not numeric:
         return df.sparkSession.createDataFrame(
-            [], f"{row_id} bigint, field string, value double, z_score double, severity string"
+            [], f"{row_id} bigint, field string, value double, z_score double, severity string, description string"
         )
-    return plain_outliers(df, numeric, row_id, rows=rows).withColumn(
-        "severity", F.when(F.abs("z_score") > 3, "high").otherwise("medium")
-    )
+    return plain_outliers(df, numeric, row_id, rows=rows).withColumns({
+        "severity": F.when(F.abs("z_score") > 3, "high").otherwise("medium"),
+        "description": F.format_string("值 %.2f，z = %.2f", "value", "z_score"),
+    })
 
 
 def dataset_warnings(counts: DataFrame) -> DataFrame:

@@ -50,9 +50,10 @@ def infer_schema(counts: DataFrame, word_boundary: bool = False) -> DataFrame:
     """Generic inference from header words first, column structure second.
 
     Directions stay 'unspecified' for metrics.  ``word_boundary`` asks Latin
-    identifier words to stand alone (``paid`` is then not an id).
+    identifier words to stand alone (``paid`` is then not an id).  The counts, one row per
+    column, are brought to the driver first: the rules are long and run on those rows alone.
     """
-    shape = profile.structure_features(counts)
+    shape = profile.structure_features(profile.kept_small(counts))
     h = header_key(F.col("field"))
     numeric, unique = F.col("numeric_ratio"), F.col("unique_ratio")
     time_name = first_word(h, rules.TIME_WORDS).isNotNull() | h.rlike(rules.RE_TIME_HEADER)
