@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DIRTY, dirty_orders, load, query, r, rounded, sql_num, sql_text
+from catalog.base import DIRTY, dirty_orders, load, query, r, rounded, sql_date_ms, sql_empty, sql_num, sql_text
 from cellgrain.functions.text import WHITESPACE
 from cellgrain.operators.cells import text_of
 from cellgrain.plans import legacy, overview, profile, schema
@@ -36,6 +36,9 @@ def _sql_counts(table: str) -> str:
     return f"""x AS ({cells}), v AS (SELECT *, {sql_num("cell")} AS num, regexp_full_match(cell, '\\d+') AS dig FROM x),
 k AS (SELECT ordinal, field, count(*) AS total, count(*) FILTER (cell <> '') AS filled, count(DISTINCT cell) AS unique_all,
  count(DISTINCT cell) FILTER (cell <> '') AS unique_filled, count(*) FILTER (cell IN ('', 'null', 'undefined')) AS missing,
+ count(DISTINCT cell) FILTER (cell NOT IN ('', 'null', 'undefined')) AS unique_present, count(*) FILTER ({sql_empty("cell")}) AS empty_like,
+ count(*) FILTER (regexp_full_match(cell, '[一-龥]{{2,4}}')) AS chinese_name, count(*) FILTER (regexp_matches(cell, '班|级|高一|高二|高三')) AS class_label,
+ count(*) FILTER (regexp_full_match(cell, '\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}|\\d{{8}}')) AS compact_date, count(*) FILTER ({sql_date_ms("cell")} IS NOT NULL) AS temporal,
  count(num) AS numeric, count(*) FILTER (floor(num) = num) AS integer, count(*) FILTER (dig AND length(cell) >= 6) AS long_digits,
  count(*) FILTER (floor(num) = num AND num >= 1 AND num <= 2 * (SELECT count(*) FROM {table})) AS small_integer,
  count(*) FILTER (num BETWEEN 0 AND 1000) AS score_range, count(*) FILTER (dig) AS digit_cells,
@@ -48,11 +51,18 @@ _STRUCT = """s AS (SELECT *, numeric / total AS nr, coalesce(integer / nullif(nu
  long_digits / total AS ldr, length / total AS al, coalesce(small_integer / nullif(numeric, 0), 0) AS sir FROM k)"""
 
 
-@query("column_profile", f"WITH {_sql_counts('orders')} SELECT ordinal, field, total, filled, unique_all, unique_filled, missing, numeric, integer, long_digits, small_integer, score_range, digit_cells, digit_length, length, long_text, code, min, max, {r('mean')} AS mean FROM k")
+@query("column_profile", f"WITH {_sql_counts('orders')} SELECT ordinal, field, total, filled, unique_all, unique_filled, missing, numeric, integer, long_digits, small_integer, score_range, digit_cells, digit_length, length, long_text, code, min, max, {r('mean')} AS mean, unique_present, empty_like, temporal, chinese_name, class_label, compact_date FROM k")
 def column_profile(spark, sf):
-    return rounded(_counts(spark, sf, "orders"), "mean").drop(
-        "kind", "unique_present", "empty_like", "temporal", "chinese_name", "class_label", "compact_date"
-    )
+    return rounded(_counts(spark, sf, "orders"), "mean").drop("kind")
+
+
+@query("column_profile_dates", f"WITH {DIRTY}, x AS (SELECT 'price_text' AS field, coalesce(trim(price_text), '') AS cell FROM d UNION ALL SELECT 'date_text', coalesce(trim(date_text), '') FROM d)"
+       f" SELECT field, count(*) AS total, count(*) FILTER (cell <> '') AS filled, count(*) FILTER ({sql_date_ms('cell')} IS NOT NULL) AS temporal,"
+       " count(*) FILTER (regexp_full_match(cell, '\\d{4}[-/]\\d{1,2}[-/]\\d{1,2}|\\d{8}')) AS compact_date,"
+       f" count(*) FILTER ({sql_num('cell')} IS NOT NULL) AS numeric, count(*) FILTER ({sql_empty('cell')}) AS empty_like FROM x GROUP BY 1")
+def column_profile_dates(spark, sf):
+    got = profile.column_counts(dirty_orders(spark, sf), ["price_text", "date_text"])
+    return got.select("field", "total", "filled", "temporal", "compact_date", "numeric", "empty_like")
 
 
 @query("document_profile", f"""

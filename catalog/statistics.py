@@ -144,12 +144,13 @@ SELECT field AS metric, display_name, direction, total_rows, valid_count, invali
  x::DOUBLE AS user_value, CASE WHEN x IS NOT NULL THEN h END AS higher_count, CASE WHEN x IS NOT NULL THEN e END AS equal_count,
  CASE WHEN x IS NOT NULL THEN l END AS lower_count,
  CASE WHEN x IS NOT NULL THEN CASE WHEN direction = 'lower-is-better' THEN l ELSE h END + 1 END AS best_rank,
+ CASE WHEN x IS NOT NULL THEN CASE WHEN direction = 'lower-is-better' THEN l ELSE h END + e END AS worst_rank, CASE WHEN x IS NOT NULL THEN e > 0 END AS exists_in_data,
  CASE WHEN x IS NOT NULL THEN {r("CASE WHEN direction = 'lower-is-better' THEN h + e ELSE l + e END / valid_count * 100.0")} END AS percentile FROM s""")
 def metrics_batch(spark, sf):
     got = stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS)
     return rounded(got, "mean", "percentile", *stats.METRIC_QUANTILES).select(
         "metric", "display_name", "direction", "total_rows", "valid_count", "invalid_count", *_STATS,
-        "user_value", "higher_count", "equal_count", "lower_count", "best_rank", "percentile",
+        "user_value", "higher_count", "equal_count", "lower_count", "best_rank", "worst_rank", "exists_in_data", "percentile",
     )
 
 
@@ -334,11 +335,12 @@ def outlier_status(spark, sf):
 @query("outlier_records", f"""WITH {_SPIKY} SELECT _row_id, field, v AS value, CASE WHEN high THEN 'high' ELSE 'low' END AS direction,
  {r("CASE WHEN q3 > q1 THEN CASE WHEN high THEN v - (q3 + 1.5 * (q3 - q1)) ELSE (q1 - 1.5 * (q3 - q1)) - v END ELSE abs(v - med) END")} AS distance,
  CASE WHEN q3 > q1 THEN CASE WHEN high THEN 'above_upper_fence' ELSE 'below_lower_fence' END WHEN mad > 0 THEN 'median_deviation' ELSE 'far_from_main_value' END AS reason,
- CASE WHEN high AND q3 + 1.5 * (q3 - q1) > 0 THEN {r("CASE WHEN q3 > q1 THEN v - (q3 + 1.5 * (q3 - q1)) ELSE abs(v - med) END / (q3 + 1.5 * (q3 - q1)) * 100.0")} END AS overrun_percent FROM h""")
+ CASE WHEN high AND q3 + 1.5 * (q3 - q1) > 0 THEN {r("CASE WHEN q3 > q1 THEN v - (q3 + 1.5 * (q3 - q1)) ELSE abs(v - med) END / (q3 + 1.5 * (q3 - q1)) * 100.0")} END AS overrun_percent,
+ {r("CASE WHEN q3 = q1 AND mad > 0 THEN 0.6745 * (v - med) / mad END")} AS modified_z FROM h""")
 def outlier_records(spark, sf):
     df = _spiky(spark, sf)
     bounds = outliers.outlier_bounds(df, OUTLIER_FIELDS)
-    return rounded(outliers.outlier_records(df, bounds, OUTLIER_FIELDS).drop("modified_z"), "distance", "overrun_percent")
+    return rounded(outliers.outlier_records(df, bounds, OUTLIER_FIELDS), "distance", "overrun_percent", "modified_z")
 
 
 @query("outliers_mad", f"""
