@@ -17,6 +17,9 @@ HEADLINE = (
     "time_series", "time_series_quality", "prev_day_comparison", "systematic_sample", "row_numbers",
     "column_profile", "document_profile", "infer_schema_orders", "legacy_fields_customer",
     "dataset_overview", "dataset_profile", "lookup_many", "lookup_cascade", "locator_report", "fingerprint",
+    # the same queries as planned for a table too large for one task
+    "numeric_summary_at_scale", "metrics_batch_at_scale", "group_by_dimension_at_scale", "group_by_many_keys_at_scale",
+    "outlier_status_at_scale", "rank_interval_at_scale", "cdf_at_scale", "positions_of_inputs_at_scale", "row_numbers_at_scale",
 )
 
 
