@@ -38,7 +38,7 @@ from cellgrain.llm.wordhash import U, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Words a worker remembers (about 150 bytes each); when it is full it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Words of more characters are folded one by one.
 LONG = 48
 #: Low bits of a hash by which most substrings are seen not to be pieces.
@@ -325,8 +325,8 @@ def encode_texts(texts: list[str | None], model: Model) -> list[np.ndarray | Non
     if len(held) + len(new) > CACHE:
         held.clear()
         new = list({w for words in cut if words for w in words})
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
+    for at in range(0, len(new), 10_000):
+        some = new[at : at + 10_000]
         held.update(zip(some, encode_words(some, model), strict=True))
     return [None if words is None else np.frombuffer(b"".join(map(held.__getitem__, words)), dtype=np.int32) for words in cut]
 
@@ -338,19 +338,25 @@ def decode_ids(ids: np.ndarray, model: Model) -> str:
 
 
 # ---- Spark jobs -----------------------------------------------------------------------------------------------
-def encode(docs: DataFrame, path: str = MODEL, kind: int | None = None) -> DataFrame:
-    """``docs`` packed to doc_id, text and _row, with token_ids. No shuffle."""
+def encode(docs: DataFrame, path: str = MODEL, kind: int | None = None, with_decoded: bool = False) -> DataFrame:
+    """``docs`` packed to doc_id, text and _row, with token_ids, and their text read back if asked for. No shuffle.
+
+    Reading back in the same pass keeps one Python worker per task instead of two.
+    """
     held = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = read_model(path, kind)
         for batch in batches:
-            for part in wordhash.slices(batch, "text", 1 << 20):
+            for part in wordhash.slices(batch, "text", 1 << 19):
                 ids = encode_texts(part.column("text").to_pylist(), model)
-                yield part.append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
+                out = part.append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
+                if with_decoded:
+                    out = out.append_column("decoded", pa.array([None if x is None else decode_ids(x, model) for x in ids], pa.string()))
+                yield out
 
-    types = {f.name: f.dataType.simpleString() for f in held.schema.fields}
-    return held.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in types.items()) + ", token_ids array<int>")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields] + ["token_ids array<int>"]
+    return held.mapInArrow(run, ", ".join(fields + ["decoded string"] * with_decoded))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -369,7 +375,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 @query("op6_piece_lattice")
 def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(load(spark, sf_dir, "documents"), "doc_id", "text")
-    coded = decode(encode(docs))
+    coded = encode(docs, with_decoded=True)
     return coded.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
