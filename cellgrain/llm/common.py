@@ -52,6 +52,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Spark removes the shuffle files of a finished job once the driver's JVM has collected its plan; long jobs in
+    # steps would otherwise pile them up on the executors' disks
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +63,7 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
     Rows equal in both are copies of each other and get equal results.
     """
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash")]
+    return [F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text_hash")]
 
 
 def on_row_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

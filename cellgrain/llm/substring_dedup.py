@@ -138,8 +138,9 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         F.count(F.lit(1)).alias("times"), F.min(_id_order()).alias("first_id"), F.min("run").alias("lo"), F.max("run").alias("hi")
     ).where("times > 1").select("anchor", "first_id", (F.col("lo") != F.col("hi")).alias("open"))
     found = runs.join(level, "anchor").where(F.col("open") | F.col("again") | (_id_order() > F.col("first_id")))
-    settled = F.collect_list(F.when(~F.col("open"), F.struct("at", (F.col("n") + length - 1).alias("words"))))
-    still_open = F.collect_list(F.when(F.col("open"), F.struct("at", "n", "off")))
+    # sets: rows that share id and text bring the same entries, however often they repeat
+    settled = F.collect_set(F.when(~F.col("open"), F.struct("at", (F.col("n") + length - 1).alias("words"))))
+    still_open = F.collect_set(F.when(F.col("open"), F.struct("at", "n", "off")))
     first = settle(found.groupBy("_id", "_text_hash").agg(settled.alias("cut"), still_open.alias("open")), "anchors")
 
     texts = on_row_key(
@@ -155,16 +156,15 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     windows = settle(windows, "windows")
     last = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min(_id_order()).alias("first_id")).where("times > 1")
     removed = windows.join(last.drop("times"), ["a", "b"]).where(F.col("again") | (_id_order() > F.col("first_id")))
-    late = removed.groupBy("_id", "_text_hash").agg(
-        F.array_distinct(F.collect_list(F.struct("at", F.lit(length).alias("words")))).alias("late")
-    )
+    late = removed.groupBy("_id", "_text_hash").agg(F.collect_set("at").alias("late"))
     both = first.withColumnsRenamed({"_id": "_first_id", "_text_hash": "_first_hash"}).join(
         late, F.col("_first_id").eqNullSafe(F.col("_id")) & (F.col("_first_hash") == F.col("_text_hash")), "left"
     )
-    none = F.array().cast("array<struct<at:int,words:int>>")
     return settle(both.select(
         F.col("_first_id").alias("_id"), F.col("_first_hash").alias("_text_hash"),
-        F.concat(F.coalesce("cut", none), F.coalesce("late", none)).alias("cut"),
+        F.concat("cut", F.transform(
+            F.coalesce("late", F.array().cast("array<int>")), lambda at: F.struct(at.alias("at"), F.lit(length).alias("words"))
+        )).alias("cut"),
     ).where(F.size("cut") > 0), "repeats")
 
 
