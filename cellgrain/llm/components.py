@@ -14,6 +14,20 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
+def _edge(u: str, v: str):
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether no node has two edges downward, or edges both ways."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+        F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")),
+    )))
+    crossed = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)")
+    return not crossed.agg(F.count(F.lit(1))).first()[0]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its least node.
 
@@ -23,17 +37,12 @@ def connected(edges: DataFrame) -> DataFrame:
     current = settle(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars"
     )
-    before = None
-    while True:
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        downward = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        starred = _least(downward)
-        small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).union(starred.select("u", F.col("m").alias("v")))
-        current = settle(small.where("u <> v").distinct(), "stars")
-        state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or not state["n"]:
-            break
-        before = state
-    named = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return settle(named.union(current.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    while not _all_stars(current):
+        large = _least(current.select(F.inline(F.array(_edge("u", "v"), _edge("v", "u"))))).where("v > u AND v <> m")
+        small = _least(large.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        current = settle(small.select(F.inline(F.array(_edge("v", "m"), _edge("u", "m")))).where("u <> v").distinct(), "stars")
+    named = current.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("component")),
+        F.struct(F.col("v").alias("node"), F.col("v").alias("component")),
+    )))
+    return settle(named.distinct(), "components")
