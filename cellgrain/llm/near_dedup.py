@@ -12,7 +12,7 @@ texts. Buckets are not expanded into all pairs: equal texts are one node, each m
 bucket, and only buckets whose members are still in different components meet again, first with other leaders,
 then pair by pair across components, in blocks of bounded size inside tasks. There, pairs whose whole signatures
 agree far too little for the threshold (four standard deviations) or whose weights differ too much are not
-verified. With 40 bands of 6 rows a pair at similarity 0.8 is missed with a chance of 5e-6.
+verified, the others at once; only links leave the task. With 40 bands of 6 rows a pair at similarity 0.8 is missed with a chance of 5e-6.
 
 Defined results: words are split at 0x20 and 0x09-0x0D and lower-cased. A text of one to four words is one shingle.
 A null text, or one without words, is a class of its own row. Rows with the same words are copies and share a
@@ -38,8 +38,9 @@ from cellgrain.llm.wordhash import U, mix
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
-#: Rounds with one leader per bucket before the rest meets pair by pair, and members of a block there.
-LEADER_ROUNDS, BLOCK = 4, 256
+#: The round after the first in which the rest meets pair by pair, members of a block there, and the most shingles
+#: of a text that travels with its block.
+LEADER_ROUNDS, BLOCK, LONG_TEXT = 2, 1024, 5000
 _GOLDEN = U(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
@@ -154,40 +155,60 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _plausible(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs across components of one pair of blocks whose signatures and sizes allow the threshold."""
-    table = table.sort_by([("side", "ascending"), ("node", "ascending")])
+def _links_of_blocks(table: pa.Table, threshold: float) -> pa.Table:
+    """Links across components of one pair of blocks: (a, b, sure).
+
+    Signatures and sizes leave few pairs; those are verified here on the texts, each in the bucket of the first band
+    that it shares. Pairs with a text over LONG_TEXT shingles come without their text and are left open.
+    """
+    table = table.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
     side = np.asarray(table["side"])
     node, component, size = (np.asarray(table[c]) for c in ("node", "component", "size"))
     signature = np.stack([np.frombuffer(x, dtype=np.uint8) for x in table["bytes"].to_pylist()])
+    bucket = table["bucket"][0].as_py()
+    bands = np.array([[x or 0 for x in held] for held in table["bands"].to_pylist()], dtype=np.int64)
+    row, element, weight, _ = elements(pa.concat_arrays(table["text"].chunks))
+    first = np.searchsorted(row, np.arange(len(node) + 1))
     k = signature.shape[1]
-    # bytes of unequal darts agree once in 256
     least = (threshold - 4 * math.sqrt(threshold * (1 - threshold) / k)) * k
     left = np.flatnonzero(side != 1)  # side 2: one block with itself
     right = np.flatnonzero(side != 0)
-    a, b = [], []
+    a, b, sure = [], [], []
     for i in left:
         held = right[(component[right] != component[i]) & (np.minimum(size[right], size[i]) >= threshold * np.maximum(size[right], size[i]) - 1e-9)]
         if side[i] == 2:
             held = held[node[held] > node[i]]
-        agree = (signature[held] == signature[i]).sum(axis=1)
-        found = held[agree >= least]
-        a.append(np.minimum(node[i], node[found])), b.append(np.maximum(node[i], node[found]))
-    empty = np.zeros(0, dtype=np.int64)
-    return pa.table({"a": np.concatenate(a or [empty]), "b": np.concatenate(b or [empty])})
-
-
-def _rest(members: DataFrame, counts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of the open buckets, found block against block; one task holds two blocks at most."""
-    placed = members.join(counts.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+        held = held[(signature[held] == signature[i]).sum(axis=1) >= least]
+        both = (bands[held] == bands[i]) & (bands[i] != 0)
+        for j in held[bands[i][both.argmax(axis=1)] == bucket] if len(held) else held:
+            known = max(size[i], size[j]) <= LONG_TEXT
+            if known:
+                x, y = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+                _, at, to = np.intersect1d(element[x], element[y], assume_unique=True, return_indices=True)
+                shared = np.minimum(weight[x][at], weight[y][to]).sum()
+                if shared < threshold * (size[i] + size[j] - shared):
+                    continue
+            a.append(min(node[i], node[j])), b.append(max(node[i], node[j])), sure.append(known)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
+
+
+def _rest(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, sure) left in the open buckets (bucket, n, node, component), block against block.
+
+    One task holds two blocks at most, and only what is found leaves it, so a bucket of many unlike texts makes
+    no rows for its pairs.
+    """
+    placed = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(nodes.select("node", "size", "bytes"), "node")
+    known = nodes.select("node", "size", "bytes", "bands").join(texts, "node").withColumn("text", F.when(F.col("size") <= LONG_TEXT, F.col("text")))
+    placed = placed.join(known, "node")
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("bucket", "node", "component", "size", "bytes", "block", meets).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "size", "bytes",
+    carried = ("node", "component", "size", "bytes", "bands", "text")
+    dealt = placed.select("bucket", "block", *carried, meets).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *carried,
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _plausible(t, threshold), "a long, b long")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(lambda t: _links_of_blocks(t, threshold), "a long, b long, sure boolean")
 
 
 # ---- classes --------------------------------------------------------------------------------------------------
@@ -222,15 +243,17 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
         members = settle(members.join(counts.select("bucket", "n", "leader"), "bucket"), "open-buckets")
         if members.isEmpty():
             return components.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        stars = components.select(F.col("component").alias("a"), F.col("node").alias("b"))
         if turn == LEADER_ROUNDS:
-            pairs = _rest(members.select("bucket", "node", "component"), members.select("bucket", "n").distinct(), nodes, threshold)
+            found = settle(_rest(members.select("bucket", "n", "node", "component"), nodes, texts, threshold), "rest")
+            links = stars.union(found.where("sure").select("a", "b").distinct())
+            links = settle(links.union(verified(found.where("NOT sure").select("a", "b"), texts, threshold)), "links")
         else:
             pairs = members.where(F.col("component") != F.col("leader.component")).select(
                 F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
             )
+            links = settle(stars.union(verified(pairs, texts, threshold)), "links")
         members = members.select("bucket", "node")
-        stars = components.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        links = settle(stars.union(verified(pairs, texts, threshold)), "links")
     return links
 
 
