@@ -336,18 +336,50 @@ def semantic_definitions(spark, sf):
     return legacy.semantic_definitions(fields).select("field", "kind", "type", "direction", "primary_key")
 
 
+# ---- all columns, times among them; the tests use brute force ---------------------------------
+for _table in ("orders", "events"):
+    def _profile_whole(spark, sf, table=_table):
+        return rounded(profile.column_counts(load(spark, sf, table)), "mean").drop("kind")
+
+    def _types_whole(spark, sf, table=_table):
+        return rounded(profile.feature_types(profile.column_counts(load(spark, sf, table))), "confidence").drop("reason")
+
+    def _infer_whole(spark, sf, table=_table):
+        return schema.infer_schema(profile.column_counts(load(spark, sf, table))).select(*_SCHEMA)
+
+    def _legacy_whole(spark, sf, table=_table):
+        got = legacy.classify_fields(profile.column_counts(load(spark, sf, table)))
+        return rounded(got, "confidence", digits=2).select(
+            "ordinal", "field", "type", "role", "confidence", "valid_count", "value_pattern"
+        )
+
+    query(f"column_profile_{_table}_whole")(_profile_whole)
+    query(f"feature_types_{_table}_whole")(_types_whole)
+    query(f"infer_schema_{_table}_whole")(_infer_whole)
+    query(f"legacy_fields_{_table}_whole")(_legacy_whole)
+
+
 # ---- overviews ------------------------------------------------------------------------------
+def _overview(df, fields=None):
+    return overview.dataset_overview(df, fields).select(
+        "ordinal", "field", "feature_type", "row_count", "missing_count", "high_missing", "mean", "std", "q1",
+        "q3", "outlier_status", "outlier_count",
+    )
+
+
 @query("dataset_overview", f"""WITH {_sql_types('events')}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS m, stddev_pop(value) AS sd FROM events),
 o AS (SELECT count(*) AS n FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), n AS (SELECT * FROM q, o)
 SELECT ordinal, field, feature_type, total AS row_count, total - filled AS missing_count, feature_type <> 'invalid' AND total - filled > 0.3 * total AS high_missing,
  CASE WHEN field = 'value' THEN {r("n.m")} END AS mean, CASE WHEN field = 'value' THEN {r("n.sd")} END AS std, CASE WHEN field = 'value' THEN {r("n.q1")} END AS q1, CASE WHEN field = 'value' THEN {r("n.q3")} END AS q3,
  CASE WHEN field = 'value' THEN CASE WHEN n.n > 0 THEN 'detected' ELSE 'none' END END AS outlier_status, CASE WHEN field = 'value' THEN n.n END AS outlier_count FROM f, n WHERE field <> 'user_id'""")
 def dataset_overview(spark, sf):
-    df = load(spark, sf, "events")
-    return overview.dataset_overview(df, _fields("events")).where("field <> 'user_id'").select(
-        "ordinal", "field", "feature_type", "row_count", "missing_count", "high_missing", "mean", "std", "q1",
-        "q3", "outlier_status", "outlier_count",
-    )
+    """The rows that the twin compares; ``dataset_overview_whole`` has all of them."""
+    return _overview(load(spark, sf, "events"), _fields("events")).where("field <> 'user_id'")
+
+
+@query("dataset_overview_whole")
+def dataset_overview_whole(spark, sf):
+    return _overview(load(spark, sf, "events"))
 
 
 @query("overview_type_counts", f"WITH {_sql_types('orders')} SELECT feature_type, count(*) AS fields FROM f GROUP BY 1")

@@ -81,8 +81,14 @@ SELECT unnest([0, 1, 2, 4]) AS ordinal, unnest(['学号', '班级', '日期', 'k
  n AS non_empty, unnest([n, s, d, k]) AS unique_count, unnest([{r("1.0", 2)}, {r("s / n", 2)}, {r("d / n", 2)}, {r("k / n", 2)}]) AS uniqueness,
  unnest([true, true, true, code / n >= 0.5]) AS is_candidate FROM n""")
 def locator_fields(spark, sf):
+    """The rows that the twin compares; ``locator_fields_whole`` has all of them."""
+    return locator_fields_whole(spark, sf).where("field <> '余额'")
+
+
+@query("locator_fields_whole")
+def locator_fields_whole(spark, sf):
     counts = profile.column_counts(_people(spark, sf))
-    return rounded(locator.locator_fields(counts), "confidence", "uniqueness", digits=2).where("field <> '余额'").select(
+    return rounded(locator.locator_fields(counts), "confidence", "uniqueness", digits=2).select(
         "ordinal", "field", "normalized_name", "semantic", "confidence", "non_empty", "unique_count", "uniqueness",
         "is_candidate",
     )
@@ -93,6 +99,16 @@ WITH n AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS m FROM customer
 SELECT unnest(['学号', '班级', '日期']) AS field, unnest(['identifier', 'group', 'time']) AS semantic, unnest([0, m, 0]) AS matched_count, unnest([true, false, false]) AS is_unique_field,
  '学号' AS unique_field, '未识别出明显的标识/姓名/分组字段，请检查表头或数据。' AS suggestion FROM n""")
 def locator_report(spark, sf):
-    return locator.locator_report(_people(spark, sf).drop("余额", "key"), "building").select(
+    """The columns that the twin compares; ``locator_report_whole`` takes all of them."""
+    return _report(_people(spark, sf).drop("余额", "key"))
+
+
+@query("locator_report_whole")
+def locator_report_whole(spark, sf):
+    return _report(_people(spark, sf))
+
+
+def _report(df):
+    return locator.locator_report(df, "building").select(
         "field", "semantic", "matched_count", "is_unique_field", "unique_field", "suggestion"
     )

@@ -165,6 +165,12 @@ def summary_sheet(spark, sf):
     return export.summary_sheet(metrics).where("section = 'position' AND ord <> 7").drop("metric")
 
 
+@query("summary_sheet_whole")
+def summary_sheet_whole(spark, sf):
+    """Every metric, section and row; the twin of ``summary_sheet`` compares a part."""
+    return export.summary_sheet(stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS))
+
+
 @query("category_top_n", """
 WITH c AS (SELECT field, value, count(*) AS n FROM (SELECT 'p_brand' AS field, p_brand AS value FROM part
   UNION ALL SELECT 'p_type', p_type FROM part UNION ALL SELECT 'p_name', p_name FROM part) GROUP BY 1, 2),
