@@ -140,11 +140,34 @@ def hilbert_shards(
 
 
 def write_shards(df: DataFrame, shards: DataFrame, keys: Sequence[str], path: str) -> None:
-    """Write whole rows as Parquet, one folder per shard, given ``shards`` of their keys.
+    """Write all rows as Parquet, one folder per shard, given ``shards`` with their keys: one place for every row.
 
+    Both sides are ranked by the keys and whatever else they share, and equal ranks meet, so null and repeated keys
+    take as many places as they have rows, without a task that holds all rows of a key. Rows that the shared columns
+    can't tell apart may take each other's places. Rows without a place, and places without a row, are an error.
     Range-partitioned by place, so a shard may have many files, each a run of the curve in order.
     """
-    placed = df.join(shards.select(*keys, "shard", "slot").dropDuplicates(list(keys)), list(keys))
+    types = {f.name: f.dataType for f in shards.schema}
+    shared = [
+        f.name for f in df.schema if f.name not in ("hilbert", "shard", "slot", *keys)
+        and types.get(f.name) == f.dataType and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)
+    ]
+    names = [*keys, *shared]
+    own = [c for c in df.columns if c not in ("shard", "slot")]
+    rows = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("_whole"), *(F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(names)),
+        F.monotonically_increasing_id().alias("_own"),  # spreads the rows of a key over the range partitions
+    )
+    places = shards.select(*(F.col(f"`{c}`").alias(f"_to{i}") for i, c in enumerate(names)), "shard", "slot")
+    rows, _ = ranked(rows, [*(f"_key{i}" for i in range(len(names))), "_own"])
+    places, _ = ranked(places, [*(f"_to{i}" for i in range(len(names))), "shard", "slot"])
+    met = F.col("_own").isNotNull() & F.col("shard").isNotNull()
+    for i in range(len(names)):
+        met = met & F.col(f"_key{i}").eqNullSafe(F.col(f"_to{i}"))
+    placed = rows.join(places, "rank", "full").select(
+        *(F.col("_whole").getField(c).alias(c) for c in own),
+        F.when(met, F.col("shard")).otherwise(F.raise_error(F.lit("rows and their places in shards differ")).cast("int")).alias("shard"), "slot",
+    )
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -222,6 +222,31 @@ def test_written_shards_prune(spark, tmp_path):
     assert spans < 350
 
 
+@pytest.mark.parametrize("carried", [True, False])
+def test_written_shards_keep_null_and_repeated_ids(spark, tmp_path, carried):
+    rows = [(None if i % 5 == 0 else 7 if i % 3 == 0 else i, f"s{i % 9}", (i * 37) % 500, f"text {i}") for i in range(600)]
+    rows += [(7, "same", 1, "same text")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long, text string")
+    placed = sharding.hilbert_shards(df.drop("text"), ["source", "n"], 16, ["doc_id"]).localCheckpoint()
+    shards = placed if carried else placed.select("doc_id", "shard", "slot")
+    sharding.write_shards(df, shards, ["doc_id"], f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted(map(key, ((r.doc_id, r.source, r.n, r.text) for r in back))) == sorted(map(key, rows))
+    slots = {}
+    for r in back:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(slots) == 16 and all(sorted(s) == list(range(40)) for s in slots.values())
+    at = lambda r: key((r.doc_id, r.source, r.n) if carried else (r.doc_id,)) + (r.shard, r.slot)
+    assert sorted(map(at, back)) == sorted(map(at, placed.collect()))
+
+
+def test_shards_of_other_rows_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, text string")
+    for k, plan in enumerate(([(1, 0, 0), (None, 0, 1)], [(1, 0, 0), (1, 0, 1), (2, 0, 2)])):
+        with pytest.raises(Exception, match="places in shards differ"):
+            sharding.write_shards(df, spark.createDataFrame(plan, "doc_id long, shard int, slot long"), ["doc_id"], f"{tmp_path}/{k}")
+
+
 def test_token_counts_against_offsets(docs):
     from tokenizers import Tokenizer
 
