@@ -57,10 +57,41 @@ def text_parts(text: Column) -> Column:
     return F.array(part)
 
 
+#: Fields that each known type of a JSON part may have besides its type; the first must be there.
+_FIELDS = {"text": ("text",), "image": ("uri", "width", "height"), "audio": ("uri", "seconds"), "document": ("uri", "pages")}
+
+
+def _is_part(part: Column, raw: Column) -> Column:
+    """Whether ``part`` takes over all that the JSON object ``raw`` (a map) says."""
+    keys, kind = F.map_keys(raw), part["type"]
+
+    def fits(*fields: str) -> Column:
+        parsed = [part[f].isNotNull() | F.element_at(raw, f).isNull() for f in fields if f not in ("text", "uri")]
+        held = part[fields[0]].isNotNull() & (F.size(F.array_except(keys, F.array(*map(F.lit, ("type", *fields))))) == 0)
+        for p in parsed:
+            held = held & p
+        return held
+
+    test = F.when(kind.isNull() | (F.size(keys) != F.size(F.array_distinct(keys))), False)
+    for name, fields in _FIELDS.items():
+        test = test.when(kind == name, fits(*fields))
+    return F.coalesce(test.otherwise(fits("text") | fits("uri")), F.lit(False))
+
+
 def json_parts(content: Column) -> Column:
-    """Content that may be a JSON list of parts; anything else is plain text."""
-    parsed = F.from_json(F.when(F.ltrim(content).startswith("["), content), f"array<{PART}>")
-    return F.coalesce(parsed, text_parts(content))
+    """Content that may be a JSON list of parts; anything else is plain text.
+
+    A list of parts is the whole content, has a part of a known type, and each of its parts has a type, the text or
+    uri that goes with it, and nothing that the part would not take over. So no answer in JSON is taken for parts.
+    """
+    listed = F.when(F.ltrim(F.translate(content, "\t\r\n", "   ")).startswith("["), content)
+    parts, raw = F.from_json(listed, f"array<{PART}>"), F.from_json(listed, "array<map<string,string>>")
+    # from_json does not look at what follows the list, so the list must end where a mark of its own begins
+    mark = F.md5(listed.cast("binary"))
+    closed = F.from_json(F.concat(F.lit("["), listed, F.lit(',["'), mark, F.lit('"]]')), "array<array<string>>")
+    whole = (F.size(closed) == 2) & (F.get(F.get(closed, F.lit(1)), F.lit(0)) == mark)
+    good = F.forall(F.zip_with(parts, raw, _is_part), lambda x: x) & F.exists(parts, lambda p: p["type"].isin(*_FIELDS))
+    return F.when(whole & good, parts).otherwise(text_parts(content))
 
 
 def _image(p: Column) -> Column:

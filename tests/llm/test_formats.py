@@ -46,6 +46,26 @@ def test_chat_parts(spark):
     assert r.n_tokens == 1 + 6 + 4 + 38 + 512 + 1 + 1
 
 
+def test_json_that_is_no_list_of_parts_stays_text(spark):
+    part = '[{"type":"text","text":"a"}]'
+    texts = [
+        "[]", " [ ]", "[1]", "[null]", '["a"]', '[{}]', '[{"name": "x"}]', '[{"type":"fruit","text":"apple"}]', '[{"type":"text"}]', '[{"type":"image"}]',
+        '[{"type":"text","text":null}]', '[{"type":"text","text":"a"},{"name":"x"}]', '[{"type":"text","text":"a"},null]', '[{"type":"text","text":"a","score":3}]',
+        '[{"type":"image","uri":"u","text":"a cat"}]', '[{"type":"image","uri":"u","width":"wide"}]', '[{"type":"text","text":"a","text":"b"}]', '[{"text":"a"}]',
+        part + " and more", part + " [1]", part + ", [1]", part + "] [", part[:-1], f"[{part}]", "[see above]", "{}", "", None,
+    ]
+    df = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df.withColumn("parts", chat.json_parts(F.col("text")))).select(
+        "*", chat.parse_chat(F.col("formatted")).alias("turns"), chat.unescape(chat.masked_text("formatted", "loss_spans")).alias("loss"),
+        chat.pieces_of(F.col("turns")[0]["text"]).alias("n")).collect()
+    assert {r.conv_id: (r.turns[0].text, r.loss, len(r.attachments)) for r in out} == {i: (t or "", t or "", 0) for i, t in enumerate(texts)}
+    assert all(r.n_tokens == r.n for r in out)
+    good = ["\n" + part + " \n", '[{"type":"text","text":""},{"type":"image","uri":"u","width":null}]', '[{"type":"audio","uri":"u","seconds":2},{"type":"document","uri":"v"}]']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good)], "i long, text string").orderBy("i")
+    assert [[(p.type, p.text, p.uri) for p in r[0]] for r in df.select(chat.json_parts(F.col("text"))).collect()] == [
+        [("text", "a", None)], [("text", "", None), ("image", None, "u")], [("audio", None, "u"), ("document", None, "v")]]
+
+
 def test_chat_of_nothing(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
     assert chat.format_chats(df).count() == 0
