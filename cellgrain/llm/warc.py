@@ -1,10 +1,12 @@
 """WARC archives inside ZIP packages: written by tasks, read back by byte ranges without extraction.
 
-A package is a ZIP file with two stored members: ``archive/data.warc.gz``, whose records are gzip members of their
-own, and ``indexes/index.jsonl`` with offset and length of every record. The reader fetches the end of the file,
-follows the ZIP64 locator where there is one, parses the central directory, finds where the stored members begin,
-reads the index, and then fetches runs of records by range. A compressed member is refused: its records have no
-place of their own in the package.
+A package is a ZIP file with stored members: archives under ``archive/``, whose records are gzip members of their own,
+and indexes under ``indexes/`` with archive, offset and length of every record. The writer makes one of each,
+``archive/data.warc.gz`` and ``indexes/index.jsonl``. The reader fetches the end of the file, follows the ZIP64
+locator where there is one, parses the central directory, finds where the stored members begin, reads all indexes
+(JSON lines, also after a sort key as in CDXJ, plain or gzip), and then fetches runs of records of every archive by
+range. A record that several indexes list is read once. Refused are compressed members, whose records have no place of
+their own in the package, archives without an index line, and index lines that lead to no archive or past its end.
 
 Packages live in any folder that Arrow's file systems can open on all executors (local shared paths, hdfs, s3,
 gcs). A task writes under a name of its own, and only the packages that a finished task reported are read, so a
@@ -196,7 +198,7 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
                             row["page_id"], row["url"], row["payload"], row["digest"], row["n_bytes"], row["refers_to"]
                         ), compresslevel=4, mtime=0)
                         archive.write(record)
-                        index.append(json.dumps({"offset": at, "length": len(record)}))
+                        index.append(json.dumps({"filename": ARCHIVE.removeprefix("archive/"), "offset": at, "length": len(record)}))
                         at += len(record)
                         row = next(rows, None)
                 with package.open(INDEX, "w") as lines:
@@ -211,6 +213,40 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
     return settle(records.mapInArrow(write, "path string, n_records long, n_bytes long"), "packages")
 
 
+def entries_of(file, size: int) -> list[tuple[int, int]]:
+    """Place in the package and length of every record, by all indexes of an open package, in order."""
+    members = [m for m in directory(file, size) if not m.name.endswith("/")]
+    archives = {m.name: stored_range(file, m) for m in members if m.name.startswith("archive/")}
+    found = set()
+    for index in members:
+        # an .idx only leads into a compressed index beside it
+        if not index.name.startswith("indexes/") or index.name.endswith(".idx"):
+            continue
+        at, n = stored_range(file, index)
+        file.seek(at)
+        held = file.read(n)
+        for line in (gzip.decompress(held) if held[:2] == b"\x1f\x8b" else held).splitlines():
+            if b"{" not in line:
+                if line.strip() and not line.startswith(b"!"):
+                    raise ValueError(f"{index.name} has a line without a JSON object")
+                continue
+            entry = json.loads(line[line.index(b"{") :])
+            name = entry.get("filename")
+            if name is None and len(archives) == 1:
+                name = next(iter(archives))
+            named = name if name in archives else f"archive/{name}"
+            if named not in archives:
+                raise ValueError(f"{index.name} leads to the archive {name}, which the package lacks")
+            offset, length = int(entry["offset"]), int(entry["length"])
+            if offset < 0 or length <= 0 or offset + length > archives[named][1]:
+                raise ValueError(f"{index.name} leads past the end of {named}")
+            found.add((named, offset, length))
+    unread = sorted(a for a, (_, n) in archives.items() if n and a not in {f[0] for f in found})
+    if unread:
+        raise ValueError(f"no index of {', '.join(unread)}")
+    return sorted((archives[a][0] + offset, length) for a, offset, length in found)
+
+
 def locate(packages: DataFrame) -> DataFrame:
     """Runs of whole records of about RANGE_BYTES: path, start, lengths. Reads directories and indexes only."""
 
@@ -219,18 +255,15 @@ def locate(packages: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 file, size = _open(path)
                 with file:
-                    members = {m.name: m for m in directory(file, size)}
-                    start, _ = stored_range(file, members[ARCHIVE])
-                    index_at, index_bytes = stored_range(file, members[INDEX])
-                    file.seek(index_at)
-                    entries = [json.loads(line) for line in file.read(index_bytes).splitlines()]
-                runs, room = [], 0
-                for e in entries:
-                    if not runs or room < e["length"]:
-                        runs.append((start + e["offset"], []))
+                    entries = entries_of(file, size)
+                runs, room, end = [], 0, None
+                for at, n in entries:
+                    if at != end or room < n:
+                        runs.append((at, []))
                         room = RANGE_BYTES
-                    runs[-1][1].append(e["length"])
-                    room -= e["length"]
+                    runs[-1][1].append(n)
+                    room -= n
+                    end = at + n
                 yield pa.RecordBatch.from_pydict({
                     "path": [path] * len(runs), "start": pa.array([r[0] for r in runs], pa.int64()),
                     "lengths": pa.array([r[1] for r in runs], pa.list_(pa.int64())),

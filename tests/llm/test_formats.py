@@ -1,6 +1,9 @@
 """Chat formatting, WARC packages, pieces, and the pipeline."""
 
+import gzip
+import hashlib
 import io
+import json
 import os
 import random
 import uuid
@@ -121,6 +124,30 @@ def test_packages_round_trip(spark, monkeypatch):
     assert warc.read_packages(warc.write_packages(warc.with_revisits(pages.limit(0), 1000), folder + "x")).count() == 0
 
 
+def archive_of(ids):
+    """An archive of one record per id, and (offset, length) of each."""
+    records = [gzip.compress(warc.record_bytes(i, f"http://{i}", b"x" * i, hashlib.sha1(b"x" * i).hexdigest(), i, None)) for i in ids]
+    return b"".join(records), [(sum(map(len, records[:k])), len(r)) for k, r in enumerate(records)]
+
+
+def test_packages_of_several_archives(spark, tmp_path):
+    (a, in_a), (b, in_b), (c, in_c) = archive_of([1, 2, 3]), archive_of([4, 5]), archive_of([6])
+    line = lambda name, x: json.dumps({"offset": x[0], "length": x[1], "filename": name})
+    first = "\n".join([line("a.warc.gz", x) for x in reversed(in_a)] + [line("archive/b.warc.gz", in_b[0])])
+    second = "com,example)/ 2024 " + json.dumps({"offset": str(in_b[1][0]), "length": str(in_b[1][1]), "filename": "b.warc.gz"}) + "\n" + line("a.warc.gz", in_a[0])
+    whole = [("archive/", b""), ("archive/a.warc.gz", a), ("archive/b.warc.gz", b), ("indexes/one.jsonl", first.encode()), ("indexes/two.cdxj.gz", gzip.compress(second.encode()))]
+    alone = [("archive/only.warc.gz", c), ("indexes/i.jsonl", json.dumps({"offset": 0, "length": in_c[0][1]}).encode())]
+    for name, members in (("whole", whole), ("alone", alone)):
+        (tmp_path / f"{name}.zip").write_bytes(package(members).getvalue())
+    packages = spark.createDataFrame([(f"file://{tmp_path}/{n}.zip",) for n in ("whole", "alone")], "path string")
+    assert sorted((r.page_id, r.url, r.payload_bytes) for r in warc.read_packages(packages).collect()) == [(i, f"http://{i}", i) for i in range(1, 7)]
+    past = json.dumps({"offset": 1, "length": len(a), "filename": "a.warc.gz"}).encode()
+    for broken in (whole[:3], [*whole[:4], ("archive/d.warc.gz", c)], [whole[1], whole[3]], [whole[1], whole[2], alone[1]], [whole[1], ("indexes/i", past)], [whole[1], ("indexes/i", b"1 2")]):
+        held = package(broken)
+        with pytest.raises(ValueError):
+            warc.entries_of(held, len(held.getvalue()))
+
+
 # ---- pieces ---------------------------------------------------------------------------------------------------
 def hostile_texts():
     rng = random.Random(1)
