@@ -11,8 +11,9 @@ Signatures are cut into bands. Texts that share a band meet in a bucket, and lin
 texts. Buckets are not expanded into all pairs: equal texts are one node, each member meets one leader of its
 bucket, and only buckets whose members are still in different components meet again, first with other leaders,
 then pair by pair across components, in blocks of bounded size inside tasks. There, pairs whose whole signatures
-agree far too little for the threshold (four standard deviations) or whose weights differ too much are not
-verified, the others at once; only links leave the task. With 40 bands of 6 rows a pair at similarity 0.8 is missed with a chance of 5e-6.
+agree far too little for the threshold (five and a half standard deviations) or whose weights differ too much are not
+verified, the others at once; only links leave the task. With 40 bands of 6 rows a pair at similarity 0.8 shares no band
+with a chance of 5.2e-6 and falls below that bound with one of 1e-7, so it is missed with a chance of 5.4e-6 at most.
 
 Defined results: words are split at 0x20 and 0x09-0x0D and lower-cased. A text of one to four words is one shingle.
 A null text, or one without words, is a class of its own row. Rows with the same words are copies and share a
@@ -41,6 +42,8 @@ BANDS, ROWS = 40, 6
 #: The round after the first in which the rest meets pair by pair, members of a block there, and the most shingles
 #: of a text that travels with its block.
 LEADER_ROUNDS, BLOCK, LONG_TEXT = 2, 1024, 5000
+#: How many standard deviations fewer places than expected may agree before a pair is left unverified.
+DEVIATIONS = 5.5
 _GOLDEN = U(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
@@ -155,6 +158,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def least_agreement(threshold: float, k: int) -> float:
+    """Places of k in which two signatures agree at the least, if the texts are as similar as the threshold."""
+    return threshold * k - DEVIATIONS * math.sqrt(threshold * (1 - threshold) * k)
+
+
 def _links_of_blocks(table: pa.Table, threshold: float) -> pa.Table:
     """Links across components of one pair of blocks: (a, b, sure).
 
@@ -170,7 +178,7 @@ def _links_of_blocks(table: pa.Table, threshold: float) -> pa.Table:
     row, element, weight, _ = elements(pa.concat_arrays(table["text"].chunks))
     first = np.searchsorted(row, np.arange(len(node) + 1))
     k = signature.shape[1]
-    least = (threshold - 4 * math.sqrt(threshold * (1 - threshold) / k)) * k
+    least = least_agreement(threshold, k)
     left = np.flatnonzero(side != 1)  # side 2: one block with itself
     right = np.flatnonzero(side != 0)
     a, b, sure = [], [], []

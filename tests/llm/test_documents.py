@@ -1,7 +1,10 @@
 """Operators on documents: awkward rows, empty tables, brute force."""
 
+import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +87,23 @@ def test_many_near_copies_meet_through_leaders_and_blocks(spark, monkeypatch):
     assert got == {i: c for (i, _), c in zip(rows, brute_classes(rows), strict=True)}
 
 
+def test_block_round_verifies_pairs_whose_signatures_agree_little():
+    k = near_dedup.BANDS * near_dedup.ROWS
+    bound = math.ceil(near_dedup.least_agreement(0.8, k))
+    below = sum(math.comb(k, i) * 0.8**i * 0.2 ** (k - i) for i in range(bound))
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS + below < 5.4e-6
+    rng = random.Random(3)
+    base = prose(rng, 200).split(" ")
+    texts = [" ".join(base), " ".join([*base[:100], "changed", *base[101:]])]
+    size = float(len(base) - 4)
+    signature = [bytes(k), bytes(160) + b"\1" * (k - 160)]
+    table = pa.table({
+        "bucket": [9, 9], "i": [0, 0], "j": [0, 0], "side": pa.array([2, 2], pa.int32()), "node": [1, 2], "component": [1, 2], "size": [size, size],
+        "bytes": signature, "bands": [[9], [9]], "text": texts,
+    })
+    assert near_dedup._links_of_blocks(table, 0.8).to_pylist() == [{"a": 1, "b": 2, "sure": True}]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     elements = rng.integers(1, 2**63, 300, dtype=np.uint64)
