@@ -144,9 +144,9 @@ def sql_unpivot(table: str, fields: Sequence[str], extra: str = "") -> str:
 
 
 def at_scale(name: str, rows: int = 2_000_000) -> None:
-    """Register ``<name>_at_scale``: the query as planned for a table of that many rows, nothing counted."""
+    """Register ``<name>_at_scale``: the query as planned for tables of that many rows, or of their own where they have more."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with ordering.assuming(rows):
+        with ordering.assuming(rows, least=True):
             return QUERIES[name](spark, sf_dir)
 
     QUERIES[f"{name}_at_scale"] = run

@@ -30,13 +30,16 @@ ROWS_PER_RANGE = 500_000
 MAX_RANGES = 4096
 
 
-_assumed: ContextVar[int | None] = ContextVar("assumed_rows", default=None)
+_assumed: ContextVar[tuple[int, bool] | None] = ContextVar("assumed_rows", default=None)
 
 
 @contextmanager
-def assuming(rows: int) -> Iterator[None]:
-    """Plan every table for that many rows, as if ``rows`` were passed to each operator; nothing is counted."""
-    token = _assumed.set(rows)
+def assuming(rows: int, least: bool = False) -> Iterator[None]:
+    """Plan every table for that many rows, as if ``rows`` were passed to each operator; nothing is counted.
+
+    With ``least`` tables are counted, and larger ones are planned for their own rows.
+    """
+    token = _assumed.set((rows, least))
     try:
         yield
     finally:
@@ -44,13 +47,14 @@ def assuming(rows: int) -> Iterator[None]:
 
 
 def count_rows(df: DataFrame, rows: int | None = None) -> int:
-    """Row count that bounds single-task work.
+    """Row count that bounds single-task work; a planning size that no result may show.
 
     Pass ``rows``, or plan inside :func:`assuming`, when the size is known; otherwise the table is counted.
     """
-    if rows is None:
-        rows = _assumed.get()
-    return df.count() if rows is None else rows
+    if rows is not None:
+        return rows
+    assumed, least = _assumed.get() or (0, True)
+    return max(assumed, df.count()) if least else assumed
 
 
 def range_count(df: DataFrame, rows: int) -> int:

@@ -94,11 +94,11 @@ def dataset_profile(
                 ), "; ",
             ).alias("top_categories")
         )
+        totals = counts.select("field", F.col("total").cast("bigint").alias("count"))
         frames.append(
-            sizes.join(F.broadcast(best), "field").select(
-                "field", F.lit("categorical").alias("feature_type"),
-                F.lit(rows).cast("bigint").alias("count"), "valid_count",
-                (F.lit(rows) - F.col("valid_count")).cast("bigint").alias("missing_count"),
+            sizes.join(F.broadcast(best), "field").join(F.broadcast(totals), "field").select(
+                "field", F.lit("categorical").alias("feature_type"), "count", "valid_count",
+                (F.col("count") - F.col("valid_count")).cast("bigint").alias("missing_count"),
                 null_d.alias("min"), null_d.alias("max"), null_d.alias("mean"), null_d.alias("std"),
                 "unique_count", "top_categories",
             )
@@ -106,12 +106,11 @@ def dataset_profile(
     for f in by_type["temporal"]:
         ms = time_ms_of(df, f, wide=True)
         frames.append(df.agg(
-            F.count(ms).alias("valid_count"), F.min(ms).cast("double").alias("min"),
+            F.count(F.lit(1)).alias("count"), F.count(ms).alias("valid_count"), F.min(ms).cast("double").alias("min"),
             F.max(ms).cast("double").alias("max"),
         ).select(
             F.lit(f).alias("field"), F.lit("temporal").alias("feature_type"),
-            F.lit(rows).cast("bigint").alias("count"), "valid_count",
-            (F.lit(rows) - F.col("valid_count")).cast("bigint").alias("missing_count"),
+            "count", "valid_count", (F.col("count") - F.col("valid_count")).cast("bigint").alias("missing_count"),
             "min", "max", null_d.alias("mean"), null_d.alias("std"),
             null_l.alias("unique_count"), null_s.alias("top_categories"),
         ))

@@ -149,3 +149,28 @@ def test_too_many_keys_or_a_missed_rank_use_the_ranges(spark, skewed, large_path
     wide = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     assert ordering._narrowed_quantiles(wide, [], "v", {"m": 0.5}) is None
     assert ordering.quantiles(wide, [], "v", {"m": 0.5}).first()[0] == 499.5
+
+
+def test_planning_sizes_grow_with_the_table_and_show_in_no_result(spark):
+    from cellgrain.plans import overview
+
+    df = spark.range(40).selectExpr("if(id % 4 = 0, null, concat('k', id % 3)) AS kind", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id % 7 AS int)) AS at")
+    for assumed, least, planned in ((10, True, 40), (100, True, 100), (10, False, 10)):
+        with ordering.assuming(assumed, least):
+            assert ordering.count_rows(df) == planned and ordering.count_rows(df, 7) == 7
+    with ordering.assuming(5_000_000):
+        got = {r.field: (r["count"], r.valid_count, r.missing_count) for r in overview.dataset_profile(df).collect()}
+    assert got == {"kind": (40, 30, 10), "at": (40, 40, 0)}
+
+
+def test_catalog_plans_at_scale_for_the_rows_there_are(spark, monkeypatch):
+    from catalog import base
+
+    seen = []
+    monkeypatch.setitem(base.QUERIES, "sized", lambda spark, sf: seen.append(ordering.count_rows(spark.range(3_000_000))))
+    monkeypatch.setitem(base.ORACLES, "sized", "SELECT 1")
+    monkeypatch.setitem(base.QUERIES, "sized_at_scale", None)
+    monkeypatch.setitem(base.ORACLES, "sized_at_scale", None)
+    base.at_scale("sized")
+    base.QUERIES["sized_at_scale"](spark, "")
+    assert seen == [3_000_000]
