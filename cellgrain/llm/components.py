@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrain.llm.common import settle
+from cellgrain.llm.common import release, settle
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -38,11 +38,15 @@ def connected(edges: DataFrame) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars"
     )
     while not _all_stars(current):
+        before = current
         large = _least(current.select(F.inline(F.array(_edge("u", "v"), _edge("v", "u"))))).where("v > u AND v <> m")
         small = _least(large.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
         current = settle(small.select(F.inline(F.array(_edge("v", "m"), _edge("u", "m")))).where("u <> v").distinct(), "stars")
+        release(before)
     named = current.select(F.inline(F.array(
         F.struct(F.col("u").alias("node"), F.col("v").alias("component")),
         F.struct(F.col("v").alias("node"), F.col("v").alias("component")),
     )))
-    return settle(named.distinct(), "components")
+    out = settle(named.distinct(), "components")
+    release(current)
+    return out

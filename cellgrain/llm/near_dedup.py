@@ -18,7 +18,8 @@ with a chance of 5.2e-6 and falls below that bound with one of 1e-7, so it is mi
 Defined results: words are split at 0x20 and 0x09-0x0D and lower-cased. A text of one to four words is one shingle.
 A null text, or one without words, is a class of its own row. Rows with the same words are copies and share a
 class. The class id is the least doc_id of the class (null only if all are). Other columns pass; empty in, empty
-out. Texts are told apart by 64-bit hashes of their words.
+out. Texts of any length are taken whole. Texts are told apart by 128 bits over the 128-bit hashes of their words; shingles are
+compared by 64 bits.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrain.llm import wordhash
-from cellgrain.llm.common import load, on_row_key, only, packed, query, row_key, settle, unpacked
+from cellgrain.llm.common import join_spread, load, on_row_key, only, packed, query, release, row_key, settle, unpacked
 from cellgrain.llm.components import connected
 from cellgrain.llm.wordhash import U, mix
 
@@ -49,25 +50,22 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
 
 # ---- signatures -----------------------------------------------------------------------------------------------
-def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, weight) in order of row and hash, and the hash of each row's words (0: no words)."""
+def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, wordhash.Words]:
+    """(row, shingle hash, weight) in order of row and hash, and the words they are made of."""
     w = wordhash.words(pc.utf8_lower(column))
     n_words = np.diff(w.first)
     at = wordhash.starts_inside(w, SHINGLE)
     hashed, row = wordhash.windows(w.hashes[0], SHINGLE)[at], w.row[at]
-    base = 0xC2B2AE3D27D4EB4F
-    total = np.zeros(len(w.row) + 1, dtype=np.uint64)
-    np.cumsum(w.hashes[0] * wordhash._power(base, len(w.row)), out=total[1:])
-    whole = mix((total[w.first[1:]] - total[w.first[:-1]]) * wordhash._power(pow(base, -1, 2**64), len(w.row) + 1)[w.first[:-1]] + n_words.astype(np.uint64))
-    whole[n_words == 0] = 0
     short = np.flatnonzero((n_words > 0) & (n_words < SHINGLE))
-    row, hashed = np.concatenate([row, short]), np.concatenate([hashed, whole[short]])
+    if len(short):
+        row = np.concatenate([row, short])
+        hashed = np.concatenate([hashed, wordhash.sequences(w, w.first[short], w.first[short + 1])[:, 0]])
     order = np.lexsort((hashed, row))
     row, hashed = row[order], hashed[order]
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (hashed[1:] != hashed[:-1])
     first = np.flatnonzero(new)
-    return row[first], hashed[first], np.diff(np.append(first, len(row))).astype(np.float64), whole
+    return row[first], hashed[first], np.diff(np.append(first, len(row))).astype(np.float64), w
 
 
 def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, k: int) -> np.ndarray:
@@ -107,7 +105,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
     k = bands * rows
     for batch in batches:
         for part in wordhash.slices(batch, "text", 1 << 20):
-            row, element, weight, whole = elements(part.column("text"))
+            row, element, weight, w = elements(part.column("text"))
+            whole, wordless = wordhash.sequences(w, w.first[:-1], w.first[1:]), w.first[1:] == w.first[:-1]
             signature = dart_signatures(row, element, weight, part.num_rows, k)
             grouped = signature.reshape(part.num_rows, bands, rows)
             band = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN, grouped.shape[:2]).copy()
@@ -117,7 +116,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             size = np.bincount(row, weights=weight, minlength=part.num_rows)
             yield pa.RecordBatch.from_pydict({
                 "_id": part.column("_id"), "_text_hash": part.column("_text_hash"),
-                "node": pa.array(wordhash.signed(whole), mask=whole == 0), "size": pa.array(size),
+                "a": pa.array(wordhash.signed(whole[:, 0].copy()), mask=wordless), "b": pa.array(wordhash.signed(whole[:, 1].copy()), mask=wordless),
+                "size": pa.array(size),
                 "bands": pa.ListArray.from_arrays(
                     pa.array(np.arange(0, len(missing) + 1, bands, dtype=np.int32)),
                     pa.array(wordhash.signed(band.ravel()), mask=missing),
@@ -150,12 +150,12 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The distinct pairs (a, b) of nodes whose texts are similar."""
+    """The distinct pairs (a, b) of nodes whose texts are similar. A leader of many pairs has its text copied to several tasks."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(
-        lambda batches: _verify(batches, threshold), "a long, b long"
-    )
+    pairs = settle(pairs.distinct(), "pairs")
+    met = join_spread(pairs.join(b, "b"), a, ["a"], pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times")), ["b"])
+    return met.select("a", "b", "a_text", "b_text").mapInArrow(lambda batches: _verify(batches, threshold), "a long, b long")
 
 
 def least_agreement(threshold: float, k: int) -> float:
@@ -225,12 +225,20 @@ def _with_component(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(named, "node", "left").withColumn("component", F.coalesce("_named", "node")).drop("_named")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """One numbered node for each distinct text with words: texts are told apart by 128 bits (a, b) of their words.
+
+    The number is given when the table is written, so it stays the same; ``row`` is the row whose text stands for all.
+    """
+    found = signed.where("a IS NOT NULL").groupBy("a", "b").agg(
+        F.min(F.struct("_id", "_text_hash")).alias("row"), F.min("_id").alias("least_id"), F.first("size").alias("size"),
+        F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("times"),
+    )
+    return settle(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect the nodes of every class: verified ones, or stars in place of those found before."""
-    nodes = settle(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min_by(F.struct("_id", "_text_hash"), F.struct("_id", "_text_hash")).alias("row"), F.first("size").alias("size"),
-        F.first("bands").alias("bands"), F.first("bytes").alias("bytes"),
-    ), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket")).where("bucket IS NOT NULL")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = settle(members.join(shared, "bucket"), "buckets")
@@ -240,6 +248,7 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
     links = settle(verified(
         members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), texts, threshold
     ), "links")
+    buckets = members
     members = members.select("bucket", "node")
     for turn in range(1, LEADER_ROUNDS + 1):
         components = connected(links)
@@ -249,13 +258,17 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
             F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("leader"),
         ).where("lo <> hi")
         members = settle(members.join(counts.select("bucket", "n", "leader"), "bucket"), "open-buckets")
-        if members.isEmpty():
-            return components.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        release(buckets, links)
+        buckets = members
         stars = components.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        if members.isEmpty():
+            release(texts, members)
+            return stars
         if turn == LEADER_ROUNDS:
             found = settle(_rest(members.select("bucket", "n", "node", "component"), nodes, texts, threshold), "rest")
             links = stars.union(found.where("sure").select("a", "b").distinct())
             links = settle(links.union(verified(found.where("NOT sure").select("a", "b"), texts, threshold)), "links")
+            release(texts, members, found)
         else:
             pairs = members.where(F.col("component") != F.col("leader.component")).select(
                 F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
@@ -270,16 +283,20 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = docs.select(*row_key(), "text")
     signed = settle(keyed.mapInArrow(
         lambda batches: _sign(batches, BANDS, ROWS),
-        "_id long, _text_hash long, node long, size double, bands array<long>, bytes binary",
+        "_id long, _text_hash long, a long, b long, size double, bands array<long>, bytes binary",
     ), "signatures")
-    components = connected(near_links(docs, signed, threshold))
-    rows = _with_component(signed.select("_id", "_text_hash", "node"), components)
-    names = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("_id").alias("class_id"))
-    out = rows.join(names, "component", "left")
-    return out.select(
-        "_id", "_text_hash", F.when(F.col("component").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
-        "node",
-    )
+    nodes = nodes_of(signed)
+    components = connected(near_links(docs, nodes, threshold))
+    # classes are named over distinct texts; rows meet the name of their text, a text of many rows in several tasks
+    placed = settle(_with_component(nodes.select("node", "a", "b", "least_id", "times"), components), "placed")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min("least_id").alias("class_id"))
+    sizes = settle(sizes, "classes")
+    named = join_spread(placed, sizes.select("component", "class_id"), ["component"], sizes.drop("class_id"), ["node"])
+    named = settle(named.select("a", "b", "node", "class_id", "times"), "names")
+    rows = signed.select("_id", "_text_hash", "a", "b")
+    met = join_spread(rows.where("a IS NOT NULL"), named.drop("times"), ["a", "b"], named.select("a", "b", "times"), ["_id", "_text_hash"])
+    wordless = rows.where("a IS NULL").select("_id", "_text_hash", F.col("_id").alias("class_id"), F.lit(None).cast("long").alias("node"))
+    return met.select("_id", "_text_hash", "class_id", "node").unionByName(wordless)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellgrain.llm import wordhash
-from cellgrain.llm.common import load, only, packed, query
+from cellgrain.llm.common import load, only, packed, packed_schema, query
 from cellgrain.llm.wordhash import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -355,8 +356,8 @@ def encode(docs: DataFrame, path: str = MODEL, kind: int | None = None, with_dec
                     out = out.append_column("decoded", pa.array([None if x is None else decode_ids(x, model) for x in ids], pa.string()))
                 yield out
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields] + ["token_ids array<int>"]
-    return held.mapInArrow(run, ", ".join(fields + ["decoded string"] * with_decoded))
+    added = [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
+    return held.mapInArrow(run, packed_schema(held, *added[: 1 + with_decoded]))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -368,8 +369,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [decode_ids(np.asarray(x.values), model) if x.is_valid else None for x in batch.column("token_ids")]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    types = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
-    return encoded.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in types.items()) + ", decoded string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 @query("op6_piece_lattice")

@@ -9,7 +9,7 @@ order, numbered inside their partition, and shifted by the row counts of the par
 
 Defined results: nulls of a dimension form its lowest cell. Rows equal in the whole order take neighbouring ranks;
 which of them comes first makes no difference to what can be read back. An empty table gives no rows. Fewer rows
-than shards leave some shards empty.
+than shards leave some shards empty. Texts take part by their columns only, so their length does not matter.
 """
 
 from __future__ import annotations
@@ -129,14 +129,20 @@ def hilbert_shards(
 ) -> DataFrame:
     """Adds hilbert, ``shard`` from 0 to n_shards - 1 and ``slot``, the row's place in its shard from 0.
 
-    Pass only the columns that are wanted back: all of them travel in the sort. Columns of these names are replaced.
+    Pass only the columns that are wanted back: all of them travel in the sort. hilbert, shard and slot replace columns of
+    those names; all others pass, whatever their names.
     """
-    df = df.drop("hilbert", "shard", "slot")
-    out, total = ranked(curve(df, dimensions, bits), ["hilbert", *tie_break])
+    own = [c for c in df.columns if c not in ("hilbert", "shard", "slot")]
+    axes, order = [f"_axis{i}" for i in range(len(dimensions))], [f"_order{i}" for i in range(len(tie_break))]
+    keyed = df.select(
+        F.struct(*(F.col(f"`{c}`").alias(c) for c in own)).alias("_own"),
+        *(F.col(f"`{c}`").alias(n) for c, n in zip([*dimensions, *tie_break], axes + order, strict=True)),
+    )
+    out, total = ranked(curve(keyed, axes, bits), ["hilbert", *order])
     n = int(total.first()[0])
     out = out.withColumn("shard", F.expr(f"cast(rank * {n_shards}L div {max(n, 1)}L as int)"))
     first = F.expr(f"(shard * {n}L + {n_shards - 1}L) div {n_shards}L")  # the least rank of the shard
-    return out.withColumn("slot", F.col("rank") - first).drop("rank")
+    return out.withColumn("slot", F.col("rank") - first).select(*(F.col("_own").getField(c).alias(c) for c in own), "hilbert", "shard", "slot")
 
 
 def write_shards(df: DataFrame, shards: DataFrame, keys: Sequence[str], path: str) -> None:

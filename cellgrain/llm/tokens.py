@@ -11,8 +11,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from cellgrain.llm.wordhash import text_bytes
-
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -29,6 +27,20 @@ class Coded:
     data: np.ndarray
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a text column; null counts as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+    column = column.cast(pa.large_string()).fill_null("")
+    n = len(column)
+    if not n:
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    held = column.buffers()[2]
+    data = np.frombuffer(held, dtype=np.uint8) if held is not None and held.size else np.zeros(0, dtype=np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """Which of the 256 bytes lie in one of the ranges, both ends included."""
     out = np.zeros(256, dtype=bool)
@@ -37,8 +49,8 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def coded(column: pa.Array, inside: np.ndarray) -> Coded:
-    """The words of every text, A-Z lower-cased; null counts as empty. ``inside`` tells the bytes of words."""
+def coded(column: pa.Array, inside: np.ndarray, spelled: np.ndarray = LOWER) -> Coded:
+    """The words of every text; null counts as empty. ``inside`` tells the bytes of words, ``spelled`` how they are read."""
     offsets, data = text_bytes(column)
     held = inside[data]
     edge = np.zeros(len(data) + 1, dtype=bool)  # a new text ends a word
@@ -46,7 +58,7 @@ def coded(column: pa.Array, inside: np.ndarray) -> Coded:
     before = np.zeros(len(data), dtype=bool)
     before[1:] = held[:-1]
     start = np.flatnonzero(held & (~before | edge[:-1]))
-    kept = LOWER[data[held]]
+    kept = spelled[data[held]]
     # bytes of words before each word's start are the ends of the words before it
     at = np.zeros(len(start) + 1, dtype=np.int64)
     if len(start):

@@ -1,7 +1,8 @@
-"""Words of whole Arrow text columns and their 64-bit hashes, with numpy instead of a loop over words.
+"""Words of whole Arrow text columns and their hashes, without a loop over words.
 
-The words of a text are its runs of bytes other than 0x20 and 0x09-0x0D; as these are ASCII, UTF-8 can be
-read byte by byte. The hash of a word is a polynomial over its bytes modulo 2**64, read off a running sum.
+The words of a text are its runs of bytes other than 0x20 and 0x09-0x0D; as these are ASCII, UTF-8 can be read byte by
+byte. Each distinct word of a slice is hashed once, with 128 bits of XXH3, of which a lane is one half. Windows of words
+are sums of their words' hashes, each times a random odd number of its place.
 """
 
 from __future__ import annotations
@@ -11,13 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+from cellgrain.llm.tokens import byte_class, coded, text_bytes
 
 U = np.uint64
 #: Bytes of text that are looked at together; bounds the working arrays (about 60 bytes each per byte of text).
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_STEP = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64)
+#: The longest window.
+MAX_WINDOW = 4096
+_INSIDE = ~(byte_class((0x09, 0x0D)) | byte_class((0x20, 0x20)))
+_SAME = np.arange(256, dtype=np.uint8)
+_PLACE = np.random.default_rng(20240229).integers(1, 2**63, (2, MAX_WINDOW), dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -41,63 +47,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of some rows in order: byte range, row number and hash of each, and where each row's words begin."""
+    """Words of some rows in order: row and hashes (one per lane) of each, and where each row's words begin."""
 
-    start: np.ndarray
-    end: np.ndarray
     row: np.ndarray
     first: np.ndarray  # one more entry than rows
-    hashes: list[np.ndarray]
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a text column; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
-        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
-    held = column.buffers()[2]
-    data = np.frombuffer(held, dtype=np.uint8) if held is not None and held.size else np.zeros(0, dtype=np.uint8)
-    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
-
-
-def words(column: pa.Array, lanes: int = 1) -> Words:
-    """The words of every text, each with ``lanes`` independent hashes."""
-    offsets, data = text_bytes(column)
-    rows = len(offsets) - 1
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    inside = ~blank
-    before = np.zeros(len(data), dtype=bool)
-    before[1:] = inside[:-1]
-    edge = offsets[:-1]
-    before[edge[edge < len(data)]] = False
-    start = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(data), dtype=bool)
-    after[:-1] = inside[1:]
-    last = offsets[1:] - 1
-    after[last[(last >= 0) & (offsets[1:] > offsets[:-1])]] = False
-    end = np.flatnonzero(inside & ~after) + 1
-    first = np.searchsorted(start, offsets)
-    row = np.repeat(np.arange(rows), np.diff(first))
-    hashes = []
-    for lane in range(lanes):
-        base = _BASE + 2 * lane * 0x632BE59BD9B4E019
-        inverse = pow(base, -1, 2**64)
-        out = np.empty(len(start), dtype=np.uint64)
-        at = 0
-        while at < len(start):  # by pieces that end with a word
-            to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, side="right")))
-            lo, hi = int(start[at]), int(end[to - 1])
-            run = np.zeros(hi - lo + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[lane][data[lo:hi]] * _power(base, hi - lo), out=run[1:])
-            s = start[at:to] - lo
-            out[at:to] = (run[end[at:to] - lo] - run[s]) * _power(inverse, hi - lo + 1)[s]
-            at = to
-        hashes.append(mix(out))
-    return Words(start, end, row, first, hashes)
+    hashes: np.ndarray  # lanes x words
+
+
+def words(column: pa.Array) -> Words:
+    """The words of every text with two hashes each, halves of one of 128 bits."""
+    w = coded(column, _INSIDE, _SAME)
+    digests = b"".join(map(xxhash.xxh3_128_digest, w.words.to_pylist()))
+    lanes = np.ascontiguousarray(np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T)
+    return Words(w.row, np.searchsorted(w.row, np.arange(len(column) + 1)), lanes[:, w.code])
+
+
+def sequences(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128-bit hashes, as rows of two, of the words from ``first`` up to ``last`` in order."""
+    pairs = np.ascontiguousarray(w.hashes.T)
+    digests = b"".join(xxhash.xxh3_128_digest(pairs[a:b].tobytes()) for a, b in zip(first.tolist(), last.tolist(), strict=True))
+    return np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
 
 
 def windows(hashes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
@@ -105,7 +74,7 @@ def windows(hashes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     n = max(0, len(hashes) - length + 1)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(length):
-        out = out * _STEP[lane] + hashes[k : k + n]
+        out += _PLACE[lane, k] * hashes[k : k + n]
     return mix(out)
 
 
