@@ -1,19 +1,19 @@
 """Phrase collocation mining by stripes: each prefix keys an associative counter of the words that follow it.
 
-Level by level, a scan of the texts turns every slice of them into stripes: a prefix of ``length - 1`` words (none at
-the first level) and its next words with their counts. Stripes are dealt by language, prefix and a segment of the
-next word's hash, so the stripe of a frequent prefix, above all the empty one, is spread over tasks, and merged
-elementwise: counts of equal next words add up. In a merged stripe
+A scan of the texts turns every slice of them into stripes: a prefix of 0 to ``longest - 1`` words and its next words with
+their counts. Stripes are dealt by language, prefix and a segment of the next word's hash, so that the stripe of a frequent
+prefix, above all the empty one, is spread over tasks, and merged elementwise: counts of equal next words add up.
+In a merged stripe
 
 * an entry is the count of an extension, that is of a phrase one word longer;
 * the entry of the empty word is the prefix's own total, whatever followed it or nothing;
 * the largest entry tells whether an extension to the right subsumes the prefix. The same entries keyed by the phrase
   without its first word give the extensions to the left. Longer phrases need no look: one word more occurs at least as often.
 
-Entries under ``least`` go, and only what is left is extended: a window is looked at if both windows one word
-shorter, its own first and last, may be frequent. Tasks learn that from a bitmap of ``FILTER_BITS`` bits over hashes of the
-frequent phrases, the same size for every table. It lets all of them and a few others through, and those fall to the
-exact counts of the next merge, which are over the words themselves.
+Nearly all phrases of a text are rare, and their entries would only be moved to be dropped. So a first scan counts 48-bit
+hashes of all phrases in sorted, packed runs (about 4 bytes a distinct phrase of a slice), and a bitmap of those that may
+reach ``least`` goes to the tasks of the second, which makes stripes of such phrases alone. The bitmap lets all
+frequent phrases through and some others; those fall to the merged counts, which are over the words themselves.
 
 Defined results: texts are lower-cased in A-Z, split at ``.,;:!?`` and line ends into pieces, those at blanks and tabs into
 words; phrases do not cross pieces. A null text is empty; a null language is ``und``. A row is a document: repeated rows
@@ -33,106 +33,127 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrain.llm import wordhash
-from cellgrain.llm.common import load, only, query, settle
-from cellgrain.llm.tokens import byte_class, coded
+from cellgrain.llm.bitfilter import bitmap, passes
+from cellgrain.llm.common import load, only, query, release, settle
+from cellgrain.llm.tokens import Coded, byte_class, coded
 from cellgrain.llm.wordhash import U, mix
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = byte_class((0, 255)) & ~_BREAK
 _WORD[[0x20, 0x09]] = False
-#: Bytes of text whose stripes are made together, parts that a stripe is dealt in, and bits of the filter (8 MB).
-SLICE, SEGMENTS, FILTER_BITS = 16 << 20, 4, 26
+#: Bytes of text that are worked on together, parts that a stripe is dealt in, bits of a phrase's hash in the first scan.
+SLICE, SEGMENTS, HASH_BITS = 8 << 20, 4, 48
+#: Parts of the hash range for each shuffle partition. A part is summed in one task.
+PARTS = 4
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(x) for x in words.to_pylist()], dtype=np.uint64)
-
-
-def _phrase_hash(parts: list[np.ndarray], lang: str) -> np.ndarray:
-    out = np.full(len(parts[0]), xxhash.xxh64_intdigest(lang.encode()), dtype=np.uint64)
-    for h in parts:
-        out = mix(out * _GOLDEN + h)
-    return out
-
-
-def _passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    at = hashed >> U(64 - FILTER_BITS)
-    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
-
-
-def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit numbers of phrases, for a filter."""
-    for batch in batches:
-        out = np.zeros(batch.num_rows, dtype=np.int64)
-        for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)):
-            held = [np.array([xxhash.xxh64_intdigest(w.encode())], dtype=np.uint64) for w in phrase.split(" ")]
-            out[i] = int(_phrase_hash(held, lang)[0] >> U(64 - FILTER_BITS))
-        yield pa.RecordBatch.from_pydict({"bit": out})
-
-
-def _filter_of(phrases: DataFrame) -> np.ndarray:
-    """The bitmap of the hashes of ``phrases`` (lang, phrase); at most 2**FILTER_BITS / 8 bytes reach the driver."""
-    numbered = phrases.select("lang", "phrase").mapInArrow(_bits_of, "bit long")
-    parts = numbered.groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("part")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits")
-    )
-    out = np.zeros(2**FILTER_BITS // 8, dtype=np.uint8)
-    for part, bits in parts.collect():
-        out[(part - 1) * 4096 : (part - 1) * 4096 + len(bits)] |= np.frombuffer(bits, dtype=np.uint8)
-    return out
-
-
-def _stripes(batches: Iterator[pa.RecordBatch], length: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of the windows of ``length`` words: lang, prefix, segment, next words, counts."""
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Coded, np.ndarray]]:
+    """Language, words, and hashes of the words by code."""
     for batch in batches:
         for part in wordhash.slices(batch, "text", SLICE):
             langs = part.column("lang").dictionary_encode()
             for number, lang in enumerate(langs.dictionary.to_pylist()):
-                column = part.column("text").filter(pa.array(np.asarray(langs.indices) == number))
-                made = _stripes_of(column, lang, length, bits)
-                if made is not None:
-                    yield made
+                w = coded(part.column("text").filter(pa.array(np.asarray(langs.indices) == number)), _WORD)
+                if len(w.code):
+                    yield lang, w, np.array([xxhash.xxh64_intdigest(x) for x in w.words.to_pylist()], dtype=np.uint64)
 
 
-def _stripes_of(column: pa.Array, lang: str, length: int, bits: np.ndarray | None) -> pa.RecordBatch | None:
-    w = coded(column, _WORD)
-    m = length - 1  # words of a prefix
-    if len(w.code) < max(m, 1):
-        return None
+def _phrases(w: Coded, spelled: np.ndarray, lang: str, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length: which words begin a phrase of that length, and its hash of HASH_BITS bits."""
     piece = np.searchsorted(np.flatnonzero(_BREAK[w.data]), w.start) + w.row  # grows with each piece and text
-    hashed = _hashes(w.words)
-    last = np.arange(len(w.code)) + max(m, 1) - 1
-    held = last < len(w.code)
-    held[held] = piece[last[held]] == piece[: held.sum()]
-    if m:
-        of = hashed[w.code]
-        held[: len(of) - m + 1] &= _passes(bits, _phrase_hash([of[k : len(of) - m + 1 + k] for k in range(m)], lang))
-    at = np.flatnonzero(held)  # where a prefix stands
+    of = spelled[w.code]
+    hashed = np.full(len(of), xxhash.xxh64_intdigest(lang.encode()), dtype=np.uint64)
+    for length in range(1, min(longest, len(of)) + 1):
+        n = len(of) - length + 1
+        hashed = mix(hashed[:n] * _GOLDEN + of[length - 1 :])
+        yield length, piece[:n] == piece[length - 1 :], hashed >> U(64 - HASH_BITS)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits by planes of bytes, compressed: small ones take few bytes."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
+
+
+def _unplaned(held: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(held, 8 * n, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per slice and part of the hash range a run of phrase hashes in order (as differences) with their counts."""
+    for lang, w, spelled in _by_language(batches):
+        found = np.concatenate([hashed[held] for _, held, hashed in _phrases(w, spelled, lang, longest)])
+        keys, counts = np.unique(found, return_counts=True)
+        part = (keys >> U(HASH_BITS - 24)) * U(parts) >> U(24)
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(keys)).tolist()
+        begins = [0, *ends[:-1]]
+        yield pa.RecordBatch.from_pydict({
+            "part": part[begins].astype(np.int32), "n": pa.array(np.subtract(ends, begins).astype(np.int32)),
+            "keys": pa.array([_planes(np.diff(keys[a:b], prepend=U(0))) for a, b in zip(begins, ends, strict=True)], pa.binary()),
+            "counts": pa.array([_planes(counts[a:b].astype(np.uint64)) for a, b in zip(begins, ends, strict=True)], pa.binary()),
+        })
+
+
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """Hashes of one part with a sum of ``least`` at least, shifted to the top of 64 bits."""
+    sizes = table["n"].to_pylist()
+    keys = np.concatenate([np.cumsum(_unplaned(x, n)) for x, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
+    counts = np.concatenate([_unplaned(x, n) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    held = np.add.reduceat(counts[order], first) >= least
+    return pa.table({"h": wordhash.signed(keys[first[held]] << U(64 - HASH_BITS))})
+
+
+def candidates(texts: DataFrame, longest: int, least: int) -> np.ndarray:
+    """Bitmap over hashes of phrases (lang, text); every phrase that occurs ``least`` times passes."""
+    parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = texts.mapInArrow(lambda x: _runs(x, longest, parts), "part int, n int, keys binary, counts binary")
+    found = settle(runs.groupBy("part").applyInArrow(lambda t: _summed(t, least), "h long"), "frequent-hashes")
+    bits = bitmap(found)
+    release(found)
+    return bits
+
+
+def _stripes(batches: Iterator[pa.RecordBatch], longest: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Stripes of the phrases that pass: words of a phrase, lang, prefix, segment, next words, counts."""
+    for lang, w, spelled in _by_language(batches):
+        prefixes = np.ones(len(w.code), dtype=bool)
+        for length, inside, hashed in _phrases(w, spelled, lang, longest):
+            frequent = np.zeros(len(w.code), dtype=bool)
+            frequent[: len(inside)] = inside & passes(bits, hashed << U(64 - HASH_BITS))
+            made = _stripes_of(w, (spelled % U(SEGMENTS)).astype(np.int64), lang, length, np.flatnonzero(prefixes), frequent)
+            if made is not None:
+                yield made
+            prefixes = frequent
+
+
+def _stripes_of(w: Coded, segments: np.ndarray, lang: str, length: int, at: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch | None:
+    """Stripes of the prefixes that stand ``at`` words, with the next words of those that begin a ``frequent`` phrase."""
     if not len(at):
         return None
+    m = length - 1  # words of a prefix
     prefix = np.zeros(len(at), dtype=np.int64)
     for k in range(m):  # numbered word by word, so that numbers stay small
         prefix = np.unique(prefix << 32 | w.code[at + k], return_inverse=True)[1]
-    goes_on = at + m < len(w.code)
-    goes_on[goes_on] = piece[at[goes_on] + m] == piece[at[goes_on]]
-    if m:  # the window that ends with the next word may be frequent, too
-        goes_on[goes_on] = held[at[goes_on] + 1]
+    goes_on = frequent[at]
     key = np.concatenate([prefix << 32, prefix[goes_on] << 32 | w.code[at[goes_on] + m] + 1])
     entry, where, count = np.unique(key, return_index=True, return_counts=True)
     stands = np.concatenate([at, at[goes_on]])[where]
     follows = (entry & 0xFFFFFFFF) - 1  # -1: the total
-    segment = np.where(follows < 0, 0, (hashed[follows] >> U(32)).astype(np.int64) % SEGMENTS)
+    spelled = w.words.cast(pa.string())
+    segment = np.where(follows < 0, 0, segments[follows])
     group = (entry >> 32) * SEGMENTS + segment
     order = np.argsort(group, kind="stable")
     head = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-    spelled = w.words.cast(pa.string())
     texts = [spelled.take(pa.array(w.code[stands[order[head]] + k])) for k in range(m)]
     follows = pa.array(follows[order], mask=follows[order] < 0)
     offsets = pa.array(np.append(head, len(order)).astype(np.int32))
     return pa.RecordBatch.from_pydict({
-        "lang": pa.array([lang] * len(head), pa.string()),
+        "n_words": pa.array(np.full(len(head), length, dtype=np.int32)), "lang": pa.array([lang] * len(head), pa.string()),
         "prefix": pc.binary_join_element_wise(*texts, " ") if m else pa.array([""] * len(head), pa.string()),
         "segment": pa.array(segment[order[head]].astype(np.int32)),
         "next": pa.ListArray.from_arrays(offsets, spelled.take(follows).fill_null("")),
@@ -140,34 +161,19 @@ def _stripes_of(column: pa.Array, lang: str, length: int, bits: np.ndarray | Non
     })
 
 
-def merged_stripes(docs: DataFrame, length: int, least: int, bits: np.ndarray | None) -> DataFrame:
-    """Entries (lang, prefix, next, n) of at least ``least``, and all totals of the empty prefix, of one level."""
-    held = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
-    stripes = docs.mapInArrow(
-        lambda batches: _stripes(batches, length, None if held is None else held.value),
-        "lang string, prefix string, segment int, next array<string>, count array<long>",
-    )
-    entries = stripes.repartition("lang", "prefix", "segment").select(
-        "lang", "prefix", "segment", F.inline(F.arrays_zip("next", "count"))
-    )
-    merged = entries.groupBy("lang", "prefix", "segment", "next").agg(F.sum("count").alias("n"))
-    return merged.where((F.col("n") >= least) | ((F.col("prefix") == "") & (F.col("next") == ""))).drop("segment")
-
-
 def frequent_stripes(docs: DataFrame, longest: int, least: int) -> DataFrame:
-    """lang, n_words, prefix, next, phrase and n of the entries and totals of all levels; a total has an empty next and phrase."""
+    """lang, n_words, prefix, next, phrase and n: entries and totals of the merged stripes; a total has an empty next and phrase."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    levels, bits = [], None
-    for length in range(1, longest + 1):
-        level = settle(merged_stripes(texts, length, least, bits), f"stripes-{length}")
-        phrase = F.when(F.col("next") == "", "").when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-        levels.append(level.select("lang", F.lit(length).alias("n_words"), "prefix", "next", phrase.alias("phrase"), "n"))
-        if length < longest:
-            bits = _filter_of(levels[-1].where("next <> ''"))
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
-    return whole
+    bits = texts.sparkSession.sparkContext.broadcast(candidates(texts, longest, least))
+    stripes = texts.mapInArrow(
+        lambda x: _stripes(x, longest, bits.value),
+        "n_words int, lang string, prefix string, segment int, next array<string>, count array<long>",
+    )
+    keys = ["n_words", "lang", "prefix", "segment"]
+    merged = stripes.repartition(*keys).select(*keys, F.inline(F.arrays_zip("next", "count"))).groupBy(*keys, "next").agg(F.sum("count").alias("n"))
+    phrase = F.when(F.col("next") == "", "").when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    held = merged.where((F.col("n") >= least) | ((F.col("n_words") == 1) & (F.col("next") == "")))
+    return settle(held.select("lang", "n_words", "prefix", "next", phrase.alias("phrase"), "n"), "stripes")
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed: int = 80, top: int = 2000) -> DataFrame:
