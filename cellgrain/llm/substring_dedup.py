@@ -44,6 +44,8 @@ from cellgrain.llm.common import join_spread, load, on_row_key, only, packed, pa
 from cellgrain.llm.wordhash import U, Words
 
 _LEAST = -(2**63)
+#: Bytes of text that are looked at together.
+SLICE = 6 << 20
 _RUN = np.random.default_rng(20240301).integers(1, 2**63, wordhash.MAX_WINDOW, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -64,11 +66,7 @@ def _anchored(part: pa.RecordBatch, length: int) -> tuple[Words, np.ndarray, np.
     w = wordhash.words(part.column("text"))
     at = wordhash.starts_inside(w, length)
     anchors = wordhash.windows(w.hashes[0], short)
-    anchor = np.empty(len(at), dtype=np.int64)
-    if len(at):
-        wide = np.lib.stride_tricks.sliding_window_view(anchors, length - short + 1)
-        for k in range(0, len(at), 1 << 16):
-            anchor[k : k + (1 << 16)] = at[k : k + (1 << 16)] + wide[at[k : k + (1 << 16)]].argmin(axis=1)
+    anchor = wordhash.least_of(anchors, length - short + 1)[at] if len(at) else at
     return w, at, anchor, anchors[anchor]
 
 
@@ -89,7 +87,7 @@ def _counted(hashes: np.ndarray) -> pa.RecordBatch:
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the anchors, with the runs of each."""
     for batch in batches:
-        for part in wordhash.slices(batch, "text"):
+        for part in wordhash.slices(batch, "text", SLICE):
             w, at, anchor, hashed = _anchored(part, length)
             if len(at):
                 yield _counted(hashed[_starts(anchor, w.row[at])])
@@ -98,7 +96,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def _runs(batches: Iterator[pa.RecordBatch], length: int, repeated: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of anchors that may repeat: anchor hash, run hash, first window, number of windows, seen before in the text."""
     for batch in batches:
-        for part in wordhash.slices(batch, "text"):
+        for part in wordhash.slices(batch, "text", SLICE):
             w, at, anchor, hashed = _anchored(part, length)
             if not len(at):
                 continue
@@ -135,7 +133,7 @@ def _reaching(part: pa.RecordBatch, length: int, still_open: np.ndarray) -> tupl
 def _doubled(batches: Iterator[pa.RecordBatch], length: int, still_open: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes of doubled open anchors, with their occurrences."""
     for batch in batches:
-        for part in wordhash.slices(batch, "text"):
+        for part in wordhash.slices(batch, "text", SLICE):
             w, p, m, left, doubled = _reaching(part, length, still_open)
             if len(p):
                 yield _counted(doubled[_starts(m, left, w.row[p])])
@@ -144,7 +142,7 @@ def _doubled(batches: Iterator[pa.RecordBatch], length: int, still_open: np.ndar
 def _windows(batches: Iterator[pa.RecordBatch], length: int, still_open: np.ndarray, survivors: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Long windows over open anchors whose doubled form may repeat: hash, place, seen before in the text."""
     for batch in batches:
-        for part in wordhash.slices(batch, "text"):
+        for part in wordhash.slices(batch, "text", SLICE):
             w, p, _, _, doubled = _reaching(part, length, still_open)
             p = p[passes(survivors, doubled)]
             if not len(p):

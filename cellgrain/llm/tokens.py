@@ -18,10 +18,11 @@ LOWER[65:91] += 32
 
 @dataclass
 class Coded:
-    """Words of some rows in order: code, row and first byte of each, the words by code, and the bytes of the slice."""
+    """Words of some rows in order: code, row and first byte of each, where each row's words begin, the words by code, the bytes."""
 
     code: np.ndarray
     row: np.ndarray
+    first: np.ndarray  # one more entry than rows
     start: np.ndarray
     words: pa.Array
     data: np.ndarray
@@ -49,21 +50,23 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def coded(column: pa.Array, inside: np.ndarray, spelled: np.ndarray = LOWER) -> Coded:
+def coded(column: pa.Array, inside: np.ndarray, spelled: np.ndarray | None = LOWER) -> Coded:
     """The words of every text; null counts as empty. ``inside`` tells the bytes of words, ``spelled`` how they are read."""
     offsets, data = text_bytes(column)
     held = inside[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)  # a new text ends a word
-    edge[offsets] = True
-    before = np.zeros(len(data), dtype=bool)
-    before[1:] = held[:-1]
-    start = np.flatnonzero(held & (~before | edge[:-1]))
-    kept = spelled[data[held]]
-    # bytes of words before each word's start are the ends of the words before it
+    # a word begins and ends where the bytes change class, and at the edge of a text
+    cut = np.ones(len(data) + 1, dtype=bool)
+    if len(data):
+        np.not_equal(held[1:], held[:-1], out=cut[1:-1])
+    cut[offsets] = True
+    start = np.flatnonzero(held & cut[:-1])
+    end = np.flatnonzero(held & cut[1:]) + 1
     at = np.zeros(len(start) + 1, dtype=np.int64)
-    if len(start):
-        total = np.cumsum(held)
-        at[:-1], at[-1] = total[start] - 1, total[-1]
+    np.cumsum(end - start, out=at[1:])
+    kept = data[held]
+    if spelled is not None:
+        kept = spelled[kept]
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
-    row = np.searchsorted(offsets, start, side="right") - 1
-    return Coded(np.asarray(words.indices), row, start, words.dictionary, data)
+    first = np.searchsorted(start, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    return Coded(np.asarray(words.indices), row, first, start, words.dictionary, data)

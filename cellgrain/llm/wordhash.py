@@ -22,7 +22,6 @@ SLICE_BYTES = 1 << 20
 #: The longest window.
 MAX_WINDOW = 4096
 _INSIDE = ~(byte_class((0x09, 0x0D)) | byte_class((0x20, 0x20)))
-_SAME = np.arange(256, dtype=np.uint8)
 _PLACE = np.random.default_rng(20240229).integers(1, 2**63, (2, MAX_WINDOW), dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -56,10 +55,13 @@ class Words:
 
 def words(column: pa.Array) -> Words:
     """The words of every text with two hashes each, halves of one of 128 bits."""
-    w = coded(column, _INSIDE, _SAME)
+    w = coded(column, _INSIDE, None)
     digests = b"".join(map(xxhash.xxh3_128_digest, w.words.to_pylist()))
-    lanes = np.ascontiguousarray(np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T)
-    return Words(w.row, np.searchsorted(w.row, np.arange(len(column) + 1)), lanes[:, w.code])
+    lanes = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2)
+    hashes = np.empty((2, len(w.code)), dtype=np.uint64)
+    for lane in range(2):
+        np.take(np.ascontiguousarray(lanes[:, lane]), w.code, out=hashes[lane])
+    return Words(w.row, w.first, hashes)
 
 
 def sequences(w: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -78,6 +80,17 @@ def windows(hashes: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def least_of(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of the ``span`` hashes from each one on, the leftmost on ties."""
+    value, place, width = hashes, np.arange(len(hashes)), 1
+    while width < span and len(value) > 1:
+        step = min(width, span - width)  # the last two stretches may overlap
+        left = value[:-step] <= value[step:]
+        place = np.where(left, place[:-step], place[step:])
+        value, width = np.minimum(value[:-step], value[step:]), width + step
+    return place
+
+
 def starts_inside(w: Words, length: int) -> np.ndarray:
     """Word numbers from which ``length`` words of one row follow."""
     n = max(0, len(w.row) - length + 1)
