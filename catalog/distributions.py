@@ -200,6 +200,29 @@ def field_profile(spark, sf):
     return rounded(got, "percentile", "mean")
 
 
+_RECORD_FIELDS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_RECORD_PERCENTILES = """
+SELECT l_orderkey, l_linenumber,
+  count(q) OVER (ORDER BY q) / count(q) OVER () * 100.0 AS p0, count(x) OVER (ORDER BY x DESC) / count(x) OVER () * 100.0 AS p1,
+  CASE WHEN d IS NOT NULL THEN count(d) OVER (ORDER BY d NULLS LAST) / count(d) OVER () * 100.0 END AS p2,
+  count(t) OVER (ORDER BY t) / count(t) OVER () * 100.0 AS p3
+FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS x, CASE WHEN l_discount > 0 THEN l_discount END AS d, l_tax AS t FROM lineitem)"""
+
+
+@query("record_profiles", f"""WITH p AS ({_RECORD_PERCENTILES}), e AS (
+SELECT *, list_sort([{{'k': -p, 'i': i}} FOR p, i IN [p0, p1, p2, p3] IF p IS NOT NULL]) AS o FROM p)
+SELECT l_orderkey, l_linenumber, {r("p0")} AS percentile_l_quantity, {r("p1")} AS percentile_l_extendedprice, {r("p2")} AS percentile_l_discount, {r("p3")} AS percentile_l_tax,
+ cast(len(o) AS INT) AS field_count, [['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][x.i] FOR x IN o[1:2]] AS advantages,
+ [{r("-x.k")} FOR x IN o[1:2]] AS advantage_percentiles, [['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'][x.i] FOR x IN list_reverse(o[-2:])] AS weaknesses,
+ [{r("-x.k")} FOR x IN list_reverse(o[-2:])] AS weakness_percentiles, {r("(p0 + p1 + coalesce(p2, 0.0) + p3) / len(o)", 3)} AS average_percentile FROM e""")
+def record_profiles(spark, sf):
+    lines = load(spark, sf, "lineitem").withColumn("l_discount", F.when(F.col("l_discount") > 0, F.col("l_discount")))
+    got = explain.record_profiles(lines, _RECORD_FIELDS, {"l_extendedprice": "lower_is_better"}, ids=["l_orderkey", "l_linenumber"])
+    got = rounded(got, *[f"percentile_{f}" for f in _RECORD_FIELDS])
+    got = rounded(got, "average_percentile", digits=3)
+    return got.withColumns({c: F.transform(c, lambda p: half_up(p, 4)) for c in ("advantage_percentiles", "weakness_percentiles")})
+
+
 @query("score_profile", f"""
 WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 * 100.0 AS q, l_extendedprice / 105000.0 * 100.0 AS p, CASE WHEN l_discount > 0 THEN l_discount / 0.1 * 100.0 END AS d FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN d IS NULL THEN 2 ELSE 3 END AS field_count, {r("CASE WHEN d IS NULL THEN (q + p) / 2 ELSE (q + p + d) / 3 END", 3)} AS average_normalized,

@@ -152,6 +152,35 @@ def cumulative_counts(
     )
 
 
+def ranked_counts(counts: DataFrame, keys: Sequence[str], value: str, rows: int) -> DataFrame:
+    """``cumulative_counts`` of many keys with values of any scale: one range partitioning by key and value for all.
+
+    A partition holds a stretch of one key, or several whole keys; it is numbered when the sorted rows are written, and starts
+    at what the partitions before it hold of the key. So the work does not depend on how many keys there are, and a key
+    that holds most values is spread over as many partitions as it needs.
+    """
+    keys = list(keys)
+    if rows <= SINGLE_TASK_ROWS:
+        return cumulative_counts(counts, keys, value)
+    placed = fixed(
+        counts.repartitionByRange(range_count(counts, rows), *keys, value)
+        .withColumn("_part", F.spark_partition_id())
+    )
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("n_equal").alias("_n"))
+    before, every = W.partitionBy(*keys).orderBy("_part"), W.partitionBy(*keys)
+    # a row per partition and key that it holds
+    offsets = sums.select(
+        *keys, "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_offset"), F.sum("_n").over(every).alias("n_total")
+    )
+    run = W.partitionBy(*keys, "_part").orderBy(value)
+    return (
+        placed.withColumn("_running", F.sum("n_equal").over(run) - F.col("n_equal"))
+        .join(offsets, [*keys, "_part"])
+        .withColumn("n_below", F.col("_offset") + F.col("_running"))
+        .drop("_offset", "_running", "_part")
+    )
+
+
 def _quantile_columns(names: Mapping[str, float], of: Column | None = None) -> list[Column]:
     """Linear interpolation at (n - 1) * q, read off a cumulative-count frame.
 
@@ -355,6 +384,21 @@ def attach_by_value(
     )
 
 
+def attach_by_keys(
+    df: DataFrame, keys: Sequence[str], marks: DataFrame, hot: Column, columns: Sequence[str]
+) -> DataFrame:
+    """Rows of ``df`` with the ``columns`` of their mark, which is unique in ``keys``; rows without a mark go.
+
+    ``hot`` flags marks that would make a heavy shuffle key; they are broadcast, so there must be few.
+    """
+    picked = marks.select(*keys, *columns, F.coalesce(hot, F.lit(False)).alias("_is_hot"))
+    few = F.broadcast(picked.where("_is_hot").drop("_is_hot"))
+    many = picked.where("NOT _is_hot").drop("_is_hot")
+    keys = list(keys)
+    others = df.join(few.select(*keys), keys, "left_anti")
+    return df.join(few, keys).unionByName(others.join(many, keys))
+
+
 def row_numbers(
     df: DataFrame, order: Sequence[str], out: str = "_row_id", rows: int | None = None
 ) -> DataFrame:

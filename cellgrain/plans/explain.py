@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from math import isfinite
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cellgrain.functions import labels
 from cellgrain.functions.numbers import is_finite, normalize_score
 from cellgrain.operators import ordering
-from cellgrain.operators.cells import long_numbers, ref
+from cellgrain.operators.cells import long_numbers, number_of, ref
 
 NEUTRAL = ("neutral", "unspecified")
 
@@ -109,6 +109,69 @@ def field_profile(
     )
 
 
+def record_profiles(
+    df: DataFrame, fields: Sequence[str], directions: Mapping[str, str] | None = None,
+    ids: Sequence[str] = ("_row_id",), best: int = 2, *, rows: int | None = None,
+) -> DataFrame:
+    """Percentile of every record in each of its fields, its best and worst fields, and its mean percentile.
+
+    All fields are ranked together: distinct values of (field, value) are counted, ranked by one range partitioning, and
+    joined back once per value, a frequent one by broadcast. The number of shuffles does not depend on the number of
+    fields. Records need no unique id: they are numbered when their columns are written. A field without a number in the record is left
+    out of it; best and worst are null for records with fewer than two fields. Ties go by the order of ``fields``.
+    """
+    low = [f for f in fields if (directions or {}).get(f) in ("lower_is_better", "lower-is-better")]
+    rows = ordering.count_rows(df, rows)
+    # the number is part of what is written, so lost tasks do not change it
+    held = ordering.fixed(
+        df.select(*[ref(i).alias(f"_id{k}") for k, i in enumerate(ids)], *[number_of(df, f).alias(f"_v{k}") for k, f in enumerate(fields)])
+        .withColumn("_record", F.monotonically_increasing_id())
+    )
+    own = ["_record", *[f"_id{k}" for k in range(len(ids))]]
+    cells = held.select(*own, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_field"), (F.col(f"_v{k}") + F.lit(0.0)).alias("_value")) for k in range(len(fields))
+    ])))
+    counts = ordering.value_counts(cells, ["_field"], "_value")
+    ranked = ordering.ranked_counts(counts, ["_field"], "_value", rows * len(fields))
+    within = F.col("n_below") + F.col("n_equal")
+    if low:
+        reverse = F.col("_field").isin(*[k for k, f in enumerate(fields) if f in low])
+        within = F.when(reverse, F.col("n_total") - F.col("n_below")).otherwise(within)
+    marks = ordering.fixed(ranked.select(
+        "_field", "_value", (within / F.col("n_total") * 100.0).alias("_percentile"),
+        ordering.is_hot(F.col("n_equal"), F.col("n_total")).alias("_hot"),
+    ))
+    found = ordering.attach_by_keys(
+        cells.where("_value IS NOT NULL"), ["_field", "_value"], marks, F.col("_hot"), ["_percentile"]
+    )
+    missing = cells.where("_value IS NULL").withColumn("_percentile", F.lit(None).cast("double"))
+    # one entry per field
+    entry = F.struct("_field", (-F.col("_percentile")).alias("key"), F.col("_value").alias("value"))
+    got = found.unionByName(missing).groupBy(*own).agg(F.array_sort(F.collect_list(
+        F.when(F.col("_percentile").isNotNull(), entry)
+    )).alias("_in_order"))
+    names = F.array(*[F.lit(f) for f in fields])
+    order = F.array_sort(F.transform("_in_order", lambda e: F.struct(e["key"].alias("key"), e["_field"].alias("field"))))
+    got = got.withColumns({"_order": order, "field_count": F.size("_in_order")})
+    first = F.slice("_order", 1, best)
+    last = F.reverse(F.slice("_order", F.greatest(F.lit(1), F.col("field_count") - best + 1), best))
+
+    def named(part: Column) -> Column:
+        return F.when(F.col("field_count") >= 2, F.transform(part, lambda e: F.get(names, e["field"])))
+
+    def shares(part: Column) -> Column:
+        return F.when(F.col("field_count") >= 2, F.transform(part, lambda e: -e["key"]))
+
+    total = F.aggregate("_in_order", F.lit(0.0), lambda acc, e: acc - e["key"])
+    return got.select(
+        *[F.col(f"_id{k}").alias(i) for k, i in enumerate(ids)],
+        *[(-F.get(F.filter("_in_order", lambda e: e["_field"] == F.lit(k)), F.lit(0))["key"]).alias(f"percentile_{f}") for k, f in enumerate(fields)],
+        "field_count", named(first).alias("advantages"), shares(first).alias("advantage_percentiles"),
+        named(last).alias("weaknesses"), shares(last).alias("weakness_percentiles"),
+        F.try_divide(total, F.col("field_count")).alias("average_percentile"),
+    )
+
+
 def score_profiles(
     df: DataFrame, max_scores: Mapping[str, float], ids: Sequence[str] = ("_row_id",), best: int = 2
 ) -> DataFrame:
