@@ -45,7 +45,7 @@ _WORD[[0x20, 0x09]] = False
 #: Bytes of text that are worked on together, parts that a stripe is dealt in, bits of a phrase's hash in the first scan.
 SLICE, SEGMENTS, HASH_BITS = 4 << 20, 4, 48
 #: Parts of the hash range for each shuffle partition. A part is summed in one task.
-PARTS = 4
+PARTS = 8
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
