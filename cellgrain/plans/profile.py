@@ -1,8 +1,8 @@
-"""Column profiles: one row per column from one pass over merged cells.
+"""Column profiles: one row per column, from two scans that move no cell.
 
-Cells are unpivoted and merged per (column, text) first.  A column with few
-distinct values leaves each task as a handful of rows, every shape test runs once
-per distinct text, and distinct counts are plain row counts.
+One scan sums what can be told of each cell by itself: cells are put one below the other inside their task and summed per
+column there, so a row per task and column is shuffled.  The other counts distinct cells by 128-bit hashes, which
+tasks merge before they leave.
 """
 
 from __future__ import annotations
@@ -14,106 +14,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cellgrain.functions import dates, numbers, text
-from cellgrain.functions.text import RE_ALL_DIGITS
-from cellgrain.operators.cells import kind_of, text_of
+from cellgrain.operators.cells import KIND_TEXT, KIND_TIME, kind_of, number_of, text_of
 from cellgrain.plans.rules import once
 
-# Texts longer than this are merged by a digest, so long documents are not shuffled.
-DIGEST_ABOVE = 200
 LONG_TEXT = 50
+# Texts that count as missing.
+MISSING = ("", "null", "undefined")
 
 
 def _cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``(ordinal, field, kind, cell)``: normalised text of every cell."""
+    """``(ordinal, field, kind, cell, num)``: normalised text and number of every cell; numbers of typed columns as they are."""
     return df.select(
         F.inline(F.array(*[
             F.struct(
                 F.lit(k).alias("ordinal"), F.lit(f).alias("field"),
                 F.lit(kind_of(df, f)).alias("kind"),
                 text.normalize_cell(text_of(df, f)).alias("cell"),
+                number_of(df, f).alias("num"),
             )
             for k, f in enumerate(fields)
         ]))
     )
 
 
-def _digest(cell: Column) -> Column:
-    """A short stand-in for a long text that keeps every shape test's answer.
-
-    A long text is no name, code or placeholder: their shapes have a greatest length.  It may still be a number
-    or a date-time (left as they are) or hold a class word (kept as a suffix).
-    """
-    stand_in = F.concat(
-        F.lit("#"), F.md5(cell.cast("binary")),
-        F.when(text.is_class_label(cell), F.lit("班")).otherwise(F.lit("")),
-    )
-    lengthy = (
-        (F.length(cell) > DIGEST_ABOVE) & ~cell.rlike(r"^[0-9.,eE+% -]*$") & ~dates.is_temporal(cell)
-    )
-    return F.when(lengthy, stand_in).otherwise(cell)
+def distinct_cells(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``(ordinal, n_distinct)`` of the normalised cells, blanks included.  What is shuffled is a hash of each distinct cell."""
+    hashed = df.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("ordinal"), F.xxhash64(c).alias("_a"), F.xxhash64(F.lit(1), c).alias("_b"))
+        for k, c in enumerate(text.normalize_cell(text_of(df, f)) for f in fields)
+    ])))
+    return hashed.distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def column_counts(df: DataFrame, fields: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """All counters a schema rule may ask for, one row per column.
 
-    ``approx=True`` estimates distinct counts with a sketch and skips the shuffle of
-    distinct texts.
+    ``approx=True`` estimates distinct counts with a sketch in the same scan and shuffles no hashes.
     """
     fields = list(fields or df.columns)
-    keyed = _cells(df, fields).select(
-        "ordinal", "field", "kind", _digest(F.col("cell")).alias("cell"),
-        F.length("cell").cast("bigint").alias("len"),
-    )
-    if approx:
-        merged = keyed.withColumn("n", F.lit(1).cast("bigint"))
-    else:
-        merged = keyed.groupBy("ordinal", "field", "kind", "cell", "len").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    cell, n = F.col("cell"), F.col("n")
-    typed = merged.withColumn("num", numbers.number(cell)).withColumn(
-        "filled", cell != ""
-    )
-    num, filled = F.col("num"), F.col("filled")
+    cells = _cells(df, fields).withColumn("len", F.length("cell").cast("bigint"))
+    cell, num, length = F.col("cell"), F.col("num"), F.col("len")
+    filled = cell != ""
     whole = F.floor(num).cast("double") == num
     all_rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     small = whole & (num >= 1) & (num <= all_rows * 2)
-    missing = cell.isin("", "null", "undefined")
-    all_digits = cell.rlike(RE_ALL_DIGITS)
+    # typed columns have no words
+    textual, time_kind = F.col("kind") == KIND_TEXT, F.col("kind") == KIND_TIME
+    digits = cell.rlike(text.RE_ALL_DIGITS)
 
-    def total(test: Column | None = None, what: Column = n) -> Column:
-        chosen = what if test is None else F.when(test, what)
-        return F.coalesce(F.sum(chosen), F.lit(0)).cast("bigint")
+    def total(test: Column) -> Column:
+        return F.count_if(test)
 
-    def distinct(test: Column) -> Column:
-        return F.approx_count_distinct(F.when(test, cell)) if approx else F.count_if(test)
+    def words(test: Column) -> Column:
+        return F.count_if(F.when(textual & filled, test).otherwise(F.lit(False)))
 
-    time_kind = F.col("kind") == "time"
-    return typed.groupBy("ordinal", "field", "kind").agg(
-        total().alias("total"),
+    counted = cells.withColumn("_digits", digits).groupBy("ordinal", "field", "kind").agg(
+        F.count(F.lit(1)).alias("total"),
         total(filled).alias("filled"),
-        distinct(F.lit(True)).alias("unique_all"),
-        distinct(filled).alias("unique_filled"),
-        total(missing).alias("missing"),
-        distinct(~missing).alias("unique_present"),
-        total(num.isNotNull()).alias("numeric"),
+        *[total(cell == m).alias(f"_missing{i}") for i, m in enumerate(MISSING)],
+        F.count("num").alias("numeric"),
         total(numbers.is_empty_like(cell)).alias("empty_like"),
         total(whole).alias("integer"),
         total(small).alias("small_integer"),
         total(num.between(0, 1000)).alias("score_range"),
-        total(text.is_long_digits(cell)).alias("long_digits"),
-        total(filled & all_digits).alias("digit_cells"),
-        total(filled & all_digits, n * F.col("len")).alias("digit_length"),
-        total(None, n * F.col("len")).alias("length"),
-        total(filled & (F.col("len") >= LONG_TEXT)).alias("long_text"),
+        total(F.col("_digits") & (length >= 6)).alias("long_digits"),
+        total(F.col("_digits")).alias("digit_cells"),
+        F.coalesce(F.sum(F.when(F.col("_digits"), length)), F.lit(0)).cast("bigint").alias("digit_length"),
+        F.coalesce(F.sum(length), F.lit(0)).cast("bigint").alias("length"),
+        total(length >= LONG_TEXT).alias("long_text"),
         total(filled & (time_kind | dates.is_temporal(cell))).alias("temporal"),
-        total(text.is_chinese_name(cell)).alias("chinese_name"),
-        total(text.is_class_label(cell)).alias("class_label"),
-        total(text.is_code(cell)).alias("code"),
-        total(time_kind & filled | text.is_compact_date(cell)).alias("compact_date"),
-        F.min("num").alias("min"),
-        F.max("num").alias("max"),
-        F.try_divide(F.sum(num * n), F.sum(F.when(num.isNotNull(), n))).alias("mean"),
+        words(cell.rlike(text.RE_CHINESE_NAME)).alias("chinese_name"),
+        words(cell.rlike(text.RE_CLASS_LABEL)).alias("class_label"),
+        total(cell.rlike(text.RE_CODE)).alias("code"),
+        total(time_kind & filled | cell.rlike(text.RE_COMPACT_DATE)).alias("compact_date"),
+        F.min("num").alias("min"), F.max("num").alias("max"), F.avg("num").alias("mean"),
+        *([F.approx_count_distinct(cell).alias("n_distinct")] if approx else []),
+    )
+    if not approx:
+        counted = counted.join(F.broadcast(distinct_cells(df, fields)), "ordinal")  # a row per column
+    present = [F.when(F.col(f"_missing{i}") > 0, 1).otherwise(0) for i in range(len(MISSING))]
+    unique = F.col("n_distinct")
+    return counted.select(
+        "ordinal", "field", "kind", "total", "filled", unique.alias("unique_all"),
+        F.greatest(unique - present[0], F.lit(0)).alias("unique_filled"),
+        sum((F.col(f"_missing{i}") for i in range(len(MISSING))), F.lit(0).cast("bigint")).alias("missing"),
+        F.greatest(unique - sum(present, F.lit(0)), F.lit(0)).alias("unique_present"),
+        "numeric", "empty_like", "integer", "small_integer", "score_range", "long_digits", "digit_cells", "digit_length",
+        "length", "long_text", "temporal", "chinese_name", "class_label", "code", "compact_date", "min", "max", "mean",
     )
 
 
@@ -274,7 +261,7 @@ def sample_values(
             )
             for k, f in enumerate(fields)
         ])),
-    ).where(~F.col("cell").isin("", "null", "undefined"))
+    ).where(~F.col("cell").isin(*MISSING))
     order = W.partitionBy("ordinal", "field").orderBy("_id")
     first = cells.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
     return first.groupBy("ordinal", "field").agg(
