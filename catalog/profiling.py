@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DIRTY, dirty_orders, load, query, r, rounded, sql_date_ms, sql_empty, sql_num, sql_text
+from catalog.base import (
+    DIRTY, ORACLES, QUERIES, dirty_orders, load, query, r, rounded, sql_date_ms, sql_empty, sql_num, sql_text, sql_unpivot,
+)
 from cellgrain.functions.text import WHITESPACE
 from cellgrain.operators.cells import text_of
 from cellgrain.plans import legacy, overview, profile, schema
@@ -12,10 +14,10 @@ from cellgrain.plans.rules import EDUCATION_TEMPLATE
 from cellgrain.plans.schema import Override
 
 TABLES = {
-    "orders": [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"), ("o_orderpriority", "text")],
+    "orders": [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"), ("o_orderdate", "time"), ("o_orderpriority", "text")],
     "customer": [("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "text")],
     "part": [("p_partkey", "int"), ("p_name", "text"), ("p_brand", "text"), ("p_type", "text"), ("p_size", "int"), ("p_retailprice", "double")],
-    "events": [("event_id", "int"), ("user_id", "int"), ("event_type", "text"), ("value", "double"), ("props", "text")],
+    "events": [("event_id", "int"), ("ts", "time"), ("user_id", "int"), ("event_type", "text"), ("value", "double"), ("props", "text")],
 }
 
 
@@ -30,28 +32,33 @@ def _counts(spark, sf, table: str, approx: bool = False):
 def _sql_counts(table: str) -> str:
     """The SQL twin of the counters, one row per column."""
     cells = " UNION ALL ".join(
-        f"SELECT {k} AS ordinal, '{f}' AS field, coalesce(trim({sql_text(f, kind)}), '') AS cell FROM {table}"
+        f"SELECT {k} AS ordinal, '{f}' AS field, '{kind}' AS kind, coalesce(trim({sql_text(f, kind)}), '') AS cell FROM {table}"
         for k, (f, kind) in enumerate(TABLES[table])
     )
     return f"""x AS ({cells}), v AS (SELECT *, {sql_num("cell")} AS num, regexp_full_match(cell, '\\d+') AS dig FROM x),
-k AS (SELECT ordinal, field, count(*) AS total, count(*) FILTER (cell <> '') AS filled, count(DISTINCT cell) AS unique_all,
+k AS (SELECT ordinal, field, kind, count(*) AS total, count(*) FILTER (cell <> '') AS filled, count(DISTINCT cell) AS unique_all,
  count(DISTINCT cell) FILTER (cell <> '') AS unique_filled, count(*) FILTER (cell IN ('', 'null', 'undefined')) AS missing,
  count(DISTINCT cell) FILTER (cell NOT IN ('', 'null', 'undefined')) AS unique_present, count(*) FILTER ({sql_empty("cell")}) AS empty_like,
  count(*) FILTER (regexp_full_match(cell, '[一-龥]{{2,4}}')) AS chinese_name, count(*) FILTER (regexp_matches(cell, '班|级|高一|高二|高三')) AS class_label,
- count(*) FILTER (regexp_full_match(cell, '\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}|\\d{{8}}')) AS compact_date, count(*) FILTER ({sql_date_ms("cell")} IS NOT NULL) AS temporal,
+ count(*) FILTER (kind = 'time' AND cell <> '' OR regexp_full_match(cell, '\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}|\\d{{8}}')) AS compact_date,
+ count(*) FILTER (kind = 'time' AND cell <> '' OR {sql_date_ms("cell")} IS NOT NULL) AS temporal,
  count(num) AS numeric, count(*) FILTER (floor(num) = num) AS integer, count(*) FILTER (dig AND length(cell) >= 6) AS long_digits,
  count(*) FILTER (floor(num) = num AND num >= 1 AND num <= 2 * (SELECT count(*) FROM {table})) AS small_integer,
  count(*) FILTER (num BETWEEN 0 AND 1000) AS score_range, count(*) FILTER (dig) AS digit_cells,
  coalesce(sum(length(cell)) FILTER (dig), 0)::BIGINT AS digit_length, sum(length(cell))::BIGINT AS length,
  count(*) FILTER (length(cell) >= 50) AS long_text, count(*) FILTER (regexp_full_match(cell, '[0-9A-Za-z][0-9A-Za-z._\\-]{{2,29}}')) AS code,
- min(num) AS min, max(num) AS max, avg(num) AS mean FROM v GROUP BY 1, 2)"""
+ min(num) AS min, max(num) AS max, avg(num) AS mean FROM v GROUP BY 1, 2, 3)"""
 
 
 _STRUCT = """s AS (SELECT *, numeric / total AS nr, coalesce(integer / nullif(numeric, 0), 0) AS ir, unique_all / total AS ur,
  long_digits / total AS ldr, length / total AS al, coalesce(small_integer / nullif(numeric, 0), 0) AS sir FROM k)"""
 
 
-@query("column_profile", f"WITH {_sql_counts('orders')} SELECT ordinal, field, total, filled, unique_all, unique_filled, missing, numeric, integer, long_digits, small_integer, score_range, digit_cells, digit_length, length, long_text, code, min, max, {r('mean')} AS mean, unique_present, empty_like, temporal, chinese_name, class_label, compact_date FROM k")
+def _sql_profile(table: str) -> str:
+    return f"WITH {_sql_counts(table)} SELECT ordinal, field, total, filled, unique_all, unique_filled, missing, numeric, integer, long_digits, small_integer, score_range, digit_cells, digit_length, length, long_text, code, min, max, {r('mean')} AS mean, unique_present, empty_like, temporal, chinese_name, class_label, compact_date FROM k"
+
+
+@query("column_profile", _sql_profile("orders"))
 def column_profile(spark, sf):
     return rounded(_counts(spark, sf, "orders"), "mean").drop("kind")
 
@@ -124,14 +131,14 @@ def sample_values(spark, sf):
 
 def _sql_types(table: str) -> str:
     return f"""{_sql_counts(table)}, t AS (SELECT *, unique_filled / filled AS u FROM k),
- f AS (SELECT *, CASE WHEN filled = 0 THEN 'invalid' WHEN u >= 0.9 AND digit_cells / filled >= 0.8 AND digit_length / digit_cells >= 6 THEN 'identifier'
+ f AS (SELECT *, CASE WHEN filled = 0 THEN 'invalid' WHEN kind = 'time' THEN 'temporal' WHEN u >= 0.9 AND digit_cells / filled >= 0.8 AND digit_length / digit_cells >= 6 THEN 'identifier'
   WHEN u >= 0.9 AND (contains(field, 'id') OR contains(field, 'code') OR contains(field, 'no') OR contains(field, 'num')) THEN 'identifier'
   WHEN numeric / filled >= 0.7 THEN 'numerical' WHEN length / filled >= 50 AND long_text / filled >= 0.5 THEN 'text'
   WHEN unique_filled <= 50 AND u <= 0.5 THEN 'categorical' ELSE 'invalid' END AS feature_type FROM t)"""
 
 
 _CONF = """CASE WHEN feature_type = 'identifier' THEN CASE WHEN digit_cells / filled >= 0.8 AND digit_length / digit_cells >= 6 THEN 0.95 ELSE 0.85 END
- WHEN feature_type = 'numerical' THEN least(0.99, numeric / filled) WHEN feature_type = 'text' THEN 0.85 WHEN feature_type = 'categorical' THEN least(0.9, 1 - u) ELSE 0.5 END"""
+ WHEN feature_type = 'temporal' THEN 0.95 WHEN feature_type = 'numerical' THEN least(0.99, numeric / filled) WHEN feature_type = 'text' THEN 0.85 WHEN feature_type = 'categorical' THEN least(0.9, 1 - u) ELSE 0.5 END"""
 
 for _table in ("orders", "events", "part"):
     def _feature_types(spark, sf, table=_table):
@@ -144,14 +151,14 @@ for _table in ("orders", "events", "part"):
 # ---- schema ----------------------------------------------------------------------------
 def _sql_schema(table: str) -> str:
     """Generic inference for columns whose names only ever match the 'id' word."""
-    return f"""{_sql_counts(table)}, {_STRUCT}, g AS (SELECT *, CASE WHEN contains(field, 'id') THEN 'name' WHEN nr > 0.8 AND ur > 0.9 AND ldr > 0.5 THEN 'code'
+    return f"""{_sql_counts(table)}, {_STRUCT}, g AS (SELECT *, CASE WHEN kind = 'time' THEN 'typed' WHEN contains(field, 'id') THEN 'name' WHEN nr > 0.8 AND ur > 0.9 AND ldr > 0.5 THEN 'code'
   WHEN nr > 0.8 AND ir > 0.9 AND sir > 0.7 AND ur > 0.5 THEN 'sequence' WHEN nr > 0.8 THEN 'measure' WHEN nr > 0.5 AND ur < 0.2 THEN 'midcat' WHEN nr > 0.5 THEN 'midnum'
   WHEN nr < 0.3 AND ur > 0.8 AND al > 10 THEN 'prose' WHEN nr < 0.3 AND ur < 0.3 THEN 'lowcat' WHEN nr < 0.3 THEN 'words' ELSE 'unclear' END AS g FROM s),
  i AS (SELECT ordinal, field, CASE WHEN g IN ('name', 'code') THEN 'identifier' WHEN g IN ('sequence', 'measure', 'midnum') THEN 'number' WHEN g IN ('midcat', 'lowcat') THEN 'category'
-   WHEN g IN ('prose', 'words') THEN 'text' ELSE 'unknown' END AS data_type, CASE WHEN g IN ('name', 'code') THEN 'identifier' WHEN g IN ('sequence', 'measure', 'midnum') THEN 'metric'
-   WHEN g IN ('midcat', 'lowcat') THEN 'dimension' WHEN g IN ('prose', 'words') THEN 'description' ELSE 'unspecified' END AS role,
+   WHEN g IN ('prose', 'words') THEN 'text' WHEN g = 'typed' THEN 'datetime' ELSE 'unknown' END AS data_type, CASE WHEN g IN ('name', 'code') THEN 'identifier' WHEN g IN ('sequence', 'measure', 'midnum') THEN 'metric'
+   WHEN g IN ('midcat', 'lowcat') THEN 'dimension' WHEN g IN ('prose', 'words') THEN 'description' WHEN g = 'typed' THEN 'time' ELSE 'unspecified' END AS role,
   CASE WHEN g IN ('sequence', 'measure', 'midnum', 'unclear') THEN 'unspecified' ELSE 'neutral' END AS direction, CASE WHEN g = 'name' THEN 'name_rule' ELSE 'structure' END AS source,
-  CASE WHEN g IN ('name', 'code', 'measure') THEN 'high' WHEN g = 'words' THEN 'low' WHEN g = 'unclear' THEN 'unknown' ELSE 'medium' END AS confidence FROM g)"""
+  CASE WHEN g IN ('name', 'code', 'measure', 'typed') THEN 'high' WHEN g = 'words' THEN 'low' WHEN g = 'unclear' THEN 'unknown' ELSE 'medium' END AS confidence FROM g)"""
 
 
 _SCHEMA = ("ordinal", "field", "data_type", "role", "direction", "source", "confidence")
@@ -232,6 +239,10 @@ def _sql_legacy(table: str) -> str:
   numeric AS valid_count, nr, ur, min, max, mean, vp FROM c)"""
 
 
+def _sql_legacy_fields(table: str) -> str:
+    return f"WITH {_sql_legacy(table)} SELECT ordinal, field, type, role, {r('confidence', 2)} AS confidence, valid_count, vp AS value_pattern FROM l"
+
+
 for _table in ("orders", "customer"):
     def _legacy(spark, sf, table=_table):
         got = legacy.classify_fields(_counts(spark, sf, table))
@@ -239,7 +250,7 @@ for _table in ("orders", "customer"):
             "ordinal", "field", "type", "role", "confidence", "valid_count", "value_pattern"
         )
 
-    query(f"legacy_fields_{_table}", f"WITH {_sql_legacy(_table)} SELECT ordinal, field, type, role, {r('confidence', 2)} AS confidence, valid_count, vp AS value_pattern FROM l")(_legacy)
+    query(f"legacy_fields_{_table}", _sql_legacy_fields(_table))(_legacy)
 
 
 @query("legacy_fields_education", """
@@ -336,50 +347,43 @@ def semantic_definitions(spark, sf):
     return legacy.semantic_definitions(fields).select("field", "kind", "type", "direction", "primary_key")
 
 
-# ---- all columns, times among them; the tests use brute force ---------------------------------
+# The names under which these were first registered over all columns.
 for _table in ("orders", "events"):
     def _profile_whole(spark, sf, table=_table):
-        return rounded(profile.column_counts(load(spark, sf, table)), "mean").drop("kind")
-
-    def _types_whole(spark, sf, table=_table):
-        return rounded(profile.feature_types(profile.column_counts(load(spark, sf, table))), "confidence").drop("reason")
-
-    def _infer_whole(spark, sf, table=_table):
-        return schema.infer_schema(profile.column_counts(load(spark, sf, table))).select(*_SCHEMA)
+        return rounded(_counts(spark, sf, table), "mean").drop("kind")
 
     def _legacy_whole(spark, sf, table=_table):
-        got = legacy.classify_fields(profile.column_counts(load(spark, sf, table)))
+        got = legacy.classify_fields(_counts(spark, sf, table))
         return rounded(got, "confidence", digits=2).select(
             "ordinal", "field", "type", "role", "confidence", "valid_count", "value_pattern"
         )
 
-    query(f"column_profile_{_table}_whole")(_profile_whole)
-    query(f"feature_types_{_table}_whole")(_types_whole)
-    query(f"infer_schema_{_table}_whole")(_infer_whole)
-    query(f"legacy_fields_{_table}_whole")(_legacy_whole)
+    query(f"column_profile_{_table}_whole", _sql_profile(_table))(_profile_whole)
+    query(f"legacy_fields_{_table}_whole", _sql_legacy_fields(_table))(_legacy_whole)
+    for _name in ("feature_types", "infer_schema"):
+        query(f"{_name}_{_table}_whole", ORACLES[f"{_name}_{_table}"])(QUERIES[f"{_name}_{_table}"])
 
 
 # ---- overviews ------------------------------------------------------------------------------
-def _overview(df, fields=None):
-    return overview.dataset_overview(df, fields).select(
-        "ordinal", "field", "feature_type", "row_count", "missing_count", "high_missing", "mean", "std", "q1",
-        "q3", "outlier_status", "outlier_count",
-    )
-
-
-@query("dataset_overview", f"""WITH {_sql_types('events')}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS m, stddev_pop(value) AS sd FROM events),
-o AS (SELECT count(*) AS n FROM events, q WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), n AS (SELECT * FROM q, o)
-SELECT ordinal, field, feature_type, total AS row_count, total - filled AS missing_count, feature_type <> 'invalid' AND total - filled > 0.3 * total AS high_missing,
- CASE WHEN field = 'value' THEN {r("n.m")} END AS mean, CASE WHEN field = 'value' THEN {r("n.sd")} END AS std, CASE WHEN field = 'value' THEN {r("n.q1")} END AS q1, CASE WHEN field = 'value' THEN {r("n.q3")} END AS q3,
- CASE WHEN field = 'value' THEN CASE WHEN n.n > 0 THEN 'detected' ELSE 'none' END END AS outlier_status, CASE WHEN field = 'value' THEN n.n END AS outlier_count FROM f, n WHERE field <> 'user_id'""")
+_ROUNDED = ("min", "max", "mean", "median", "std", "q1", "q3")
+
+
+@query("dataset_overview", f"""WITH {_sql_types('events')}, u AS ({sql_unpivot("events", ["event_id", "user_id", "value"])}),
+m AS (SELECT field, count(value) AS valid_count, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std, count(DISTINCT value) AS uniq,
+ quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, bool_and(floor(value) = value) AS whole FROM u GROUP BY field),
+s AS (SELECT *, CASE WHEN valid_count < 8 THEN 'insufficient_data' WHEN min = max THEN 'none' WHEN whole AND uniq <= 6 AND max <= 20 THEN 'unsupported' END AS idle FROM m),
+o AS (SELECT field, count(*) AS n FROM u JOIN s USING (field) WHERE idle IS NULL AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) GROUP BY field)
+SELECT f.ordinal, f.field, feature_type, total AS row_count, coalesce(total - valid_count, total - filled) AS missing_count,
+ feature_type <> 'invalid' AND coalesce(total - valid_count, total - filled) > 0.3 * total AS high_missing, valid_count,
+ {", ".join(f"{r('s.' + c)} AS {c}" for c in _ROUNDED)}, {r("q3 - q1")} AS iqr,
+ CASE WHEN s.field IS NOT NULL THEN coalesce(idle, CASE WHEN o.n > 0 THEN 'detected' ELSE 'none' END) END AS outlier_status,
+ CASE WHEN s.field IS NOT NULL THEN coalesce(o.n, 0) END AS outlier_count
+FROM f LEFT JOIN s ON s.field = f.field AND feature_type = 'numerical' LEFT JOIN o ON o.field = s.field""")
 def dataset_overview(spark, sf):
-    """The rows that the twin compares; ``dataset_overview_whole`` has all of them."""
-    return _overview(load(spark, sf, "events"), _fields("events")).where("field <> 'user_id'")
+    return overview.dataset_overview(load(spark, sf, "events"))
 
 
-@query("dataset_overview_whole")
-def dataset_overview_whole(spark, sf):
-    return _overview(load(spark, sf, "events"))
+query("dataset_overview_whole", ORACLES["dataset_overview"])(dataset_overview)
 
 
 @query("overview_type_counts", f"WITH {_sql_types('orders')} SELECT feature_type, count(*) AS fields FROM f GROUP BY 1")
@@ -387,25 +391,33 @@ def overview_type_counts(spark, sf):
     return overview.type_counts(overview.dataset_overview(load(spark, sf, "orders"), _fields("orders")))
 
 
+def _sql_2f(c: str) -> str:
+    """``%.2f`` of the shortest decimal text, half up."""
+    return f"printf('%.2f', cast(cast(cast({c} AS varchar) AS decimal(30, 8)) AS decimal(28, 2))::DOUBLE)"
+
+
 @query("dataset_profile", f"""
-WITH n AS (SELECT count(*) AS n FROM orders),
-t AS (SELECT string_agg(concat(v, '=', c), '; ' ORDER BY c DESC, v) AS top, count(*) AS u FROM (SELECT o_orderpriority AS v, count(*) AS c FROM orders GROUP BY 1))
-SELECT 'o_totalprice' AS field, 'numerical' AS feature_type, n AS count, n AS valid_count, 0::BIGINT AS missing_count, min(o_totalprice) AS min, max(o_totalprice) AS max, {r("avg(o_totalprice)")} AS mean,
- {r("stddev_pop(o_totalprice)")} AS std, NULL::BIGINT AS unique_count, NULL AS top_categories,
- printf('%d 个有效值，%.2f 至 %.2f，均值 %.2f，标准差 %.2f', n, min(o_totalprice), max(o_totalprice), avg(o_totalprice), stddev_pop(o_totalprice)) AS insight FROM orders, n GROUP BY n
-UNION ALL SELECT 'o_orderpriority', 'categorical', n, n, 0, NULL, NULL, NULL, NULL, u, top, concat(u, ' 个类别，最多为 ', replace(split_part(top, '; ', 1), '=', ' × ')) FROM n, t
-UNION ALL SELECT 'o_orderdate', 'temporal', n, n, 0, epoch_ms(min(o_orderdate))::DOUBLE, epoch_ms(max(o_orderdate))::DOUBLE, NULL, NULL, NULL, NULL,
- concat('时间范围 ', strftime(min(o_orderdate), '%Y-%m-%d'), ' 到 ', strftime(max(o_orderdate), '%Y-%m-%d')) FROM orders, n GROUP BY n""")
+WITH {_sql_types('orders')}, u AS ({sql_unpivot("orders", ["o_orderkey", "o_custkey", "o_totalprice"])}),
+nums AS (SELECT field, count(*) AS n, count(value) AS valid, {r("min(value)")} AS min, {r("max(value)")} AS max, {r("avg(value)")} AS mean, {r("stddev_pop(value)")} AS std FROM u GROUP BY field),
+cat AS (SELECT field, v, count(*) AS c FROM (SELECT 'o_orderstatus' AS field, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) GROUP BY 1, 2),
+ck AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY c DESC, v) AS k FROM cat),
+cats AS (SELECT field, sum(c)::BIGINT AS valid, count(*) AS u, string_agg(concat(v, '=', c), '; ' ORDER BY k) FILTER (k <= 10) AS top, max(v) FILTER (k = 1) AS best, max(c) FILTER (k = 1) AS times FROM ck GROUP BY field)
+SELECT field, feature_type, n AS count, valid AS valid_count, n - valid AS missing_count, nums.min, nums.max, nums.mean, std, NULL::BIGINT AS unique_count, NULL AS top_categories,
+ concat(valid, ' 个有效值，', {_sql_2f("nums.min")}, ' 至 ', {_sql_2f("nums.max")}, '，均值 ', {_sql_2f("nums.mean")}, '，标准差 ', {_sql_2f("std")}) AS insight FROM nums JOIN f USING (field) WHERE feature_type = 'numerical'
+UNION ALL SELECT field, feature_type, total, valid, total - valid, NULL, NULL, NULL, NULL, cats.u, top, concat(cats.u, ' 个类别，最多为 ', best, ' × ', times) FROM cats JOIN f USING (field) WHERE feature_type = 'categorical'
+UNION ALL SELECT field, feature_type, total, total, 0, lo, hi, NULL, NULL, NULL, NULL, concat('时间范围 ', a, ' 到 ', b)
+FROM f, (SELECT epoch_ms(min(o_orderdate))::DOUBLE AS lo, epoch_ms(max(o_orderdate))::DOUBLE AS hi, strftime(min(o_orderdate), '%Y-%m-%d') AS a, strftime(max(o_orderdate), '%Y-%m-%d') AS b FROM orders) WHERE feature_type = 'temporal'""")
 def dataset_profile(spark, sf):
-    return overview.dataset_profile(load(spark, sf, "orders"), ["o_totalprice", "o_orderpriority", "o_orderdate"])
+    return overview.dataset_profile(load(spark, sf, "orders"))
 
 
 @query("dataset_anomalies", f"""
-WITH q AS (SELECT {r("quantile_cont(value, 0.25)")} AS q1, {r("quantile_cont(value, 0.75)")} AS q3, {r("quantile_cont(value, 0.75) - quantile_cont(value, 0.25)")} AS iqr, {r("avg(value)")} AS mean, {r("stddev_pop(value)")} AS std FROM events)
-SELECT event_id AS _row_id, 'value' AS field, value, CASE WHEN abs({r("(value - mean) / std")}) > 3 THEN 'high' ELSE 'medium' END AS severity FROM events, q WHERE value < q1 - 1.5 * iqr OR value > q3 + 1.5 * iqr""")
+WITH {_sql_types('events')}, u AS (SELECT 'user_id' AS field, user_id::DOUBLE AS value, event_id FROM events UNION ALL SELECT 'value', value, event_id FROM events),
+q AS (SELECT field, {r("quantile_cont(value, 0.25)")} AS q1, {r("quantile_cont(value, 0.75)")} AS q3, {r("quantile_cont(value, 0.75) - quantile_cont(value, 0.25)")} AS iqr, {r("avg(value)")} AS mean, {r("stddev_pop(value)")} AS std FROM u GROUP BY field),
+a AS (SELECT event_id AS _row_id, field, value, {r("(value - q.mean) / q.std")} AS z_score FROM u JOIN q USING (field) JOIN (SELECT field, feature_type FROM f) t USING (field) WHERE feature_type = 'numerical' AND (value < q1 - 1.5 * iqr OR value > q3 + 1.5 * iqr))
+SELECT *, CASE WHEN abs(z_score) > 3 THEN 'high' ELSE 'medium' END AS severity, concat('值 ', {_sql_2f("value")}, '，z = ', {_sql_2f("z_score")}) AS description FROM a""")
 def dataset_anomalies(spark, sf):
-    df = load(spark, sf, "events").withColumnRenamed("event_id", "_row_id")
-    return overview.dataset_anomalies(df, ["event_type", "value", "props"]).drop("z_score", "description")
+    return overview.dataset_anomalies(load(spark, sf, "events").withColumnRenamed("event_id", "_row_id"))
 
 
 @query("dataset_warnings", f"WITH {_sql_types('part')} SELECT count(*) FILTER (feature_type = 'invalid') AS unrecognised_fields FROM f")

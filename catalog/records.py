@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import load, query, r, rounded
+from catalog.base import ORACLES, load, query, r, rounded
 from cellgrain.operators import lookup
 from cellgrain.plans import locator, profile
 
@@ -73,42 +73,40 @@ def _people(spark, sf):
     )
 
 
-@query("locator_fields", f"""
-WITH n AS (SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS s, count(DISTINCT c_custkey % 28) AS d, count(DISTINCT c_acctbal) AS b, count(DISTINCT c_custkey) AS k,
- count(*) FILTER (regexp_full_match(cast(c_custkey AS varchar), '[0-9A-Za-z][0-9A-Za-z._\\-]{{2,29}}')) AS code FROM customer)
-SELECT unnest([0, 1, 2, 4]) AS ordinal, unnest(['学号', '班级', '日期', 'key']) AS field, unnest(['student_id', 'class', 'time', 'key']) AS normalized_name,
- unnest(['identifier', 'group', 'time', CASE WHEN code / n >= 0.5 THEN 'identifier' ELSE 'other' END]) AS semantic, unnest([{r("0.94", 2)}, CASE WHEN s / n <= 0.15 THEN {r("0.84", 2)} ELSE {r("0.84", 2)} END, {r("0.85", 2)}, CASE WHEN code / n >= 0.5 THEN {r("0.78", 2)} ELSE {r("0.2", 2)} END]) AS confidence,
- n AS non_empty, unnest([n, s, d, k]) AS unique_count, unnest([{r("1.0", 2)}, {r("s / n", 2)}, {r("d / n", 2)}, {r("k / n", 2)}]) AS uniqueness,
- unnest([true, true, true, code / n >= 0.5]) AS is_candidate FROM n""")
-def locator_fields(spark, sf):
-    """The rows that the twin compares; ``locator_fields_whole`` has all of them."""
-    return locator_fields_whole(spark, sf).where("field <> '余额'")
+_CODE = "regexp_full_match({}, '[0-9A-Za-z][0-9A-Za-z._\\-]{{2,29}}')"
+_BALANCE = f"""(CASE WHEN floor(c_acctbal) = c_acctbal THEN cast(cast(c_acctbal AS bigint) AS varchar) ELSE cast(c_acctbal AS varchar) END)"""
+_LOCATOR = f"""n AS (SELECT count(*) AS n, count(DISTINCT c_name) AS c, count(DISTINCT c_mktsegment) AS s, count(DISTINCT c_custkey % 28) AS d, count(DISTINCT c_acctbal) AS b, count(DISTINCT c_custkey) AS k,
+ count(*) FILTER ({_CODE.format("cast(c_custkey AS varchar)")}) AS key_codes, count(*) FILTER ({_CODE.format(_BALANCE)}) AS codes FROM customer),
+v AS (SELECT n, unnest([0, 1, 2, 3, 4]) AS ordinal, unnest(['学号', '班级', '日期', '余额', 'key']) AS field, unnest([c, s, d, b, k]) AS u,
+ unnest([0, n, 0, codes, key_codes]) AS code, unnest(['学号', '班级', '日期', NULL, NULL]) AS matched_alias, unnest(['student_id', 'class', 'time', '余额', 'key']) AS normalized_name FROM n),
+t AS (SELECT *, CASE WHEN field = '日期' THEN 'date' WHEN code / n >= 0.5 THEN 'code' WHEN u / n <= 0.15 THEN 'lowCardinality' ELSE 'mixed' END AS value_type FROM v),
+z AS (SELECT *, CASE WHEN field = '学号' THEN 'identifier' WHEN field = '班级' THEN 'group' WHEN field = '日期' THEN 'time' WHEN value_type = 'code' AND u / n >= 0.9 AND n >= 3 THEN 'identifier' ELSE 'other' END AS semantic FROM t),
+l AS (SELECT *, CASE field WHEN '学号' THEN 0.9 + CASE WHEN u / n >= 0.9 THEN 0.04 ELSE 0 END WHEN '班级' THEN 0.84 + CASE WHEN value_type = 'lowCardinality' THEN 0.04 ELSE 0 END WHEN '日期' THEN 0.85
+  ELSE CASE WHEN semantic = 'identifier' THEN 0.78 ELSE 0.2 END END AS confidence,
+ CASE field WHEN '学号' THEN CASE WHEN u / n >= 0.9 THEN 'named_unique' ELSE 'named_repeated' END WHEN '班级' THEN 'named_group' WHEN '日期' THEN 'named' ELSE CASE WHEN semantic = 'identifier' THEN 'unique_codes' ELSE 'none' END END AS ability FROM z)"""
 
 
-@query("locator_fields_whole")
-def locator_fields_whole(spark, sf):
+@query("locator_fields", f"""
+WITH {_LOCATOR} SELECT ordinal, field, normalized_name, semantic, {r("confidence", 2)} AS confidence, n AS total_rows, n AS non_empty, u AS unique_count, {r("u / n", 2)} AS uniqueness,
+ value_type, matched_alias, ability, n - u AS repeated_cells, semantic <> 'other' AS is_candidate FROM l""")
+def locator_fields(spark, sf):
     counts = profile.column_counts(_people(spark, sf))
-    return rounded(locator.locator_fields(counts), "confidence", "uniqueness", digits=2).select(
-        "ordinal", "field", "normalized_name", "semantic", "confidence", "non_empty", "unique_count", "uniqueness",
-        "is_candidate",
-    )
+    return rounded(locator.locator_fields(counts), "confidence", "uniqueness", digits=2)
 
 
-@query("locator_report", """
-WITH n AS (SELECT count(*) FILTER (c_mktsegment = 'BUILDING') AS m FROM customer)
-SELECT unnest(['学号', '班级', '日期']) AS field, unnest(['identifier', 'group', 'time']) AS semantic, unnest([0, m, 0]) AS matched_count, unnest([true, false, false]) AS is_unique_field,
- '学号' AS unique_field, '未识别出明显的标识/姓名/分组字段，请检查表头或数据。' AS suggestion FROM n""")
-def locator_report(spark, sf):
-    """The columns that the twin compares; ``locator_report_whole`` takes all of them."""
-    return _report(_people(spark, sf).drop("余额", "key"))
+query("locator_fields_whole", ORACLES["locator_fields"])(locator_fields)
 
 
-@query("locator_report_whole")
-def locator_report_whole(spark, sf):
-    return _report(_people(spark, sf))
+@query("locator_report", f"""
+WITH {_LOCATOR}, w AS (SELECT '学号' AS field, c_custkey AS id, c_name AS cell FROM customer UNION ALL SELECT '班级', c_custkey, c_mktsegment FROM customer
+ UNION ALL SELECT '日期', c_custkey, '2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') FROM customer UNION ALL SELECT '余额', c_custkey, {_BALANCE} FROM customer UNION ALL SELECT 'key', c_custkey, c_custkey::VARCHAR FROM customer),
+f AS (SELECT field, cell, min(id) AS id FROM w GROUP BY 1, 2), g AS (SELECT field, list(cell ORDER BY id)[1:3] AS sample_values FROM f GROUP BY field),
+h AS (SELECT field, count(*) FILTER (lower(cell) = 'building') AS matched_count FROM w GROUP BY field)
+SELECT cast(row_number() OVER (ORDER BY {r("confidence", 2)} DESC, ordinal) AS INT) AS position, field, semantic, {r("confidence", 2)} AS confidence, {r("u / n", 2)} AS uniqueness, matched_count, sample_values, ability, 5 AS scanned_fields,
+ {r("u / n", 2)} >= 0.95 AS is_unique_field, first(CASE WHEN semantic = 'identifier' AND {r("u / n", 2)} >= 0.95 THEN field END IGNORE NULLS) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS unique_field,
+ '未识别出明显的标识/姓名/分组字段，请检查表头或数据。' AS suggestion FROM l JOIN g USING (field) JOIN h USING (field) WHERE semantic <> 'other'""")
+def locator_report(spark, sf):
+    return rounded(locator.locator_report(_people(spark, sf), "building", row_id="key"), "confidence", "uniqueness", digits=2)
 
 
-def _report(df):
-    return locator.locator_report(df, "building").select(
-        "field", "semantic", "matched_count", "is_unique_field", "unique_field", "suggestion"
-    )
+query("locator_report_whole", ORACLES["locator_report"])(locator_report)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import DIRTY, dirty_orders, load, query, r, rounded, sql_num, sql_unpivot
+from catalog.base import DIRTY, ORACLES, dirty_orders, load, query, r, rounded, sql_num, sql_text, sql_unpivot
 from cellgrain.functions import labels
 from cellgrain.functions.numbers import half_up, is_valid_percentile, normalize_score
 from cellgrain.operators import correlation, filters, outliers, stats
@@ -136,10 +136,13 @@ METRICS = (
 INPUTS = {"l_quantity": 30.0, "l_extendedprice": 50000.0, "l_discount": 0.05}
 
 
-@query("metrics_batch", f"""
-WITH {_U}, m AS (SELECT * FROM (VALUES ('l_quantity', '数量', 'higher-is-better', 30.0), ('l_extendedprice', 'l_extendedprice', 'lower-is-better', 50000.0),
+_BATCH = f"""{_U}, m AS (SELECT * FROM (VALUES ('l_quantity', '数量', 'higher-is-better', 30.0), ('l_extendedprice', 'l_extendedprice', 'lower-is-better', 50000.0),
   ('l_discount', 'l_discount', 'neutral', NULL)) t(field, display_name, direction, x)),
-s AS ({_sql_stats("u JOIN m USING (field)", "field, display_name, direction, x").replace("count(value) AS valid_count", "count(value) AS valid_count, count(*) AS total_rows, count(*) FILTER (value > x) AS h, count(*) FILTER (value = x) AS e, count(*) FILTER (value < x) AS l")})
+s AS ({_sql_stats("u JOIN m USING (field)", "field, display_name, direction, x").replace("count(value) AS valid_count", "count(value) AS valid_count, count(*) AS total_rows, count(*) FILTER (value > x) AS h, count(*) FILTER (value = x) AS e, count(*) FILTER (value < x) AS l")})"""
+
+
+@query("metrics_batch", f"""
+WITH {_BATCH}
 SELECT field AS metric, display_name, direction, total_rows, valid_count, invalid_count, {", ".join(_STATS)},
  x::DOUBLE AS user_value, CASE WHEN x IS NOT NULL THEN h END AS higher_count, CASE WHEN x IS NOT NULL THEN e END AS equal_count,
  CASE WHEN x IS NOT NULL THEN l END AS lower_count,
@@ -154,21 +157,35 @@ def metrics_batch(spark, sf):
     )
 
 
+_PLACED = "direction IN ('higher-is-better', 'lower-is-better')"
+_SHEET_ROWS = [
+    ("field", 0, "指标字段", "field", "true"),
+    *[("stats", i, key, c, "valid_count > 0") for i, (key, c) in enumerate((
+        ("有效数值", "valid_count"), ("无效/空值", "invalid_count"), ("总数", "valid_count"), ("均值", sql_text("mean", "double")), ("中位数", sql_text("median", "double")),
+        ("最小值", sql_text("min", "double")), ("最大值", sql_text("max", "double")), ("Q25", sql_text("q25", "double")), ("Q75", sql_text("q75", "double")),
+        ("Q90", sql_text("q90", "double")), ("Q95", sql_text("q95", "double"))))],
+    *[("position", i, key, c, _PLACED) for i, (key, c) in enumerate((
+        ("总记录数", "valid_count"), ("高于该值记录数", "h"), ("等于该值记录数", "e"), ("低于该值记录数", "l"), ("相对位置区间起点", "ahead + 1"), ("相对位置区间终点", "ahead + e"),
+        ("估算相对位置", "ahead + 1"), ("百分位", sql_text("percentile", "double")), ("该值是否存在于数据中", "CASE WHEN e > 0 THEN '是' ELSE '否' END"),
+        ("是否超出数据范围", "CASE WHEN x < min THEN '低于数据范围' WHEN x > max THEN '高于数据范围' ELSE '否' END")))],
+    ("interpretation", 0, "指标名", "field", "true"), ("interpretation", 1, "显示名", "display_name", "true"),
+    ("interpretation", 2, "方向", "CASE direction WHEN 'higher-is-better' THEN '越高越好' WHEN 'lower-is-better' THEN '越低越好' WHEN 'neutral' THEN '中性（无优劣方向）' ELSE '未指定方向' END", "true"),
+    ("interpretation", 3, "总行数", "total_rows", "true"), ("interpretation", 4, "有效值数量", "valid_count", "true"), ("interpretation", 5, "无效值数量", "invalid_count", "true"),
+    ("interpretation", 6, "说明", "'当前字段方向未指定，仅展示统计分布，不进行优劣评价。'", f"NOT {_PLACED}"),
+]
+
+
 @query("summary_sheet", f"""
-WITH n AS (SELECT count(*) AS n, count(*) FILTER (l_quantity > 30) AS h, count(*) FILTER (l_quantity = 30) AS e,
- count(*) FILTER (l_quantity < 30) AS l FROM lineitem)
-SELECT 'position' AS section, unnest([0, 1, 2, 3, 4, 5, 6, 8, 9]) AS ord,
- unnest(['总记录数', '高于该值记录数', '等于该值记录数', '低于该值记录数', '相对位置区间起点', '相对位置区间终点', '估算相对位置', '该值是否存在于数据中', '是否超出数据范围']) AS key,
- unnest([n::VARCHAR, h::VARCHAR, e::VARCHAR, l::VARCHAR, (h + 1)::VARCHAR, (h + e)::VARCHAR, (h + 1)::VARCHAR, CASE WHEN e > 0 THEN '是' ELSE '否' END, '否']) AS value FROM n""")
+WITH {_BATCH}, z AS (SELECT *, CASE WHEN direction = 'lower-is-better' THEN l ELSE h END AS ahead, {r("CASE WHEN direction = 'lower-is-better' THEN h + e ELSE l + e END / valid_count * 100.0")} AS percentile FROM s)
+""" + " UNION ALL ".join(
+    f"SELECT field AS metric, '{section}' AS section, {i} AS ord, '{key}' AS key, cast({value} AS varchar) AS value FROM z WHERE {test}" for section, i, key, value, test in _SHEET_ROWS))
 def summary_sheet(spark, sf):
-    metrics = stats.compute_metrics(load(spark, sf, "lineitem"), METRICS[:1], INPUTS)
-    return export.summary_sheet(metrics).where("section = 'position' AND ord <> 7").drop("metric")
+    """Every metric, section and row; numbers are cut to four decimals before they become text."""
+    got = stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS)
+    return export.summary_sheet(rounded(got, "mean", "percentile", *stats.METRIC_QUANTILES))
 
 
-@query("summary_sheet_whole")
-def summary_sheet_whole(spark, sf):
-    """Every metric, section and row; the twin of ``summary_sheet`` compares a part."""
-    return export.summary_sheet(stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS))
+query("summary_sheet_whole", ORACLES["summary_sheet"])(summary_sheet)
 
 
 @query("category_top_n", """

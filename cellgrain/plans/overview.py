@@ -11,7 +11,7 @@ from cellgrain.functions import dates
 from cellgrain.operators import ordering
 from cellgrain.operators.cells import time_ms_of
 from cellgrain.operators.outliers import outlier_status, plain_outliers
-from cellgrain.operators.stats import category_counts, category_top_n, numeric_summary
+from cellgrain.operators.stats import category_counts, numeric_summary
 from cellgrain.plans import profile
 
 HIGH_MISSING = 0.3
@@ -80,55 +80,50 @@ def dataset_profile(
         frames.append(s.select(
             "field", F.lit("numerical").alias("feature_type"), "count", "valid_count", "missing_count",
             "min", "max", "mean", "std", null_l.alias("unique_count"), null_s.alias("top_categories"),
+            null_s.alias("_best"), null_l.alias("_times"),
         ))
     if by_type["categorical"]:
-        per_value = category_counts(df, by_type["categorical"])
-        sizes = per_value.groupBy("field").agg(
-            F.sum("n").alias("valid_count"), F.count(F.lit(1)).alias("unique_count")
-        )
-        best = category_top_n(df, by_type["categorical"], top).groupBy("field").agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("rank", "value", "n"))),
-                    lambda s: F.concat(s["value"], F.lit("="), s["n"].cast("string")),
-                ), "; ",
-            ).alias("top_categories")
+        # a categorical column has few values, so all of them fit one list
+        listed = category_counts(df, by_type["categorical"]).groupBy("field").agg(
+            F.sum("n").alias("valid_count"), F.count(F.lit(1)).alias("unique_count"),
+            F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("key"), "value", "n"))).alias("_c"),
         )
+        shown = F.transform(F.slice("_c", 1, top), lambda s: F.concat(s["value"], F.lit("="), s["n"].cast("string")))
         totals = counts.select("field", F.col("total").cast("bigint").alias("count"))
         frames.append(
-            sizes.join(F.broadcast(best), "field").join(F.broadcast(totals), "field").select(
+            listed.join(F.broadcast(totals), "field").select(
                 "field", F.lit("categorical").alias("feature_type"), "count", "valid_count",
                 (F.col("count") - F.col("valid_count")).cast("bigint").alias("missing_count"),
                 null_d.alias("min"), null_d.alias("max"), null_d.alias("mean"), null_d.alias("std"),
-                "unique_count", "top_categories",
+                "unique_count", F.array_join(shown, "; ").alias("top_categories"),
+                F.get("_c", F.lit(0))["value"].alias("_best"), F.get("_c", F.lit(0))["n"].alias("_times"),
             )
         )
-    for f in by_type["temporal"]:
-        ms = time_ms_of(df, f, wide=True)
-        frames.append(df.agg(
-            F.count(F.lit(1)).alias("count"), F.count(ms).alias("valid_count"), F.min(ms).cast("double").alias("min"),
-            F.max(ms).cast("double").alias("max"),
-        ).select(
-            F.lit(f).alias("field"), F.lit("temporal").alias("feature_type"),
+    if times := by_type["temporal"]:
+        every = {f: time_ms_of(df, f, wide=True) for f in times}
+        one = df.agg(F.count(F.lit(1)).alias("count"), *[
+            F.struct(F.lit(f).alias("field"), F.count(ms).alias("valid_count"), F.min(ms).cast("double").alias("min"), F.max(ms).cast("double").alias("max")).alias(f"_t{k}")
+            for k, (f, ms) in enumerate(every.items())
+        ])
+        frames.append(one.select("count", F.inline(F.array(*[F.col(f"_t{k}") for k in range(len(times))]))).select(
+            "field", F.lit("temporal").alias("feature_type"),
             "count", "valid_count", (F.col("count") - F.col("valid_count")).cast("bigint").alias("missing_count"),
             "min", "max", null_d.alias("mean"), null_d.alias("std"),
-            null_l.alias("unique_count"), null_s.alias("top_categories"),
+            null_l.alias("unique_count"), null_s.alias("top_categories"), null_s.alias("_best"), null_l.alias("_times"),
         ))
     schema = (
         "field string, feature_type string, count bigint, valid_count bigint, missing_count bigint, "
-        "min double, max double, mean double, std double, unique_count bigint, top_categories string"
+        "min double, max double, mean double, std double, unique_count bigint, top_categories string, _best string, _times bigint"
     )
     out = df.sparkSession.createDataFrame([], schema)
     for frame in frames:
         out = out.unionByName(frame)
-    best = F.regexp_extract("top_categories", r"(?s)^(.*?)=(\d+)(?:; |$)", 1)
-    times = F.regexp_extract("top_categories", r"(?s)^(.*?)=(\d+)(?:; |$)", 2)
     insight = (
         F.when(
             F.col("feature_type") == "categorical",
             F.concat(
                 F.col("unique_count").cast("string"), F.lit(" 个类别"),
-                F.when(times != "", F.concat(F.lit("，最多为 "), best, F.lit(" × "), times)).otherwise(""),
+                F.when(F.col("_times").isNotNull(), F.concat(F.lit("，最多为 "), "_best", F.lit(" × "), F.col("_times").cast("string"))).otherwise(""),
             ),
         )
         .when(
@@ -141,7 +136,7 @@ def dataset_profile(
             F.format_string(" 个有效值，%.2f 至 %.2f，均值 %.2f，标准差 %.2f", "min", "max", "mean", "std"),
         ))
     )
-    return out.withColumn("insight", insight)
+    return out.withColumn("insight", insight).drop("_best", "_times")
 
 
 def dataset_anomalies(
