@@ -41,10 +41,10 @@ def numeric_summary(spark, sf):
 _STATS = ("min", "max", "mean", "median", "q25", "q75", "q90", "q95")
 
 
-def _sql_stats(source: str, keys: str = "field") -> str:
+def _sql_stats(source: str, keys: str = "field", digits: int = 4) -> str:
     return f"""SELECT {keys}, count(value) AS valid_count, count(*) - count(value) AS invalid_count,
- min(value) AS min, max(value) AS max, {r("avg(value)")} AS mean,
- {", ".join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for n, q in stats.METRIC_QUANTILES.items())}
+ min(value) AS min, max(value) AS max, {r("avg(value)", digits)} AS mean,
+ {", ".join(f"{r(f'quantile_cont(value, {q})', digits)} AS {n}" for n, q in stats.METRIC_QUANTILES.items())}
  FROM {source} GROUP BY {keys}"""
 
 
@@ -136,13 +136,14 @@ METRICS = (
 INPUTS = {"l_quantity": 30.0, "l_extendedprice": 50000.0, "l_discount": 0.05}
 
 
-_BATCH = f"""{_U}, m AS (SELECT * FROM (VALUES ('l_quantity', '数量', 'higher-is-better', 30.0), ('l_extendedprice', 'l_extendedprice', 'lower-is-better', 50000.0),
+def _sql_batch(digits: int = 4) -> str:
+    return f"""{_U}, m AS (SELECT * FROM (VALUES ('l_quantity', '数量', 'higher-is-better', 30.0), ('l_extendedprice', 'l_extendedprice', 'lower-is-better', 50000.0),
   ('l_discount', 'l_discount', 'neutral', NULL)) t(field, display_name, direction, x)),
-s AS ({_sql_stats("u JOIN m USING (field)", "field, display_name, direction, x").replace("count(value) AS valid_count", "count(value) AS valid_count, count(*) AS total_rows, count(*) FILTER (value > x) AS h, count(*) FILTER (value = x) AS e, count(*) FILTER (value < x) AS l")})"""
+s AS ({_sql_stats("u JOIN m USING (field)", "field, display_name, direction, x", digits).replace("count(value) AS valid_count", "count(value) AS valid_count, count(*) AS total_rows, count(*) FILTER (value > x) AS h, count(*) FILTER (value = x) AS e, count(*) FILTER (value < x) AS l")})"""
 
 
 @query("metrics_batch", f"""
-WITH {_BATCH}
+WITH {_sql_batch()}
 SELECT field AS metric, display_name, direction, total_rows, valid_count, invalid_count, {", ".join(_STATS)},
  x::DOUBLE AS user_value, CASE WHEN x IS NOT NULL THEN h END AS higher_count, CASE WHEN x IS NOT NULL THEN e END AS equal_count,
  CASE WHEN x IS NOT NULL THEN l END AS lower_count,
@@ -176,13 +177,13 @@ _SHEET_ROWS = [
 
 
 @query("summary_sheet", f"""
-WITH {_BATCH}, z AS (SELECT *, CASE WHEN direction = 'lower-is-better' THEN l ELSE h END AS ahead, {r("CASE WHEN direction = 'lower-is-better' THEN h + e ELSE l + e END / valid_count * 100.0")} AS percentile FROM s)
+WITH {_sql_batch(6)}, z AS (SELECT *, CASE WHEN direction = 'lower-is-better' THEN l ELSE h END AS ahead, {r("CASE WHEN direction = 'lower-is-better' THEN h + e ELSE l + e END / valid_count * 100.0")} AS percentile FROM s)
 """ + " UNION ALL ".join(
     f"SELECT field AS metric, '{section}' AS section, {i} AS ord, '{key}' AS key, cast({value} AS varchar) AS value FROM z WHERE {test}" for section, i, key, value, test in _SHEET_ROWS))
 def summary_sheet(spark, sf):
-    """Every metric, section and row; numbers are cut to four decimals before they become text."""
-    got = stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS)
-    return export.summary_sheet(rounded(got, "mean", "percentile", *stats.METRIC_QUANTILES))
+    """Every metric, section and row; numbers are cut to a few decimals before they become text."""
+    got = rounded(stats.compute_metrics(load(spark, sf, "lineitem"), METRICS, INPUTS), "percentile")
+    return export.summary_sheet(rounded(got, "mean", *stats.METRIC_QUANTILES, digits=6))
 
 
 query("summary_sheet_whole", ORACLES["summary_sheet"])(summary_sheet)
@@ -362,7 +363,7 @@ def outlier_status(spark, sf):
  {r("CASE WHEN q3 = q1 AND mad > 0 THEN 0.6745 * (v - med) / mad END")} AS modified_z FROM h""")
 def outlier_records(spark, sf):
     df = _spiky(spark, sf)
-    bounds = outliers.outlier_bounds(df, OUTLIER_FIELDS)
+    bounds = outliers.outlier_bounds(df, OUTLIER_FIELDS, unique=False)
     return rounded(outliers.outlier_records(df, bounds, OUTLIER_FIELDS), "distance", "overrun_percent", "modified_z")
 
 
@@ -378,13 +379,19 @@ def outliers_mad(spark, sf):
         F.col("o_orderkey").alias("_row_id"),
         F.when(k < 11, F.lit(50.0)).when(k == 19, F.col("o_totalprice")).otherwise(k + 50.0).alias("v"),
     )
-    bounds = outliers.outlier_bounds(df, ["v"])
+    bounds = outliers.outlier_bounds(df, ["v"], unique=False)
     counted = outliers.outlier_status(df, ["v"], bounds=bounds)
     return counted.join(bounds.select("field", F.coalesce("mad", F.lit(0.0)).alias("mad")), "field").select(
         "iqr", "mad", "outlier_count"
     )
 
 
+@query("median_deviations", f"""WITH {_U}, q AS (SELECT field, count(value) AS valid_count, quantile_cont(value, 0.5) AS median FROM u GROUP BY field)
+SELECT field, valid_count, {r("median")} AS median, {r("quantile_cont(abs(value - median), 0.5)")} AS mad FROM u JOIN q USING (field) GROUP BY field, valid_count, median""")
+def median_deviations(spark, sf):
+    return rounded(outliers.median_deviations(load(spark, sf, "lineitem"), MEASURES), "median", "mad")
+
+
 @query("outlier_roles", f"""
 WITH s AS (SELECT count(DISTINCT o_totalprice) AS u, count(*) AS n FROM orders) SELECT 'o_totalprice' AS field, 'unsupported' AS status, n AS sample_size, u AS unique_count, 0::BIGINT AS outlier_count FROM s""")
 def outlier_roles(spark, sf):

@@ -206,69 +206,60 @@ def _quantile_columns(names: Mapping[str, float], of: Column | None = None) -> l
 # sides of the wanted one: four times its own error bound.
 SKETCH_ACCURACY = 10_000
 BRACKET = 4 / SKETCH_ACCURACY
-# Keys with fewer numbers keep all of them.
-WHOLE_KEY_ROWS = SKETCH_ACCURACY // 2
+# Keys with at most this many numbers are left to the built-in ``percentile``.
+WHOLE_KEY_ROWS = 10_000
 # Most keys whose brackets are sent to every task.
 MAX_BRACKET_KEYS = 100_000
 
 
 def _narrowed_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, float], aggs: Sequence[Column] = ()
 ) -> DataFrame | None:
-    """Exact quantiles from the few values near each wanted rank, or None if that fails.
+    """Exact quantiles from the few values near each wanted rank, and ``aggs``; or None if that fails.
 
-    A sketch per key brackets each rank.  The second scan counts the values below
+    For few keys with many rows.  A sketch per key brackets each rank, in the scan that works out ``aggs``.  The second scan counts the values below
     every bracket (one merged row) and keeps the distinct values inside it, so only
     about a thousandth of the column is shuffled.  The result is used only if every
     rank was found inside its bracket.
     """
     keys = list(keys)
     at = [min(1.0, max(0.0, q + d)) for q in names.values() for d in (-BRACKET, BRACKET)]
-    rows = df.where(F.col(value).isNotNull()).select(
-        *keys, (F.col(value) + F.lit(0.0)).alias("_v")
-    )
+    rows = df.withColumn("_v", F.col(value) + F.lit(0.0))
     if not keys:
         keys, rows = ["_all"], rows.withColumn("_all", F.lit(0))
-    # a sketch of the keys first: with too many, no quantile sketch is built at all
-    n_keys = rows.agg(F.approx_count_distinct(F.struct(*keys), 0.02).alias("n")).first()["n"]
-    if n_keys > 1.1 * MAX_BRACKET_KEYS:
-        return None
+    # numbered when written, so that null keys meet like any other
     brackets = fixed(rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("_b"),
-    ))
+        *aggs, F.count("_v").alias("_n_total"), F.percentile_approx("_v", at, SKETCH_ACCURACY).alias("_b"),
+    ).withColumn("_key", F.monotonically_increasing_id()))
     if brackets.count() > MAX_BRACKET_KEYS:
         return None
-    few = F.col("n_total") <= WHOLE_KEY_ROWS
-    inf = F.lit(float("inf"))
+    bracket = F.broadcast(brackets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_key", "_b"))
     kept = []
     for i in range(len(names)):
-        low = F.when(few, -inf).otherwise(F.col("_b")[2 * i])
-        high = F.when(few, inf).otherwise(F.col("_b")[2 * i + 1])
-        inside = F.when(F.col("_v") >= low, F.col("_v"))
-        kept.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("_i"), inside.alias("_v"))))
-    # at most MAX_BRACKET_KEYS rows
-    near = rows.join(F.broadcast(brackets), keys).select(
-        *keys, F.inline(F.filter(F.array(*kept), lambda s: s.isNotNull()))
+        inside = F.when(F.col("_v") >= F.col("_b")[2 * i], F.col("_v"))
+        kept.append(F.when(F.col("_v") <= F.col("_b")[2 * i + 1], F.struct(F.lit(i).alias("_i"), inside.alias("_v"))))
+    near = rows.where(F.col("_v").isNotNull()).join(bracket, _same_keys(keys)).select(
+        "_key", F.inline(F.filter(F.array(*kept), lambda s: s.isNotNull()))
     )
-    counts = fixed(near.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("n_equal")))
-    below = counts.where("_v IS NULL").select(*keys, "_i", F.col("n_equal").alias("_before"))
+    counts = fixed(near.groupBy("_key", "_i", "_v").agg(F.count(F.lit(1)).alias("n_equal")))
+    below = counts.where("_v IS NULL").select("_key", "_i", F.col("n_equal").alias("_before"))
     values = counts.where("_v IS NOT NULL")
     limits = range_limits(values, F.col("_v"), values.count())
     # one row per key and quantile on the small sides
     placed = (
-        cumulative_counts(values, [*keys, "_i"], "_v", limits, written=True).drop("n_total")
-        .join(F.broadcast(below), [*keys, "_i"], "left")
-        .join(F.broadcast(brackets.select(*keys, "n_total")), keys)
+        cumulative_counts(values, ["_key", "_i"], "_v", limits, written=True).drop("n_total")
+        .join(F.broadcast(below), ["_key", "_i"], "left")
+        .join(F.broadcast(brackets.select("_key", F.col("_n_total").alias("n_total"))), "_key")
         .withColumn("n_below", F.col("n_below") + F.coalesce("_before", F.lit(0)))
     )
-    found = fixed(placed.groupBy(*keys).agg(*_quantile_columns(names, F.col("_i"))))
+    found = fixed(placed.groupBy("_key").agg(*_quantile_columns(names, F.col("_i"))))
     sound = F.lit(True)
     for i in range(len(names)):
         sound = sound & F.col(f"_ok_{i}")
     if not found.where(~sound).isEmpty():
         return None
-    return found.select(*keys, *names)
+    # a row per key on both sides; keys without a number keep their row
+    return brackets.join(F.broadcast(found.select("_key", *names)), "_key", "left").drop("_n_total", "_b", "_key")
 
 
 def quantiles(
@@ -282,41 +273,67 @@ def quantiles(
     merged: bool = False,
     method: str = "exact",
     rows: int | None = None,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles per key, with further aggregates ``aggs`` of the same rows.
 
-    Null values take no part in the quantiles; every key of ``df`` is kept.
-    A table above ``SINGLE_TASK_ROWS`` rows does not use the built-in ``percentile``,
-    which keeps all distinct values of a key in one task: the wanted ranks are
-    bracketed, or else all value ranges are counted through.
+    Null values take no part in the quantiles; every key of ``df`` is kept, a null key too.
+    In a table above ``SINGLE_TASK_ROWS`` rows the built-in ``percentile``, which keeps all distinct values of a key in
+    one task, is used for keys of at most ``WHOLE_KEY_ROWS`` rows alone; for larger keys the wanted ranks are
+    bracketed, or else all value ranges are counted through.  ``few_keys`` says that keys are few (columns, say), so that
+    their sizes need no scan.
     ``method='approx'`` swaps in the bounded sketch.  ``weight`` names a row-count column;
     ``merged`` says that ``df`` holds one row per key and value and is cheap to read again.
     """
     keys = list(keys)
-    grouping = keys or [F.lit(0).alias("_all")]
-    at = F.array(*[F.lit(float(q)) for q in names.values()])
     rows = 0 if method == "approx" else count_rows(df, rows)
-    if method == "approx" or rows <= SINGLE_TASK_ROWS:
-        v = F.col(value)
+
+    def at_once(part: DataFrame) -> DataFrame:
+        at = F.array(*[F.lit(float(q)) for q in names.values()])
         if method == "approx":
-            packed = F.percentile_approx(v, at, 10_000)
+            packed = F.percentile_approx(F.col(value), at, 10_000)
         elif weight:
-            packed = F.percentile(v, at, F.col(weight))
+            packed = F.percentile(F.col(value), at, F.col(weight))
         else:
-            packed = F.percentile(v, at)
-        got = df.groupBy(*grouping).agg(*aggs, packed.alias("_q"))
+            packed = F.percentile(F.col(value), at)
+        got = part.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(*aggs, packed.alias("_q"))
         plain = [c for c in got.columns if c not in ("_q", "_all")]
-        return got.select(
-            *[F.col(f"`{c}`") for c in plain],
-            *[F.col("_q")[i].alias(n) for i, n in enumerate(names)],
-        )
-    found = None if weight else _narrowed_quantiles(df, keys, value, names)
-    if found is None:
-        found = _ranged_quantiles(df, keys, value, names, weight, merged, rows)
-    if not aggs:
-        return df.select(*keys).distinct().join(found, keys, "left") if keys else found.drop("_all")
-    others = df.groupBy(*grouping).agg(*aggs)
-    return others.join(found, keys or ["_all"], "left").drop("_all")
+        return got.select(*[F.col(f"`{c}`") for c in plain], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+    def in_parts(part: DataFrame) -> DataFrame:
+        found = None if weight else _narrowed_quantiles(part, keys, value, names, aggs)
+        if found is not None:
+            return found.drop("_all")
+        found = _ranged_quantiles(part, keys, value, names, weight, merged, rows)
+        others = part.groupBy(*(keys or [F.lit(0).alias("_all")])).agg(*aggs) if aggs else part.select(*keys).distinct()
+        if not keys:
+            return others.join(found, "_all", "left").drop("_all") if aggs else found.drop("_all")
+        found = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        return others.join(found, _same_keys(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+    if method == "approx" or rows <= SINGLE_TASK_ROWS:
+        return at_once(df)
+    if not keys or few_keys or weight:
+        return in_parts(df)
+    least = max(WHOLE_KEY_ROWS, rows // MAX_BRACKET_KEYS)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = fixed(sizes.where(F.col("_n") > least).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    n_large = large.count()
+    if not n_large:
+        return at_once(df)
+    if n_large > MAX_BRACKET_KEYS:  # only if there are more rows than planned for
+        return in_parts(df)
+    large = F.broadcast(large)
+    below = at_once(df.join(large, _same_keys(keys), "left_anti"))
+    return below.unionByName(in_parts(df.join(large, _same_keys(keys), "left_semi")))
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    """Each key equals its twin ``_k0``, ``_k1``, ..., nulls too."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
 
 
 def _ranged_quantiles(

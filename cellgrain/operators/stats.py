@@ -85,7 +85,7 @@ def numeric_summary(
             F.avg("value").alias("mean"),
             F.stddev_pop("value").alias("std"),
         ],
-        method=method, rows=rows,
+        method=method, rows=rows, few_keys=True,
     )
 
     def r(c: Column) -> Column:
@@ -128,7 +128,7 @@ def metric_stats(
             F.max("value").alias("max"),
             F.avg("value").alias("mean"),
         ],
-        method=method, rows=rows,
+        method=method, rows=rows, few_keys=True,
     )
     return raw.where("valid_count > 0").select(
         "field", F.col("valid_count").alias("count"), "valid_count", "invalid_count",
@@ -271,7 +271,7 @@ def compute_metrics(
             F.count_if(F.col("value") == x).alias("_e"),
             F.count_if(F.col("value") < x).alias("_l"),
         ],
-        method=method, rows=rows,
+        method=method, rows=rows, few_keys=True,
     )
     has = x.isNotNull() & (F.col("valid_count") > 0)
     place = position_columns(

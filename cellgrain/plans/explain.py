@@ -45,7 +45,7 @@ def explain_values(
             F.count_if(F.when(reverse, v > x).otherwise(v < x)).alias("_passed"),
             F.count_if(F.when(reverse, v >= x).otherwise(v <= x)).alias("_within"),
         ],
-        rows=ordering.count_rows(df, rows),
+        rows=ordering.count_rows(df, rows), few_keys=True,
     ).where("valid_count > 0")
     percentile = F.when(neutral, F.lit(0.0)).otherwise(F.col("_within") / F.col("valid_count") * 100.0)
     return got.withColumn("percentile", percentile).select(

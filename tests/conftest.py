@@ -42,3 +42,4 @@ def large_path(monkeypatch):
 
     monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
     monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 40)
+    monkeypatch.setattr(ordering, "WHOLE_KEY_ROWS", 50)
