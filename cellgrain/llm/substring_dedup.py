@@ -45,7 +45,7 @@ from cellgrain.llm.wordhash import U, Words
 
 _LEAST = -(2**63)
 #: Bytes of text that are looked at together.
-SLICE = 6 << 20
+SLICE = 4 << 20
 _RUN = np.random.default_rng(20240301).integers(1, 2**63, wordhash.MAX_WINDOW, dtype=np.uint64) * U(2) + U(1)
 
 
