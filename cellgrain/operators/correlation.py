@@ -6,6 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -35,53 +39,101 @@ class CorrelationOptions:
     moderate: float = 0.3
 
 
-def correlation_pairs(
-    df: DataFrame, fields: Sequence[str], options: CorrelationOptions = CorrelationOptions()
-) -> DataFrame:
-    """Every unordered pair with r over rows where both sides are numbers.
+# Columns whose co-moments are summed together: 3 * BLOCK numbers per row, (3 * BLOCK) ** 2 / 2 per task.
+BLOCK = 400
+# A variance this small beside the mean square may have lost digits to the sums; such pairs are measured again.
+DOUBTFUL = 1e-6
+
+
+def _centres(numbers: DataFrame, fields: Sequence[str]) -> list[tuple[float, float]]:
+    """A cell near the middle of each column, and the largest distance from it.  One row."""
+    got = numbers.agg(*[
+        F.struct(F.percentile_approx(ref(f), 0.5, 1000).alias("at"), F.min(ref(f)).alias("lo"), F.max(ref(f)).alias("hi")).alias(f"c{k}")
+        for k, f in enumerate(fields)
+    ]).first()
+    out = []
+    for c in got:
+        at = c["at"] or 0.0
+        far = max(abs(c["lo"] / 2 - at / 2), abs(c["hi"] / 2 - at / 2)) if c["at"] is not None else 0.0
+        out.append((at, far if 0 < far < float("inf") else 1.0))
+    return out
 
-    Fewer than two such rows or a constant side give 0.  One scan serves any number of
-    fields; each task shuffles one partial row per pair of columns.
+
+def _gram(numbers: DataFrame, fields: Sequence[str], centres: Sequence[tuple[float, float]]) -> np.ndarray:
+    """Sums over all rows of the products of (value, value present, value squared) of every two columns.
+
+    Missing values count as zeros, so each product sums over the rows where both sides are numbers.  Tasks add to one
+    matrix, and matrices are added in a tree: nothing is fanned out or exchanged by key.
     """
-    numbers = df.select(*[number_of(df, f).alias(f) for f in fields])
-    pairs = list(combinations(range(len(fields)), 2))
-    # a row fans out to its column pairs inside the task and is folded at once
+    parts = []
+    for f, (at, far) in zip(fields, centres, strict=True):
+        x = F.coalesce((ref(f) - F.lit(at)) / F.lit(far), F.lit(0.0))
+        parts.append((x, F.when(ref(f).isNotNull(), 1.0).otherwise(0.0), x * x))
+    rows = numbers.select(array_to_vector(F.array(*[p for kind in zip(*parts, strict=True) for p in kind])).alias("v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"), 0, 3 * len(fields)).computeGramianMatrix().toArray()
+
+
+def _measured(numbers: DataFrame, fields: Sequence[str], pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float | None]:
+    """r of some pairs by Spark's own covariance and variances; a row fans out to the pairs inside its task."""
     cells = numbers.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            ref(fields[i]).alias("a"), ref(fields[j]).alias("b"),
-        )
-        for i, j in pairs
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ref(fields[i]).alias("a"), ref(fields[j]).alias("b")) for i, j in pairs
     ])))
     folded = cells.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("a", "b").alias("c"),
-        F.var_pop("a").alias("x"), F.var_pop("b").alias("y"),
+        F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a")) * F.sqrt(F.var_pop("b"))).alias("r")
     )
-    # pairs without a single complete row still get a result
-    every = df.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            F.lit(fields[i]).alias("field_a"), F.lit(fields[j]).alias("field_b"),
-        )
-        for i, j in pairs
-    ])))
-    measured = every.join(F.broadcast(folded), ["i", "j"], "left").select(
-        "i", "j", "field_a", "field_b",
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("valid_count"),
-        F.try_divide(F.col("c"), F.sqrt("x") * F.sqrt("y")).alias("r"),
-    )
-    r = F.when(
-        F.col("valid_count") < 2, F.lit(0.0)
-    ).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)))))
-    return (
-        measured.withColumn("r", F.when(F.isnan(r), F.lit(0.0)).otherwise(r))
-        .select(
-            "i", "j", "field_a", "field_b", "valid_count", "r",
-            half_up(F.col("r"), 4).alias("pearson"),
-            labels.correlation_strength(F.col("r"), options.strong, options.moderate).alias("strength"),
-            labels.correlation_direction(F.col("r")).alias("direction"),
-            (F.col("valid_count") >= options.min_valid).alias("listed"),
-        )
+    return {(r["i"], r["j"]): r["r"] for r in folded.collect()}
+
+
+def _pair_values(numbers: DataFrame, fields: Sequence[str]) -> dict[tuple[int, int], tuple[int, float]]:
+    """Complete rows and r of every pair (i, j) of columns."""
+    centres = _centres(numbers, fields)
+    found: dict[tuple[int, int], tuple[int, float]] = {}
+    doubtful: list[tuple[int, int]] = []
+    half = max(1, BLOCK // 2)
+    blocks = [range(k, min(k + half, len(fields))) for k in range(0, len(fields), half)]
+    together = [[*a, *b] for a, b in combinations(blocks, 2)] if len(blocks) > 1 else [list(blocks[0])]
+    for columns in together:
+        g, d = _gram(numbers, [fields[k] for k in columns], [centres[k] for k in columns]), len(columns)
+        value, present, square = slice(0, d), slice(d, 2 * d), slice(2 * d, 3 * d)
+        n, total, squares, products = g[present, present], g[value, present], g[square, present], g[value, value]
+        with np.errstate(all="ignore"):
+            mean, mean_square = total / n, squares / n  # [a, b]: of a, over the rows that have both
+            variance = mean_square - mean**2
+            r = (products / n - mean * mean.T) / np.sqrt(variance * variance.T)
+            unsure = (variance <= DOUBTFUL * mean_square) & (squares > 0)
+        for p, q in combinations(range(d), 2):
+            pair = (columns[p], columns[q])
+            found[pair] = (int(round(n[p, q])), float(r[p, q]))
+            if n[p, q] >= 2 and (unsure[p, q] or unsure[q, p]):
+                doubtful.append(pair)
+    for pair, r in (_measured(numbers, fields, sorted(set(doubtful))) if doubtful else {}).items():
+        found[pair] = (found[pair][0], float("nan") if r is None else r)
+    return found
+
+
+def correlation_pairs(
+    df: DataFrame, fields: Sequence[str], options: CorrelationOptions = CorrelationOptions()
+) -> DataFrame:
+    """Every unordered pair with r over rows where both sides are numbers.
+
+    Fewer than two such rows or a constant side give 0.  Two scans serve up to ``BLOCK``
+    fields, a middle and a range of each first, then one matrix of co-moments per task; the sums of all pairs come to the
+    driver, which is a number per two columns.  More fields take a scan per pair of half blocks.
+    """
+    fields = list(fields)
+    spark = df.sparkSession
+    values = _pair_values(df.select(*[number_of(df, f).alias(f) for f in fields]), fields) if len(fields) > 1 else {}
+    rows = []
+    for (i, j), (n, r) in sorted(values.items()):
+        r = 0.0 if n < 2 or not np.isfinite(r) else max(-1.0, min(1.0, r))
+        rows.append((i, j, fields[i], fields[j], n, r))
+    measured = spark.createDataFrame(rows, "i int, j int, field_a string, field_b string, valid_count bigint, r double")
+    return measured.select(
+        "i", "j", "field_a", "field_b", "valid_count", "r",
+        half_up(F.col("r"), 4).alias("pearson"),
+        labels.correlation_strength(F.col("r"), options.strong, options.moderate).alias("strength"),
+        labels.correlation_direction(F.col("r")).alias("direction"),
+        (F.col("valid_count") >= options.min_valid).alias("listed"),
     )
 
 
@@ -153,7 +205,7 @@ def correlation_candidates(
 
     ``roles`` gives the field's analysis role, ``patterns`` its (value pattern, unique
     ratio) when a profile is at hand.  ``numeric_ratio`` drops fields with a smaller share
-    of numbers among non-blank cells.  Distinct counts come from merged value counts.
+    of numbers among non-blank cells.
     """
     roles, patterns = dict(roles or {}), dict(patterns or {})
     filled = df.select(
@@ -169,16 +221,11 @@ def correlation_candidates(
             for k, f in enumerate(fields)
         ]))
     )
-    per_value = cells.groupBy("ordinal", "field", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("filled")
-    )
-    has = F.col("value").isNotNull()
-    stats = per_value.groupBy("ordinal", "field").agg(
-        F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("valid_count"),
-        F.count_if(has).alias("unique_count"),
-        F.sum("filled").alias("filled_count"),
-        F.max("value").alias("max"),
-    )
+    distinct = cells.where("value IS NOT NULL").select("ordinal", "value").distinct().groupBy("ordinal").agg(F.count(F.lit(1)).alias("_unique"))
+    # one row per field on both sides; of the cells only distinct numbers with their field's number are exchanged
+    stats = cells.groupBy("ordinal", "field").agg(
+        F.count("value").alias("valid_count"), F.count_if("filled").alias("filled_count"), F.max("value").alias("max")
+    ).join(F.broadcast(distinct), "ordinal", "left").withColumn("unique_count", F.coalesce("_unique", F.lit(0)).cast("bigint"))
     low = F.lower("field")
     named_id = F.lit(False)
     for word in ID_WORDS:
