@@ -137,12 +137,20 @@ def row_numbers_tied(spark, sf):
     )
 
 
-@query("dataset_gate", """
-WITH n AS (SELECT count(*) AS n FROM orders) SELECT CASE WHEN n > 1000 THEN 'ready_sampled' ELSE 'ready_full' END AS status,
- CASE WHEN n > 1000 THEN 'systematic_even_v1' END AS algorithm, n AS original_rows, least(n, 1000) AS analysed_rows FROM n""")
+@query("dataset_gate", f"""
+WITH {_NUMBERED}, {_SAMPLE.format(s=1000)}, c AS (SELECT count(*) AS n FROM orders), k AS (SELECT o_totalprice, o_orderkey FROM n JOIN t USING (_row_id))
+SELECT CASE WHEN n > 1000 THEN 'ready_sampled' ELSE 'ready_full' END AS status,
+ CASE WHEN n > 1000 THEN 'systematic_even_v1' END AS algorithm, n AS original_rows, least(n, 1000) AS analysed_rows,
+ count(*) AS picked_rows, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, {r("avg(o_totalprice)")} AS mean_price FROM c, k GROUP BY n""")
 def dataset_gate(spark, sf):
-    rows = load(spark, sf, "orders").withColumnRenamed("o_orderkey", "_row_id")
-    return sampling.analysis_dataset(rows, SizeGate(sample_above=1000))[1]
+    """The decision together with figures of the rows that it picked."""
+    data, info = sampling.analysis_dataset(_numbered(spark, sf), SizeGate(sample_above=1000))
+    picked = data.agg(
+        F.count(F.lit(1)).alias("picked_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"),
+        F.avg("o_totalprice").alias("mean_price"),
+    )
+    # one row each
+    return rounded(info.withColumn("_one", F.lit(1)).join(picked.withColumn("_one", F.lit(1)), "_one").drop("_one"), "mean_price")
 
 
 @query("dataset_gate_full", "SELECT o_orderkey FROM orders")

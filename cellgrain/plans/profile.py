@@ -280,8 +280,14 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     names = df.columns
     cells = [F.coalesce(text_of(df, c), F.lit("")) for c in names]
     h = F.md5(F.concat_ws("", *[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in cells]))
-    sums = [
-        F.coalesce(F.sum(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"sum_{k}")
-        for k in range(4)
-    ]
-    return df.agg(F.count(F.lit(1)).alias("rows"), *sums).select(F.lit("\x01".join(names)).alias("headers"), "*")
+    slices = df.select(*[F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint").alias(f"s{k}") for k in range(4)])
+    # halves of a slice are summed as whole numbers, which 2 ** 47 rows do not exceed, and put together once
+    halves = [F.sum(half).alias(f"{name}{k}") for k in range(4) for name, half in (("hi", F.shiftright(f"s{k}", 16)), ("lo", F.col(f"s{k}").bitwiseAND(0xFFFF)))]
+
+    def whole(k: int) -> Column:
+        hi, lo = (F.coalesce(f"{name}{k}", F.lit(0)).cast("decimal(20,0)") for name in ("hi", "lo"))
+        return (hi * 65536 + lo).cast("decimal(38,0)").cast("string").alias(f"sum_{k}")
+
+    return slices.agg(F.count(F.lit(1)).alias("rows"), *halves).select(
+        F.lit("\x01".join(names)).alias("headers"), "rows", *[whole(k) for k in range(4)]
+    )
