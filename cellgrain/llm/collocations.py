@@ -1,6 +1,6 @@
 """Phrase collocation mining by stripes: each prefix keys an associative counter of the words that follow it.
 
-A scan of the texts turns every slice of them into stripes: a prefix of 0 to ``longest - 1`` words and its next words with
+A scan of the texts turns each task's share of them into stripes: a prefix of 0 to ``longest - 1`` words and its next words with
 their counts. Stripes are dealt by language, prefix and a segment of the next word's hash, so that the stripe of a frequent
 prefix, above all the empty one, is spread over tasks, and merged elementwise: counts of equal next words add up.
 In a merged stripe
@@ -44,6 +44,8 @@ _WORD = byte_class((0, 255)) & ~_BREAK
 _WORD[[0x20, 0x09]] = False
 #: Bytes of text that are worked on together, parts that a stripe is dealt in, bits of a phrase's hash in the first scan.
 SLICE, SEGMENTS, HASH_BITS = 4 << 20, 4, 48
+#: Rows of stripes that a task holds before it adds them up.
+TASK_ROWS = 1_000_000
 #: Parts of the hash range for each shuffle partition. A part is summed in one task.
 PARTS = 8
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -118,47 +120,98 @@ def candidates(texts: DataFrame, longest: int, least: int) -> np.ndarray:
     return bits
 
 
+class _Stripes:
+    """Stripes of one task by language and length of their phrases, as rows of word numbers with counts.
+
+    The last word of a row is the entry, 0 for the prefix's total. Equal rows are added up whenever ``limit`` rows are held; what
+    is still more than half of that goes out, so memory is bounded and most rows of a task are merged before they leave.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.place, self.spelled = limit, {}, [b""]
+        self.rows: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def numbers(self, words: pa.Array, codes: np.ndarray) -> np.ndarray:
+        """Number in this task of each word code; 0 for codes that are not asked for."""
+        out, asked = np.zeros(len(words), dtype=np.int32), np.unique(codes)
+        for code, word in zip(asked.tolist(), words.take(pa.array(asked)).to_pylist(), strict=True):
+            at = self.place.get(word)
+            if at is None:
+                at = self.place[word] = len(self.spelled)
+                self.spelled.append(word)
+            out[code] = at
+        return out
+
+    def add(self, lang: str, rows: np.ndarray, counts: np.ndarray) -> None:
+        self.rows.setdefault((lang, rows.shape[1]), []).append((rows, counts))
+
+    def held(self) -> int:
+        return sum(len(c) for parts in self.rows.values() for _, c in parts)
+
+    def merge(self) -> None:
+        for key, parts in self.rows.items():
+            if len(parts) > 1:
+                rows, counts = np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
+                _, first, of = np.unique(_numbered(rows), return_index=True, return_inverse=True)
+                self.rows[key] = [(rows[first], np.bincount(of, weights=counts).astype(np.int64))]
+
+    def take(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if not last and self.held() < self.limit:
+            return
+        self.merge()
+        if last or self.held() > self.limit // 2:
+            for (lang, length), parts in self.rows.items():
+                for rows, counts in parts:
+                    yield self.batch(lang, length, rows, counts)
+            self.__init__(self.limit)
+
+    def batch(self, lang: str, length: int, rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        words = pa.array(self.spelled, pa.binary()).cast(pa.string())
+        hashes = np.array([xxhash.xxh64_intdigest(x) % SEGMENTS for x in self.spelled], dtype=np.int64)
+        hashes[0] = 0
+        prefix, follows = _numbered(rows[:, :-1]), rows[:, -1]
+        group = prefix * SEGMENTS + hashes[follows]
+        order = np.argsort(group, kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+        first, offsets = order[head], pa.array(np.append(head, len(order)).astype(np.int32))
+        texts = [words.take(pa.array(rows[first, k])) for k in range(length - 1)]
+        return pa.RecordBatch.from_pydict({
+            "n_words": pa.array(np.full(len(head), length, dtype=np.int32)), "lang": pa.array([lang] * len(head), pa.string()),
+            "prefix": pc.binary_join_element_wise(*texts, " ") if texts else pa.array([""] * len(head), pa.string()),
+            "segment": pa.array(hashes[follows[first]].astype(np.int32)),
+            "next": pa.ListArray.from_arrays(offsets, words.take(pa.array(follows[order]))),
+            "count": pa.ListArray.from_arrays(offsets, pa.array(counts[order])),
+        })
+
+
+def _numbered(columns: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal rows; made column by column, so that numbers stay small."""
+    out = np.zeros(len(columns), dtype=np.int64)
+    for column in columns.T:
+        out = np.unique(out << 32 | column, return_inverse=True)[1]
+    return out
+
+
 def _stripes(batches: Iterator[pa.RecordBatch], longest: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stripes of the phrases that pass: words of a phrase, lang, prefix, segment, next words, counts."""
+    made = _Stripes(TASK_ROWS)
     for lang, w, spelled in _by_language(batches):
         prefixes = np.ones(len(w.code), dtype=bool)
         for length, inside, hashed in _phrases(w, spelled, lang, longest):
             frequent = np.zeros(len(w.code), dtype=bool)
             frequent[: len(inside)] = inside & passes(bits, hashed << U(64 - HASH_BITS))
-            made = _stripes_of(w, (spelled % U(SEGMENTS)).astype(np.int64), lang, length, np.flatnonzero(prefixes), frequent)
-            if made is not None:
-                yield made
+            at, goes_on = np.flatnonzero(prefixes), np.flatnonzero(prefixes & frequent)
+            if len(at):
+                totals = np.stack([*(w.code[at + k] + 1 for k in range(length - 1)), np.zeros(len(at), dtype=np.int32)], axis=1)
+                entries = np.stack([w.code[goes_on + k] + 1 for k in range(length)], axis=1)
+                rows = np.concatenate([totals, entries])
+                _, first, count = np.unique(_numbered(rows), return_index=True, return_counts=True)
+                rows = rows[first]
+                number = np.append(0, made.numbers(w.words, rows[rows > 0] - 1)).astype(np.int32)
+                made.add(lang, number[rows], count.astype(np.int64))
             prefixes = frequent
-
-
-def _stripes_of(w: Coded, segments: np.ndarray, lang: str, length: int, at: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch | None:
-    """Stripes of the prefixes that stand ``at`` words, with the next words of those that begin a ``frequent`` phrase."""
-    if not len(at):
-        return None
-    m = length - 1  # words of a prefix
-    prefix = np.zeros(len(at), dtype=np.int64)
-    for k in range(m):  # numbered word by word, so that numbers stay small
-        prefix = np.unique(prefix << 32 | w.code[at + k], return_inverse=True)[1]
-    goes_on = frequent[at]
-    key = np.concatenate([prefix << 32, prefix[goes_on] << 32 | w.code[at[goes_on] + m] + 1])
-    entry, where, count = np.unique(key, return_index=True, return_counts=True)
-    stands = np.concatenate([at, at[goes_on]])[where]
-    follows = (entry & 0xFFFFFFFF) - 1  # -1: the total
-    spelled = w.words.cast(pa.string())
-    segment = np.where(follows < 0, 0, segments[follows])
-    group = (entry >> 32) * SEGMENTS + segment
-    order = np.argsort(group, kind="stable")
-    head = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-    texts = [spelled.take(pa.array(w.code[stands[order[head]] + k])) for k in range(m)]
-    follows = pa.array(follows[order], mask=follows[order] < 0)
-    offsets = pa.array(np.append(head, len(order)).astype(np.int32))
-    return pa.RecordBatch.from_pydict({
-        "n_words": pa.array(np.full(len(head), length, dtype=np.int32)), "lang": pa.array([lang] * len(head), pa.string()),
-        "prefix": pc.binary_join_element_wise(*texts, " ") if m else pa.array([""] * len(head), pa.string()),
-        "segment": pa.array(segment[order[head]].astype(np.int32)),
-        "next": pa.ListArray.from_arrays(offsets, spelled.take(follows).fill_null("")),
-        "count": pa.ListArray.from_arrays(offsets, pa.array(count[order].astype(np.int64))),
-    })
+        yield from made.take()
+    yield from made.take(last=True)
 
 
 def frequent_stripes(docs: DataFrame, longest: int, least: int) -> DataFrame:

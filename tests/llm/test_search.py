@@ -116,9 +116,11 @@ def phrase_rows():
     return rows
 
 
-@pytest.mark.parametrize(("least", "subsumed", "top"), [(5, 80, 2000), (10, 50, 7), (1, 80, 100)])
-def test_phrases_equal_brute_force(spark, monkeypatch, least, subsumed, top):
+@pytest.mark.parametrize(("least", "subsumed", "top", "held"), [(5, 80, 2000, 1_000_000), (10, 50, 7, 300), (1, 80, 100, 5000)])
+def test_phrases_equal_brute_force(spark, monkeypatch, least, subsumed, top, held):
+    """With slices of a few texts, and with stripes that leave a task early."""
     monkeypatch.setattr(collocations, "SLICE", 2000)
+    monkeypatch.setattr(collocations, "TASK_ROWS", held)
     rows = phrase_rows()
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "lang string, text string, phrase string")
     got = collocations.collocations(docs, 4, least, subsumed, top).collect()
