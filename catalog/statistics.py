@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import DIRTY, ORACLES, dirty_orders, load, query, r, rounded, sql_num, sql_text, sql_unpivot
 from cellgrain.functions import labels
 from cellgrain.functions.numbers import half_up, is_valid_percentile, normalize_score
+from cellgrain.functions.text import WHITESPACE
 from cellgrain.operators import correlation, filters, outliers, stats
 from cellgrain.operators.correlation import CorrelationOptions
 from cellgrain.operators.stats import Metric
@@ -198,6 +199,15 @@ def category_top_n(spark, sf):
     return stats.category_top_n(load(spark, sf, "part"), ["p_brand", "p_type", "p_name"], 5)
 
 
+@query("top_lines", f"""
+WITH l AS (SELECT trim(unnest(string_split(text, chr(10))), '{WHITESPACE}') AS value FROM documents WHERE text IS NOT NULL), c AS (SELECT value, count(*) AS n FROM l WHERE value <> '' GROUP BY 1)
+SELECT value, n, cast(row_number() OVER (ORDER BY n DESC, value) AS INT) AS rank FROM c QUALIFY rank <= 10""")
+def top_lines(spark, sf):
+    """The most frequent lines of all documents."""
+    lines = load(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return stats.top_values(lines, "line", 10)
+
+
 @query("category_counts", "SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM events GROUP BY 2")
 def category_counts(spark, sf):
     return stats.category_counts(load(spark, sf, "events"), ["event_type"])

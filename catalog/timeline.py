@@ -102,3 +102,32 @@ def anomaly_summary(spark, sf):
 def business_table(spark, sf):
     whole = {m: F.floor(m).cast("double") for m in ("total_sales", "avg_order_value")}
     return business.business_table(_days(spark, sf).withColumns(whole))
+
+
+def _level(name: str, period: str, source: str) -> str:
+    return f"""SELECT '{name}' AS level, {source} AS source_system, {period} AS period, {r("sum(o_totalprice)", 2)} AS total_sales, count(DISTINCT o_orderkey) AS total_orders,
+ count(DISTINCT o_custkey) AS total_customers, sum(coalesce(quantity, 0.0))::DOUBLE AS total_quantity FROM o GROUP BY ALL"""
+
+
+@query("state_overview", "WITH i AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1), o AS (SELECT * FROM orders LEFT JOIN i ON o_orderkey = l_orderkey) "
+       + " UNION ALL ".join(_level(*x) for x in (
+           ("day", "strftime(o_orderdate, '%Y-%m-%d')", "o_orderstatus"), ("month", "strftime(o_orderdate, '%Y-%m')", "o_orderstatus"), ("all", "'all'", "NULL"))))
+def state_overview(spark, sf):
+    """Days, months and the whole, from a state that was built of three parts of the orders."""
+    c = F.col
+    quantity = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    df = load(spark, sf, "orders").join(quantity, c("o_orderkey") == c("l_orderkey"), "left")
+    state = timeseries.merge_states(*[
+        timeseries.day_state(
+            df.where(c("o_orderkey") % 3 == k), source=c("o_orderstatus"), day=c("o_orderdate"), order_id=c("o_orderkey"), customer=c("o_custkey"),
+            sales=c("o_totalprice"), quantity=F.coalesce(c("quantity"), F.lit(0.0)),
+        ) for k in range(3)
+    ])
+    day, month = F.date_format("dt", "yyyy-MM-dd"), F.date_format("dt", "yyyy-MM")
+    out = None
+    for level, period, by_source in (("day", day, True), ("month", month, True), ("all", F.lit("all"), False)):
+        part = timeseries.overview_of_state(state, period, by_source).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return rounded(out, "total_sales", digits=2).select(
+        "level", "source_system", "period", "total_sales", "total_orders", "total_customers", "total_quantity"
+    )

@@ -78,6 +78,57 @@ def daily_overview(
     return got.withColumn("avg_order_value", F.try_divide("total_sales", "total_orders"))
 
 
+def day_state(
+    df: DataFrame, *, source: Column, day: Column, order_id: Column, customer: Column,
+    sales: Column, quantity: Column,
+) -> DataFrame:
+    """Mergeable state per (source, day): sums, and bitmaps of whole-numbered orders and customers.
+
+    ``(source_system, dt, kind, bucket, bits, sales, quantity)``: a row of sums for each day, and a bitmap of 32 768 numbers for each
+    bucket of orders or customers that the day has.  States of parts of the data are put together by
+    :func:`merge_states` and counted for any period by :func:`overview_of_state`; no row is counted anew.
+    """
+    lines = df.select(
+        source.alias("source_system"), day.cast("date").alias("dt"), order_id.cast("bigint").alias("orders"),
+        customer.cast("bigint").alias("customers"), sales.cast("double").alias("sales"), quantity.cast("double").alias("quantity"),
+    )
+    state = lines.groupBy("source_system", "dt").agg(F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")).select(
+        "source_system", "dt", F.lit("sums").alias("kind"), F.lit(0).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"),
+        "sales", "quantity",
+    )
+    for kind in ("orders", "customers"):
+        bucket = F.bitmap_bucket_number(F.col(kind)).alias("bucket")
+        held = lines.where(F.col(kind).isNotNull()).groupBy("source_system", "dt", bucket)
+        bits = held.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(kind))).alias("bits"))
+        state = state.unionByName(bits.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    return state
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state of several; each row of the data must be in one of them only, or its sales count twice."""
+    every = states[0]
+    for state in states[1:]:
+        every = every.unionByName(state)
+    return every.groupBy("source_system", "dt", "kind", "bucket").agg(
+        F.bitmap_or_agg("bits").alias("bits"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
+    )
+
+
+def overview_of_state(state: DataFrame, period: Column | None = None, by_source: bool = True) -> DataFrame:
+    """The measures of :func:`daily_overview` per period (a column over ``dt``; the day if None), from a state."""
+    keys = ["source_system", "period"] if by_source else ["period"]
+    placed = state.withColumn("period", F.col("dt") if period is None else period)
+    merged = placed.groupBy(*keys, "kind", "bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
+    )
+    got = merged.groupBy(*keys).agg(
+        F.sum("sales").alias("total_sales"),
+        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"total_{kind}") for kind in ("orders", "customers")],
+        F.sum("quantity").alias("total_quantity"),
+    )
+    return got.withColumn("avg_order_value", F.try_divide("total_sales", "total_orders"))
+
+
 def compare_previous_day(
     days: DataFrame, measures: Sequence[str] = DAY_MEASURES, source: str = "source_system",
     dt: str = "dt",
