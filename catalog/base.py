@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, for files that a query writes and reads back."""
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        held = "file://" + tempfile.mkdtemp(prefix="cellgrain-files-")
+    return f"{held.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import (
-    DIRTY, dirty_orders, load, query, r, rounded, sql_date_ms, sql_empty, sql_num, sql_status,
+    DIRTY, dirty_orders, load, query, r, rounded, scratch, sql_date_ms, sql_empty, sql_num, sql_status,
 )
 from cellgrain.functions import dates, numbers, text
 from cellgrain.operators import cells, filters, rows
@@ -174,6 +174,47 @@ def data_volume(spark, sf):
 
 
 # ---- filters --------------------------------------------------------------------
+# ---- files ---------------------------------------------------------------------------
+_WHOLE_CELL = f"trim(coalesce({{}}, ''), '{text.WHITESPACE}')"
+_FILE_SQL = "SELECT cast(doc_id AS varchar) AS doc_id, {cells}, sha256({text}) AS text_sha256, cast(length({text}) AS INT) AS text_length FROM documents"
+_FILE_CELLS = ", ".join(f"{_WHOLE_CELL.format(c)} AS {c}" for c in ("lang", "source"))
+
+
+def _file_result(rows):
+    return rows.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("text_length"))
+
+
+@query("csv_file_cells", _FILE_SQL.format(cells=_FILE_CELLS, text=_WHOLE_CELL.format("text")))
+def csv_file_cells(spark, sf):
+    """All documents written as CSV files, line breaks inside quotes, and read back cell by cell."""
+    path = scratch(spark, "csv")
+    docs = load(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs.repartition(8, "doc_id").write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="", nullValue="")
+    return _file_result(delimited.read_csv(spark, path, multi_line=True).rows)
+
+
+_FLAT = "regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g')"
+
+
+@query("csv_split_file_cells", _FILE_SQL.format(cells=_FILE_CELLS, text=_WHOLE_CELL.format(_FLAT)))
+def csv_split_file_cells(spark, sf):
+    """Documents without line breaks, in files that several tasks may read."""
+    path = scratch(spark, "csv")
+    docs = load(spark, sf, "documents").select("doc_id", "lang", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("text"))
+    docs.write.csv(path, header=True, escape='"', quoteAll=True, emptyValue="", nullValue="")
+    return _file_result(delimited.read_csv(spark, path, multi_line=False).rows)
+
+
+@query("tab_file_cells", _FILE_SQL.format(cells=_FILE_CELLS, text=_WHOLE_CELL.format(_FLAT)))
+def tab_file_cells(spark, sf):
+    """All documents as lines of tab-separated cells, each file with a header line."""
+    path = scratch(spark, "tab")
+    docs = load(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ").alias("text"))
+    docs.write.csv(path, header=True, sep="\t", quote="", escape="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _file_result(delimited.read_lines(spark, path, delimiter="tab").rows)
+
+
 @query("filter_numeric_ops", """
 SELECT l_returnflag, count(*) AS rows, min(l_quantity) AS min_qty, max(l_extendedprice) AS max_price FROM lineitem
 WHERE l_quantity > 10 AND l_quantity <= 45 AND l_extendedprice >= 1000 AND l_discount < 0.09 AND l_tax IS NOT NULL

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import load, query, r, rounded, sql_unpivot
+from catalog.base import load, query, r, rounded, scratch, sql_unpivot
 from cellgrain.functions.numbers import half_up
 from cellgrain.operators import distribution, ordering, sampling
 from cellgrain.operators.sampling import SizeGate
 from cellgrain.plans import explain
+from cellgrain.sources import pages
 
 _HIST = """m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, (max(o_totalprice) - min(o_totalprice)) / 12.0 AS w FROM orders),
 b AS (SELECT least(cast(floor((o_totalprice - lo) / w) AS INT), 11) AS bin, count(*) AS c FROM orders, m GROUP BY 1),
@@ -169,6 +170,26 @@ def record_page(spark, sf):
     return got.select("event_id", "value")
 
 
+_LINE_ORDER = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+
+
+@query("page_of_directory", f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY {", ".join(_LINE_ORDER)}) - 1 AS _row_id FROM lineitem), c AS (SELECT count(*) // 40 AS p FROM lineitem)
+SELECT _row_id, {", ".join(_LINE_ORDER)} FROM n, c WHERE _row_id BETWEEN 20 * p AND 20 * p + 19""")
+def page_of_directory(spark, sf):
+    """The middle page of all line items, read from the one range that holds it."""
+    path = scratch(spark, "pages")
+    pages.write_pages(load(spark, sf, "lineitem"), _LINE_ORDER, path)
+    return pages.read_page(spark, path, pages.row_count(spark, path) // 40).select("_row_id", *_LINE_ORDER)
+
+
+@query("sample_of_directory", f"""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS _row_id FROM orders), {_SAMPLE.format(s=333)}
+SELECT _row_id, o_orderkey, o_totalprice FROM n JOIN t USING (_row_id)""")
+def sample_of_directory(spark, sf):
+    path = scratch(spark, "pages")
+    pages.write_pages(load(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], path)
+    return pages.read_sample(spark, path, 333).select("_row_id", "o_orderkey", "o_totalprice")
+
+
 # ---- verdicts --------------------------------------------------------------------------
 INPUTS = {"l_quantity": 40.0, "l_extendedprice": 20000.0, "l_discount": 0.05, "l_tax": 0.02}
 _U = f"u AS ({sql_unpivot('lineitem', list(INPUTS))})"

@@ -67,27 +67,30 @@ def lookup_combo(
     return df.where(reduce(and_, tests)) if tests else df
 
 
-def _keys(cell: Column, semantic: str, asked: bool) -> Column:
+def _keys(cell: Column, semantic: str, asked: bool, digitless: bool) -> Column:
     """What a cell or query may be found under: its compact form and, by the rule of :func:`matches`, its digits."""
     compact = F.concat(F.lit("c"), text.compact(cell))
     if semantic not in ("time", "identifier"):
         return F.array(compact)
     digits = text.digits_only(cell)
-    ruled = F.lit(True) if semantic == "time" or not asked else F.length(digits) >= 6
+    least = 6 if asked and semantic != "time" else 0 if digitless else 1
+    ruled = F.length(digits) >= least
     return F.filter(F.array(compact, F.when(ruled, F.concat(F.lit("d"), digits))), lambda k: k.isNotNull())
 
 
 def lookup_many(
-    df: DataFrame, field: str, queries: DataFrame, query: str = "query", semantic: str = "other"
+    df: DataFrame, field: str, queries: DataFrame, query: str = "query", semantic: str = "other", digitless: bool = False
 ) -> DataFrame:
     """Many queries at once, each as :func:`lookup` answers it: an equality join on the keys of both sides.
 
     A pair that shares both keys comes once.  Spark splits the partitions of a frequent key where the join is skewed.
+    :func:`lookup` lets a time without digits match every cell without digits.  Here that would pair all such queries with all
+    such cells, so it is done only if ``digitless`` asks for it; their compact forms still match.
     """
     cell = text.trimmed(text_of(df, field))
-    keyed = df.withColumn("_compact", text.compact(cell)).withColumn("_key", F.explode(_keys(cell, semantic, False))).where(cell != "")
+    keyed = df.withColumn("_compact", text.compact(cell)).withColumn("_key", F.explode(_keys(cell, semantic, False, digitless))).where(cell != "")
     asked = queries.where(F.coalesce(F.col(query), F.lit("")) != "").withColumn("_asked", text.compact(F.col(query)))
-    asked = asked.withColumn("_key", F.explode(_keys(F.col(query), semantic, True)))
+    asked = asked.withColumn("_key", F.explode(_keys(F.col(query), semantic, True, digitless)))
     once = F.startswith("_key", F.lit("c")) | (F.col("_compact") != F.col("_asked"))
     return asked.join(keyed, "_key").where(once).drop("_key", "_compact", "_asked")
 
