@@ -28,6 +28,7 @@ from cellgrain.llm.common import load, only, query
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 END = "</turn>"
 _ESCAPES = (("\\", "\\\\"), ("### ", "###\\ "), (END, "<\\/turn>"), ("<|", "<\\|"))
+_PLACEHOLDER = r"<\|(image|audio|document|file)\|>"
 #: Side of an image patch, tokens per second of audio, tokens per page of a document.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 256
 
@@ -170,8 +171,13 @@ def format_chats(turns: DataFrame, text_tokens=pieces_of) -> DataFrame:
     )
 
 
-def parse_chat(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation, unescaped; placeholders stay in the text."""
+def parse_chat(formatted: Column, with_placeholders: bool = True) -> Column:
+    """The turns (role, text) of a formatted conversation, unescaped; placeholders stay in the text or go.
+
+    Texts hold no placeholder of their own: one would have been escaped.
+    """
+    if not with_placeholders:
+        formatted = F.regexp_replace(formatted, _PLACEHOLDER, "")
     chunks = F.filter(F.split(formatted, END + "\n", -1), lambda c: c != "")
     head = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"
     return F.transform(chunks, lambda c: F.struct(
@@ -181,7 +187,7 @@ def parse_chat(formatted: Column) -> Column:
 
 def placeholders(formatted: Column) -> Column:
     """Types of the attachments in order of their placeholders."""
-    return F.regexp_extract_all(formatted, F.lit(r"<\|(image|audio|document|file)\|>"), F.lit(1))
+    return F.regexp_extract_all(formatted, F.lit(_PLACEHOLDER), F.lit(1))
 
 
 @F.pandas_udf(T.StringType())
@@ -190,6 +196,22 @@ def masked_text(formatted: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(["".join(text[s["start"]:s["end"]] for s in held) for text, held in zip(formatted, spans, strict=True)])
 
 
+def with_attachments(parts: Column, role: Column, text: Column) -> Column:
+    """``parts``, and for most user turns one attachment after them whose kind and size follow from the text's length.
+
+    The conversations at hand are plain text; this gives them parts of every type.
+    """
+    n = F.length(F.coalesce(text, F.lit("")))
+    sizes = {"image": (n, 2 * n, None, None), "audio": (None, None, n / 10.0, None), "document": (None, None, None, n % 7 + 1)}
+    added = F.array().cast(f"array<{PART}>")
+    for rest, (kind, (width, height, seconds, pages)) in enumerate(sizes.items(), 1):
+        cells = {"type": F.lit(kind), "text": None, "uri": F.concat(F.lit("turn:"), F.md5(text.cast("binary"))), "width": width, "height": height, "seconds": seconds, "pages": pages}
+        types = dict(f.split(":") for f in PART.removeprefix("struct<").removesuffix(">").split(","))
+        part = F.struct(*((F.lit(None) if c is None else c).cast(types[name]).alias(name) for name, c in cells.items()))
+        added = F.when((role == "user") & (n % 4 == rest), F.array(part)).otherwise(added)
+    return F.concat(parts, added)
+
+
 _OWN_TEXT = r"\### Assistant: </turn> ok"
 _sql_text = "coalesce(text, '')"
 
@@ -204,15 +226,21 @@ SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, {_sql_text} AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{_OWN_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{_OWN_TEXT}'
+), k AS (
+  SELECT *, CASE WHEN role = 'user' THEN CASE length(text) % 4 WHEN 1 THEN 'image' WHEN 2 THEN 'audio' WHEN 3 THEN 'document' END END AS kind FROM c
+), c2 AS (
+  SELECT *, CASE kind WHEN 'image' THEN ceil(length(text) / 14) * ceil(2 * length(text) / 14) WHEN 'audio' THEN ceil(length(text)::DOUBLE / 10 * 25)
+    WHEN 'document' THEN (length(text) % 7 + 1) * 256 ELSE 0 END AS tokens FROM k
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  cast(sum(length('### ' || replace({_sql_escape('role')}, ':', '\\:') || ': ' || {_sql_escape('text')} || '{END}' || chr(10))) AS bigint) AS formatted_chars,
-  cast(sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+|\\p{{N}}|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}]'))) AS bigint) AS n_tokens,
-  cast(0 AS bigint) AS n_attachments
-FROM c GROUP BY conv_id
+  cast(sum(length('### ' || replace({_sql_escape('role')}, ':', '\\:') || ': ' || {_sql_escape('text')} || '{END}' || chr(10)) + coalesce(length('<|' || kind || '|>'), 0)) AS bigint) AS formatted_chars,
+  cast(sum(len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+|\\p{{N}}|[^\\s\\p{{L}}\\p{{M}}\\p{{N}}]')) + tokens) AS bigint) AS n_tokens,
+  count(kind) AS n_attachments, cast(sum(tokens) AS bigint) AS attachment_tokens,
+  sha256(coalesce(string_agg('turn:' || md5(text), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE kind IS NOT NULL), '')) AS uris_sha256
+FROM c2 GROUP BY conv_id
 """
 
 
@@ -220,9 +248,10 @@ FROM c GROUP BY conv_id
 def op4_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = only(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", _OWN_TEXT), (-7, 1, "assistant", _OWN_TEXT)], "conv_id long, turn long, role string, text string")
-    chats = format_chats(rows.unionByName(own).withColumn("parts", text_parts(F.col("text"))))
+    turns = rows.unionByName(own)
+    chats = format_chats(turns.withColumn("parts", with_attachments(text_parts(F.col("text")), F.col("role"), F.col("text"))))
     read = chats.select(
-        "conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"),
+        "conv_id", "formatted", "attachments", parse_chat(F.col("formatted"), with_placeholders=False).alias("turns"),
         unescape(masked_text("formatted", "loss_spans")).alias("loss"), "n_tokens", F.size("attachments").cast("long").alias("n_attachments"),
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -230,4 +259,6 @@ def op4_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "n_tokens", "n_attachments",
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("attachment_tokens"),
+        F.sha2(F.array_join(F.transform("attachments", lambda x: x["uri"]), ","), 256).alias("uris_sha256"),
     )
