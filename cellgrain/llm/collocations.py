@@ -51,10 +51,10 @@ PARTS = 8
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Coded, np.ndarray]]:
+def _by_language(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[str, Coded, np.ndarray]]:
     """Language, words, and hashes of the words by code."""
     for batch in batches:
-        for part in wordhash.slices(batch, "text", SLICE):
+        for part in wordhash.slices(batch, "text", slice_bytes):
             langs = part.column("lang").dictionary_encode()
             for number, lang in enumerate(langs.dictionary.to_pylist()):
                 w = coded(part.column("text").filter(pa.array(np.asarray(langs.indices) == number)), _WORD)
@@ -83,9 +83,9 @@ def _unplaned(held: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Per slice and part of the hash range a run of phrase hashes in order (as differences) with their counts."""
-    for lang, w, spelled in _by_language(batches):
+    for lang, w, spelled in _by_language(batches, slice_bytes):
         found = np.concatenate([hashed[held] for _, held, hashed in _phrases(w, spelled, lang, longest)])
         keys, counts = np.unique(found, return_counts=True)
         part = (keys >> U(HASH_BITS - 24)) * U(parts) >> U(24)
@@ -113,7 +113,7 @@ def _summed(table: pa.Table, least: int) -> pa.Table:
 def candidates(texts: DataFrame, longest: int, least: int) -> np.ndarray:
     """Bitmap over hashes of phrases (lang, text); every phrase that occurs ``least`` times passes."""
     parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(lambda x: _runs(x, longest, parts), "part int, n int, keys binary, counts binary")
+    runs = texts.mapInArrow(lambda x: _runs(x, longest, parts, SLICE), "part int, n int, keys binary, counts binary")
     found = settle(runs.groupBy("part").applyInArrow(lambda t: _summed(t, least), "h long"), "frequent-hashes")
     bits = bitmap(found)
     release(found)
@@ -192,10 +192,10 @@ def _numbered(columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stripes(batches: Iterator[pa.RecordBatch], longest: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _stripes(batches: Iterator[pa.RecordBatch], longest: int, bits: np.ndarray, slice_bytes: int, task_rows: int) -> Iterator[pa.RecordBatch]:
     """Stripes of the phrases that pass: words of a phrase, lang, prefix, segment, next words, counts."""
-    made = _Stripes(TASK_ROWS)
-    for lang, w, spelled in _by_language(batches):
+    made = _Stripes(task_rows)
+    for lang, w, spelled in _by_language(batches, slice_bytes):
         prefixes = np.ones(len(w.code), dtype=bool)
         for length, inside, hashed in _phrases(w, spelled, lang, longest):
             frequent = np.zeros(len(w.code), dtype=bool)
@@ -219,7 +219,7 @@ def frequent_stripes(docs: DataFrame, longest: int, least: int) -> DataFrame:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bits = texts.sparkSession.sparkContext.broadcast(candidates(texts, longest, least))
     stripes = texts.mapInArrow(
-        lambda x: _stripes(x, longest, bits.value),
+        lambda x: _stripes(x, longest, bits.value, SLICE, TASK_ROWS),
         "n_words int, lang string, prefix string, segment int, next array<string>, count array<long>",
     )
     keys = ["n_words", "lang", "prefix", "segment"]

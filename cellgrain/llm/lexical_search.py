@@ -96,12 +96,15 @@ class _Best:
 _NULL = -(2**63)
 
 
-def _ranked(batches: Iterator[pa.RecordBatch], items: list[np.ndarray], weight: np.ndarray, corpus: int, length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """item, doc_id and score of the k best documents of this task for each item."""
+def _ranked(
+    batches: Iterator[pa.RecordBatch], items: list[np.ndarray], weight: np.ndarray, corpus: int, length: int, k: int, shape: tuple[int, int, int]
+) -> Iterator[pa.RecordBatch]:
+    """item, doc_id and score of the k best documents of this task for each item; ``shape`` is TILE_ITEMS, TILE_CELLS and EXACT."""
+    tile_items, tile_cells, exact = shape
     best = [_Best(k) for _ in items]
     tiles = []
-    for lo in range(0, len(items), TILE_ITEMS):
-        held = items[lo : lo + TILE_ITEMS]
+    for lo in range(0, len(items), tile_items):
+        held = items[lo : lo + tile_items]
         terms = np.unique(np.concatenate(held))
         table = np.zeros((len(terms), len(held)))
         for j, own in enumerate(held):
@@ -110,7 +113,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], items: list[np.ndarray], weight:
         column[terms] = np.arange(len(terms))
         tiles.append((lo, column, table))
     # no impact reaches 10**6
-    strip = max(1, int(EXACT // (10**6 * max(1, int(weight.max(initial=0)))) - 1))
+    strip = max(1, int(exact // (10**6 * max(1, int(weight.max(initial=0)))) - 1))
     for batch in batches:
         ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(_NULL))
         n = np.asarray(batch.column("n"))
@@ -126,7 +129,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], items: list[np.ndarray], weight:
             if not len(own):
                 continue
             rows, local = np.unique(row[own], return_inverse=True)
-            height = max(1, TILE_CELLS // table.shape[0])
+            height = max(1, tile_cells // table.shape[0])
             for top in range(0, len(rows), height):
                 a, b = np.searchsorted(local, [top, top + height])  # rows come in order
                 size = min(height, len(rows) - top)
@@ -161,7 +164,7 @@ def _block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
     weight = np.array([math.floor(1000 * math.log((2 * corpus + 2) / (2 * x + 1))) if x else 0 for x in df.tolist()], dtype=np.int64)
     held = spark.sparkContext.broadcast(([np.array([number[t] for t in own], dtype=np.int64) for _, _, own in items], weight))
     found = counts.where(F.size("terms") > 0).mapInArrow(
-        lambda batches: _ranked(batches, *held.value, corpus, length, k), "item int, doc_id long, score long"
+        lambda batches: _ranked(batches, *held.value, corpus, length, k, (TILE_ITEMS, TILE_CELLS, EXACT)), "item int, doc_id long, score long"
     )
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

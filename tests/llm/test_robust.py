@@ -100,3 +100,30 @@ def test_settled_tables_are_released(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_contamination_by_shuffle_equals_that_by_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(j, prose(rng, n)) for j, n in enumerate([5, 9, 30, 60])]
+    texts = [(j, prose(rng, 300) + " " + t + " " + prose(rng, 50)) for j, t in items] + [(9, None), (10, "")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r._id, r.item_id, r.n_shared) for r in decontamination.contamination(docs, bench).collect())
+    near = found()
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    assert found() == near and len(near) == 4
+
+
+def test_long_texts_of_open_buckets_are_verified_apart(spark):
+    """Blocks carry no text over LONG_TEXT shingles; such pairs come back unsure and are verified on the texts."""
+    rng = random.Random(3)
+    n = near_dedup.LONG_TEXT + 500
+    base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    table = {"bucket": [9, 9], "i": [0, 0], "j": [0, 0], "side": [2, 2], "node": [1, 2], "component": [1, 2], "size": [float(n - 4)] * 2,
+             "bytes": [bytes(240)] * 2, "bands": [[9], [9]], "text": [None, None]}
+    import pyarrow as pa
+
+    found = near_dedup._links_of_blocks(pa.table({k: pa.array(v, pa.string()) if k == "text" else v for k, v in table.items()}), 0.8)
+    assert found.to_pylist() == [{"a": 1, "b": 2, "sure": False}]
+    texts = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[: n - 50], *map(str, range(50))])), (3, " ".join(base[: n // 2]))], "node long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in near_dedup.verified(pairs, texts, 0.8).collect()] == [(1, 2)]
