@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from cellgrain.operators.stats import Metric
 from cellgrain.plans import profile, rules
-from cellgrain.plans.rules import NameRule, first_word, header_key
+from cellgrain.plans.rules import FieldRule, NameRule, first_word, header_key
 
 SCHEMA_COLUMNS = (
     "ordinal", "field", "data_type", "role", "direction", "ignored", "source", "confidence", "reasons",
@@ -30,79 +30,22 @@ def _answer(
     )
 
 
-def _by_name(header: Column, words: Sequence[str], data_type: str, role: str, word_boundary: bool = False) -> Column:
-    hit = first_word(header, words)
-    if word_boundary:
-        # Latin words must stand alone between separators; other scripts stay substrings.
-        latin = [w for w in words if w.isascii()]
-        alone = header.rlike("(^|[^a-z0-9])(" + "|".join(latin) + ")($|[^a-z0-9])") if latin else F.lit(False)
-        other = first_word(header, [w for w in words if not w.isascii()])
-        hit = F.when(alone | other.isNotNull(), hit)
-    why = F.concat(F.lit('字段名包含"'), hit, F.lit('"'))
-    return F.when(hit.isNotNull(), _answer(data_type, role, "neutral", "name_rule", "high", why))
-
-
-def _percent(c: Column) -> Column:
-    return F.format_string("%.0f%%", c * 100.0)
-
-
-def infer_schema(counts: DataFrame, word_boundary: bool = False) -> DataFrame:
-    """Generic inference from header words first, column structure second.
+def infer_schema(
+    counts: DataFrame, word_boundary: bool = False, table: Sequence[FieldRule] = rules.GENERIC_RULES
+) -> DataFrame:
+    """Generic inference by a rule table: typed columns first, then header words, then column structure.
 
     Directions stay 'unspecified' for metrics.  ``word_boundary`` asks Latin
-    identifier words to stand alone (``paid`` is then not an id).  The counts, one row per
-    column, are brought to the driver first: the rules are long and run on those rows alone.
+    identifier words to stand alone (``paid`` is then not an id).  A rule more is a line more in ``table``.  The counts, one row per
+    column, are brought to the driver first: the rules run on those rows alone.
     """
     shape = profile.structure_features(profile.kept_small(counts))
-    h = header_key(F.col("field"))
-    numeric, unique = F.col("numeric_ratio"), F.col("unique_ratio")
-    time_name = first_word(h, rules.TIME_WORDS).isNotNull() | h.rlike(rules.RE_TIME_HEADER)
-    name_rule = F.coalesce(
-        _by_name(h, rules.IDENTIFIER_WORDS, "identifier", "identifier", word_boundary),
-        F.when(time_name, _answer("datetime", "time", "neutral", "name_rule", "high", "字段名符合时间特征")),
-        _by_name(h, rules.CATEGORY_WORDS, "category", "dimension"),
-        _by_name(h, rules.DESCRIPTION_WORDS, "text", "description"),
-        _by_name(h, rules.BOOLEAN_WORDS, "boolean", "dimension"),
-    )
-    high = F.concat(F.lit("数值比例高("), _percent(numeric), F.lit(")"))
-    middle = F.concat(F.lit("数值比例中等("), _percent(numeric), F.lit(")"))
-    src = "structure"
-    structure = (
-        F.when(
-            (numeric > 0.8) & (unique > 0.9) & (F.col("long_digit_ratio") > 0.5),
-            _answer("identifier", "identifier", "neutral", src, "high", high, "唯一率高且多为长数字串"),
-        )
-        .when(
-            (numeric > 0.8) & (F.col("integer_ratio") > 0.9)
-            & (F.col("small_integer_ratio") > 0.7) & (unique > 0.5),
-            _answer("number", "metric", "unspecified", src, "medium", high,
-                    "内容为连续小整数（可能是序号/优先级/编号，非业务结论）"),
-        )
-        .when(numeric > 0.8, _answer("number", "metric", "unspecified", src, "high", high, "大部分为数值"))
-        .when(
-            (numeric > 0.5) & (unique < 0.2),
-            _answer("category", "dimension", "neutral", src, "medium", middle, "唯一率低，可能是类别"),
-        )
-        .when(numeric > 0.5, _answer("number", "metric", "unspecified", src, "medium", middle))
-        .when(
-            (numeric < 0.3) & (unique > 0.8) & (F.col("avg_length") > 10),
-            _answer("text", "description", "neutral", src, "medium", "唯一率高且平均字符串长度长"),
-        )
-        .when(
-            (numeric < 0.3) & (unique < 0.3),
-            _answer("category", "dimension", "neutral", src, "medium", "唯一率低"),
-        )
-        .when(numeric < 0.3, _answer("text", "description", "neutral", src, "low", "大部分为文本"))
-        .otherwise(
-            _answer("unknown", "unspecified", "unspecified", src, "unknown", "无法通过内容特征确定类型")
-        )
-    )
-    typed = (
-        F.when(F.col("kind") == "time", _answer("datetime", "time", "neutral", src, "high", "typed column"))
-        .when(F.col("kind") == "flag", _answer("boolean", "dimension", "neutral", src, "high", "typed column"))
+    bounded = (rules.IDENTIFIER_NAMES,) if word_boundary else ()
+    said = rules.decided(table, ("data_type", "role", "direction", "source", "confidence"), header_key(F.col("field")), bounded)
+    answered = rules.once(shape, _s=said)
+    return answered.select(
+        "ordinal", "field", "_s.data_type", "_s.role", "_s.direction", F.lit(False).alias("ignored"), "_s.source", "_s.confidence", "_s.reasons"
     )
-    answered = rules.once(shape, _s=F.coalesce(typed, name_rule, structure))
-    return answered.select("ordinal", "field", "_s.*")
 
 
 def template_answer(template: Sequence[NameRule] = rules.EDUCATION_TEMPLATE, name: str = "教育模板") -> Column:

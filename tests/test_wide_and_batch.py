@@ -186,3 +186,19 @@ def test_locator_report_shows_samples_ability_and_scanned_columns(spark):
     assert (got["学号"].ability, got["班级"].ability) == ("named_unique", "named_group")
     assert {r.scanned_fields for r in got.values()} == {2} and got["学号"].matched_count == 1
     assert locator.locator_report(df, " ", ["学号"]).first().matched_count == 0
+
+
+def test_a_new_rule_is_a_line_in_the_table(spark):
+    from cellgrain.plans import legacy, rules, schema
+    from cellgrain.plans.rules import FieldRule
+
+    counts = profile.column_counts(spark.createDataFrame([(f"x{i}", float(i)) for i in range(20)], "zone string, depth double"))
+    plain = {r.field: r for r in schema.infer_schema(counts).collect()}
+    assert plain["zone"].role == "description" and plain["depth"].role == "metric"
+    more = (*rules.GENERIC_RULES, FieldRule(5, ("category", "dimension", "neutral", "name_rule", "high"), ('zone: "{word}" {unique_ratio}',), words=("zone",)),
+            FieldRule(6, ("number", "metric", "higher_is_better", "structure", "low"), ("many numbers",), bounds=(("numeric_ratio", ">", 0.9),)))
+    got = {r.field: r for r in schema.infer_schema(counts, table=more).collect()}
+    assert (got["zone"].role, got["zone"].reasons) == ("dimension", ['zone: "zone" 100%'])
+    assert (got["depth"].direction, got["depth"].confidence, got["depth"].reasons) == ("higher_is_better", "low", ["many numbers"])
+    old = {r.field: (r.type, r.reason) for r in legacy.classify_fields(counts, (*rules.LEGACY_RULES, FieldRule(0, ("score", 0.9), ("{field} is a score",), words=("depth",)))).collect()}
+    assert old["depth"][0] == "score" and old["depth"][1].startswith("depth is a score") and old["zone"][0] == "text"
