@@ -1,19 +1,21 @@
 """Phrase collocation mining by stripes: each prefix keys an associative counter of the words that follow it.
 
-A scan of the texts turns each task's share of them into stripes: a prefix of 0 to ``longest - 1`` words and its next words with
-their counts. Stripes are dealt by language, prefix and a segment of the next word's hash, so that the stripe of a frequent
-prefix, above all the empty one, is spread over tasks, and merged elementwise: counts of equal next words add up.
-In a merged stripe
+Stripes are packed. The key of an entry is 64 bits: 24 of its prefix, then 40 of the whole phrase, so that in the order of
+keys the entries of a prefix stand together as its stripe. A scan of the texts makes a run of stripes, with counts, of every
+slice (about 6 bytes a distinct phrase), for all phrase lengths at once; the empty phrase counts all words. Runs are
+dealt by ranges of keys, so that the stripe of a frequent prefix, above all the empty one, is spread over tasks, and merged
+elementwise: counts of equal keys add up. Entries under ``least`` go.
 
-* an entry is the count of an extension, that is of a phrase one word longer;
-* the entry of the empty word is the prefix's own total, whatever followed it or nothing;
-* the largest entry tells whether an extension to the right subsumes the prefix. The same entries keyed by the phrase
-  without its first word give the extensions to the left. Longer phrases need no look: one word more occurs at least as often.
+In the merged stripes an entry is the count of an extension, that is of a phrase one word longer than its prefix, and the prefix's
+total is its own entry one length before. The largest entry of a stripe tells whether an extension to the right subsumes the
+prefix; the same entries keyed by the phrase without its first word give the extensions to the left. Longer phrases need no
+look: one word more occurs at least as often.
 
-Nearly all phrases of a text are rare, and their entries would only be moved to be dropped. So a first scan counts 48-bit
-hashes of all phrases in sorted, packed runs (about 4 bytes a distinct phrase of a slice), and a bitmap of those that may
-reach ``least`` goes to the tasks of the second, which makes stripes of such phrases alone. The bitmap lets all
-frequent phrases through and some others; those fall to the merged counts, which are over the words themselves.
+What is left has no words yet. A second scan spells it: bitmaps by count tell tasks which keys are wanted and how frequent they
+are, and a slice spells a key the more rarely the more frequent it is, so that each is spelled a few times at whatever size of the data. The few
+that no slice has spelled are spelled by a third scan wherever they occur; it is left out if there are none.
+
+Phrases are told apart by their 64 bits: of D distinct phrases one that is frequent shares its key with another with a chance of D / 2**64.
 
 Defined results: texts are lower-cased in A-Z, split at ``.,;:!?`` and line ends into pieces, those at blanks and tabs into
 words; phrases do not cross pieces. A null text is empty; a null language is ``und``. A row is a document: repeated rows
@@ -23,7 +25,9 @@ Scores are floor(2000000 a / (l + r)), in decimals of 38 digits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +46,10 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = byte_class((0, 255)) & ~_BREAK
 _WORD[[0x20, 0x09]] = False
-#: Bytes of text that are worked on together, parts that a stripe is dealt in, bits of a phrase's hash in the first scan.
-SLICE, SEGMENTS, HASH_BITS = 4 << 20, 4, 48
-#: Rows of stripes that a task holds before it adds them up.
-TASK_ROWS = 1_000_000
-#: Parts of the hash range for each shuffle partition. A part is summed in one task.
-PARTS = 8
+#: Bytes of text that are worked on together, and parts of the range of keys for each shuffle partition; a part is summed in one task.
+SLICE, PARTS = 4 << 20, 8
+#: Bits of a key that its prefix gives; how often a phrase is spelled on average; classes of counts, each four times the one before.
+PREFIX_BITS, SPELLED, CLASSES = 24, 16, 10
 _GOLDEN = U(0x9E3779B97F4A7C15)
 
 
@@ -63,14 +65,18 @@ def _by_language(batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterato
 
 
 def _phrases(w: Coded, spelled: np.ndarray, lang: str, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length: which words begin a phrase of that length, and its hash of HASH_BITS bits."""
+    """For each length from 0: the words that begin a phrase of that length, and the phrase's key."""
     piece = np.searchsorted(np.flatnonzero(_BREAK[w.data]), w.start) + w.row  # grows with each piece and text
     of = spelled[w.code]
     hashed = np.full(len(of), xxhash.xxh64_intdigest(lang.encode()), dtype=np.uint64)
+    low = U(2 ** (64 - PREFIX_BITS) - 1)
+    yield 0, np.arange(len(of)), mix(hashed)
     for length in range(1, min(longest, len(of)) + 1):
         n = len(of) - length + 1
-        hashed = mix(hashed[:n] * _GOLDEN + of[length - 1 :])
-        yield length, piece[:n] == piece[length - 1 :], hashed >> U(64 - HASH_BITS)
+        prefix = hashed[:n]
+        hashed = mix(prefix * _GOLDEN + of[length - 1 :])
+        at = np.flatnonzero(piece[:n] == piece[length - 1 :])
+        yield length, at, (prefix[at] & ~low) | (hashed[at] & low)
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -84,11 +90,10 @@ def _unplaned(held: bytes, n: int) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Per slice and part of the hash range a run of phrase hashes in order (as differences) with their counts."""
+    """Per slice and part of the range of keys a run of stripes: keys in order (as differences) with their counts."""
     for lang, w, spelled in _by_language(batches, slice_bytes):
-        found = np.concatenate([hashed[held] for _, held, hashed in _phrases(w, spelled, lang, longest)])
-        keys, counts = np.unique(found, return_counts=True)
-        part = (keys >> U(HASH_BITS - 24)) * U(parts) >> U(24)
+        keys, counts = np.unique(np.concatenate([key for _, _, key in _phrases(w, spelled, lang, longest)]), return_counts=True)
+        part = (keys >> U(40)) * U(parts) >> U(24)
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(keys)).tolist()
         begins = [0, *ends[:-1]]
         yield pa.RecordBatch.from_pydict({
@@ -98,135 +103,76 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int, slice_byt
         })
 
 
-def _summed(table: pa.Table, least: int) -> pa.Table:
-    """Hashes of one part with a sum of ``least`` at least, shifted to the top of 64 bits."""
+def _merged(table: pa.Table, least: int) -> pa.Table:
+    """Entries of the stripes of one part, added up, of at least ``least``."""
     sizes = table["n"].to_pylist()
     keys = np.concatenate([np.cumsum(_unplaned(x, n)) for x, n in zip(table["keys"].to_pylist(), sizes, strict=True)])
     counts = np.concatenate([_unplaned(x, n) for x, n in zip(table["counts"].to_pylist(), sizes, strict=True)])
     order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    held = np.add.reduceat(counts[order], first) >= least
-    return pa.table({"h": wordhash.signed(keys[first[held]] << U(64 - HASH_BITS))})
-
-
-def candidates(texts: DataFrame, longest: int, least: int) -> np.ndarray:
-    """Bitmap over hashes of phrases (lang, text); every phrase that occurs ``least`` times passes."""
-    parts = PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.mapInArrow(lambda x: _runs(x, longest, parts, SLICE), "part int, n int, keys binary, counts binary")
-    found = settle(runs.groupBy("part").applyInArrow(lambda t: _summed(t, least), "h long"), "frequent-hashes")
-    bits = bitmap(found)
-    release(found)
-    return bits
-
-
-class _Stripes:
-    """Stripes of one task by language and length of their phrases, as rows of word numbers with counts.
-
-    The last word of a row is the entry, 0 for the prefix's total. Equal rows are added up whenever ``limit`` rows are held; what
-    is still more than half of that goes out, so memory is bounded and most rows of a task are merged before they leave.
-    """
-
-    def __init__(self, limit: int):
-        self.limit, self.place, self.spelled = limit, {}, [b""]
-        self.rows: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-
-    def numbers(self, words: pa.Array, codes: np.ndarray) -> np.ndarray:
-        """Number in this task of each word code; 0 for codes that are not asked for."""
-        out, asked = np.zeros(len(words), dtype=np.int32), np.unique(codes)
-        for code, word in zip(asked.tolist(), words.take(pa.array(asked)).to_pylist(), strict=True):
-            at = self.place.get(word)
-            if at is None:
-                at = self.place[word] = len(self.spelled)
-                self.spelled.append(word)
-            out[code] = at
-        return out
-
-    def add(self, lang: str, rows: np.ndarray, counts: np.ndarray) -> None:
-        self.rows.setdefault((lang, rows.shape[1]), []).append((rows, counts))
-
-    def held(self) -> int:
-        return sum(len(c) for parts in self.rows.values() for _, c in parts)
-
-    def merge(self) -> None:
-        for key, parts in self.rows.items():
-            if len(parts) > 1:
-                rows, counts = np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
-                _, first, of = np.unique(_numbered(rows), return_index=True, return_inverse=True)
-                self.rows[key] = [(rows[first], np.bincount(of, weights=counts).astype(np.int64))]
-
-    def take(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if not last and self.held() < self.limit:
-            return
-        self.merge()
-        if last or self.held() > self.limit // 2:
-            for (lang, length), parts in self.rows.items():
-                for rows, counts in parts:
-                    yield self.batch(lang, length, rows, counts)
-            self.__init__(self.limit)
-
-    def batch(self, lang: str, length: int, rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        words = pa.array(self.spelled, pa.binary()).cast(pa.string())
-        hashes = np.array([xxhash.xxh64_intdigest(x) % SEGMENTS for x in self.spelled], dtype=np.int64)
-        hashes[0] = 0
-        prefix, follows = _numbered(rows[:, :-1]), rows[:, -1]
-        group = prefix * SEGMENTS + hashes[follows]
-        order = np.argsort(group, kind="stable")
-        head = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-        first, offsets = order[head], pa.array(np.append(head, len(order)).astype(np.int32))
-        texts = [words.take(pa.array(rows[first, k])) for k in range(length - 1)]
-        return pa.RecordBatch.from_pydict({
-            "n_words": pa.array(np.full(len(head), length, dtype=np.int32)), "lang": pa.array([lang] * len(head), pa.string()),
-            "prefix": pc.binary_join_element_wise(*texts, " ") if texts else pa.array([""] * len(head), pa.string()),
-            "segment": pa.array(hashes[follows[first]].astype(np.int32)),
-            "next": pa.ListArray.from_arrays(offsets, words.take(pa.array(follows[order]))),
-            "count": pa.ListArray.from_arrays(offsets, pa.array(counts[order])),
-        })
-
+    total = np.add.reduceat(counts[order], first)
+    held = total >= least
+    return pa.table({"key": wordhash.signed(keys[first[held]]), "n": total[held].astype(np.int64)})
 
-def _numbered(columns: np.ndarray) -> np.ndarray:
-    """A number for each row, equal for equal rows; made column by column, so that numbers stay small."""
-    out = np.zeros(len(columns), dtype=np.int64)
-    for column in columns.T:
-        out = np.unique(out << 32 | column, return_inverse=True)[1]
-    return out
 
-
-def _stripes(batches: Iterator[pa.RecordBatch], longest: int, bits: np.ndarray, slice_bytes: int, task_rows: int) -> Iterator[pa.RecordBatch]:
-    """Stripes of the phrases that pass: words of a phrase, lang, prefix, segment, next words, counts."""
-    made = _Stripes(task_rows)
+def _spelled(
+    batches: Iterator[pa.RecordBatch], longest: int, wanted: np.ndarray, classes: list[tuple[np.ndarray, float]], slice_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """Words of wanted phrases: n_words, lang, prefix, next, key. Each class has a bitmap and the share of slices that spell its phrases."""
     for lang, w, spelled in _by_language(batches, slice_bytes):
-        prefixes = np.ones(len(w.code), dtype=bool)
-        for length, inside, hashed in _phrases(w, spelled, lang, longest):
-            frequent = np.zeros(len(w.code), dtype=bool)
-            frequent[: len(inside)] = inside & passes(bits, hashed << U(64 - HASH_BITS))
-            at, goes_on = np.flatnonzero(prefixes), np.flatnonzero(prefixes & frequent)
-            if len(at):
-                totals = np.stack([*(w.code[at + k] + 1 for k in range(length - 1)), np.zeros(len(at), dtype=np.int32)], axis=1)
-                entries = np.stack([w.code[goes_on + k] + 1 for k in range(length)], axis=1)
-                rows = np.concatenate([totals, entries])
-                _, first, count = np.unique(_numbered(rows), return_index=True, return_counts=True)
-                rows = rows[first]
-                number = np.append(0, made.numbers(w.words, rows[rows > 0] - 1)).astype(np.int32)
-                made.add(lang, number[rows], count.astype(np.int64))
-            prefixes = frequent
-        yield from made.take()
-    yield from made.take(last=True)
+        words, slice_salt = w.words.cast(pa.string()), mix(spelled[w.code[:1]] + U(len(w.code)))
+        for length, at, key in _phrases(w, spelled, lang, longest):
+            held = passes(wanted, key)
+            key, first = np.unique(key[held], return_index=True)
+            at = at[held][first]
+            if not len(key):
+                continue
+            lot = (mix(key ^ slice_salt) >> U(11)).astype(np.float64) * 2.0**-53
+            drawn = np.zeros(len(key), dtype=bool)
+            for bits, share in classes:
+                some = np.flatnonzero(~drawn & (lot < share))
+                drawn[some[passes(bits, key[some])]] = True
+            at, key = at[drawn], key[drawn]
+            texts = [words.take(pa.array(w.code[at + k])) for k in range(length)] if len(key) else []
+            empty = pa.array([""] * len(key), pa.string())
+            yield pa.RecordBatch.from_pydict({
+                "n_words": pa.array(np.full(len(key), length, dtype=np.int32)), "lang": pa.array([lang] * len(key), pa.string()),
+                "prefix": pc.binary_join_element_wise(*texts[:-1], " ") if len(texts) > 1 else empty, "next": texts[-1] if texts else empty,
+                "key": wordhash.signed(key),
+            })
 
 
 def frequent_stripes(docs: DataFrame, longest: int, least: int) -> DataFrame:
-    """lang, n_words, prefix, next, phrase and n: entries and totals of the merged stripes; a total has an empty next and phrase."""
+    """lang, n_words, prefix, next, phrase and n of the entries of the merged stripes; the empty phrase has 0 words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    bits = texts.sparkSession.sparkContext.broadcast(candidates(texts, longest, least))
-    stripes = texts.mapInArrow(
-        lambda x: _stripes(x, longest, bits.value, SLICE, TASK_ROWS),
-        "n_words int, lang string, prefix string, segment int, next array<string>, count array<long>",
-    )
-    keys = ["n_words", "lang", "prefix", "segment"]
-    merged = stripes.repartition(*keys).select(*keys, F.inline(F.arrays_zip("next", "count"))).groupBy(*keys, "next").agg(F.sum("count").alias("n"))
-    phrase = F.when(F.col("next") == "", "").when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    held = merged.where((F.col("n") >= least) | ((F.col("n_words") == 1) & (F.col("next") == "")))
-    return settle(held.select("lang", "n_words", "prefix", "next", phrase.alias("phrase"), "n"), "stripes")
+    spark = texts.sparkSession
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = texts.mapInArrow(lambda x: _runs(x, longest, parts, SLICE), "part int, n int, keys binary, counts binary")
+    entries = settle(runs.groupBy("part").applyInArrow(lambda t: _merged(t, least), "key long, n long"), "stripes")
+
+    def spell(classes: list[tuple[DataFrame, float]], name: str) -> DataFrame:
+        held = spark.sparkContext.broadcast([(bitmap(keys), share) for keys, share in classes])
+        wanted = spark.sparkContext.broadcast(bitmap(_all(keys for keys, _ in classes)))
+        found = texts.mapInArrow(
+            lambda x: _spelled(x, longest, wanted.value, held.value, SLICE), "n_words int, lang string, prefix string, next string, key long"
+        )
+        return settle(found.distinct().join(entries, "key"), name)
+
+    of_class = F.least(F.floor(F.log(F.col("n") / least) / math.log(4)), F.lit(CLASSES - 1))
+    classes = [(entries.where(of_class == c).select("key"), min(1.0, SPELLED / (least * 4.0**c))) for c in range(CLASSES)]
+    spelled = [spell(classes, "spelled")]
+    missing = settle(entries.join(spelled[0].select("key"), "key", "left_anti").select("key"), "unspelled")
+    if not missing.isEmpty():
+        spelled.append(spell([(missing, 1.0)], "spelled-rest"))
+    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    out = settle(_all(spelled).distinct().select("lang", "n_words", "prefix", "next", phrase.alias("phrase"), "n"), "phrases")
+    release(entries, missing, *spelled)
+    return out
+
+
+def _all(tables: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed: int = 80, top: int = 2000) -> DataFrame:
@@ -235,13 +181,13 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed: i
     A phrase goes if an extension by a word occurs in at least ``subsumed`` of 100 of its places.
     """
     stripes = frequent_stripes(docs, longest, least)
-    entries, totals = stripes.where("next <> ''"), stripes.where("next = ''")
+    entries = stripes.where("n_words > 0")
     found = entries.where("n_words > 1").select("lang", "phrase", "n_words", F.col("n").alias("a"), F.split("phrase", " ").alias("_w"))
     cuts = found.select("lang", "phrase", "a", "_w", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k")).select(
         "lang", "phrase", "a", "k", F.array_join(F.slice("_w", F.lit(1), F.col("k")), " ").alias("first"),
         F.array_join(F.slice("_w", F.col("k") + 1, F.size("_w")), " ").alias("rest"),
     )
-    cuts = cuts.join(totals.select("lang", F.col("prefix").alias("first"), F.col("n").alias("l")), ["lang", "first"])
+    cuts = cuts.join(entries.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     cuts = cuts.join(entries.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     score = F.expr("CAST(CAST(a AS DECIMAL(20, 0)) * 2000000 div (CAST(l AS DECIMAL(20, 0)) + r) AS LONG)")
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"))
@@ -253,7 +199,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, subsumed: i
     )
     order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    n = totals.where("n_words = 1").select("lang", "n")
+    n = stripes.where("n_words = 0").select("lang", "n")
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "c.l", "c.r", "n", "c.score")
 
 

@@ -116,23 +116,28 @@ def phrase_rows():
     return rows
 
 
-@pytest.mark.parametrize(("least", "subsumed", "top", "held"), [(5, 80, 2000, 1_000_000), (10, 50, 7, 300), (1, 80, 100, 5000)])
-def test_phrases_equal_brute_force(spark, monkeypatch, least, subsumed, top, held):
-    """With slices of a few texts, and with stripes that leave a task early."""
+@pytest.mark.parametrize(("least", "subsumed", "top", "spelled"), [(5, 80, 2000, 16), (10, 50, 7, 0.5), (1, 80, 100, 16), (5, 80, 2000, 0.001)])
+def test_phrases_equal_brute_force(spark, monkeypatch, least, subsumed, top, spelled):
+    """With slices of a few texts, and with phrases that the first spelling misses."""
     monkeypatch.setattr(collocations, "SLICE", 2000)
-    monkeypatch.setattr(collocations, "TASK_ROWS", held)
+    monkeypatch.setattr(collocations, "SPELLED", spelled)
     rows = phrase_rows()
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "lang string, text string, phrase string")
     got = collocations.collocations(docs, 4, least, subsumed, top).collect()
     assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == brute_phrases(rows, least, subsumed, top)
 
 
-def test_totals_of_stripes_are_counts_of_prefixes(spark):
-    docs = spark.createDataFrame(phrase_rows(), "lang string, text string")
-    held = collocations.frequent_stripes(docs, 3, 5)
-    entries = {(r.lang, r.phrase): r.n for r in held.where("next <> ''").collect()}
-    totals = {(r.lang, r.prefix): r.n for r in held.where("next = '' AND n_words > 1").collect()}
-    assert totals and all(entries[k] == n for k, n in totals.items())
+def test_stripes_hold_every_frequent_phrase_once(spark):
+    rows = phrase_rows()
+    held = collocations.frequent_stripes(spark.createDataFrame(rows, "lang string, text string"), 3, 5).collect()
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
+            w = re.findall("[^ \t]+", piece)
+            want[lang or "und", ""] += len(w)
+            want.update((lang or "und", " ".join(w[i : i + m])) for m in (1, 2, 3) for i in range(len(w) - m + 1))
+    assert sorted((r.lang, r.phrase, r.n) for r in held) == sorted((*k, n) for k, n in want.items() if n >= 5)
+    assert all(r.n_words == len(r.phrase.split(" ")) if r.phrase else r.n_words == 0 for r in held)
 
 
 def test_phrases_of_empty_tables(spark):
