@@ -123,7 +123,7 @@ def _spelled(
     for lang, w, spelled in _by_language(batches, slice_bytes):
         words, slice_salt = w.words.cast(pa.string()), mix(spelled[w.code[:1]] + U(len(w.code)))
         for length, at, key in _phrases(w, spelled, lang, longest):
-            held = passes(wanted, key)
+            held = passes(wanted, key << U(PREFIX_BITS))
             key, first = np.unique(key[held], return_index=True)
             at = at[held][first]
             if not len(key):
@@ -132,7 +132,7 @@ def _spelled(
             drawn = np.zeros(len(key), dtype=bool)
             for bits, share in classes:
                 some = np.flatnonzero(~drawn & (lot < share))
-                drawn[some[passes(bits, key[some])]] = True
+                drawn[some[passes(bits, key[some] << U(PREFIX_BITS))]] = True
             at, key = at[drawn], key[drawn]
             texts = [words.take(pa.array(w.code[at + k])) for k in range(length)] if len(key) else []
             empty = pa.array([""] * len(key), pa.string())
@@ -152,6 +152,8 @@ def frequent_stripes(docs: DataFrame, longest: int, least: int) -> DataFrame:
     entries = settle(runs.groupBy("part").applyInArrow(lambda t: _merged(t, least), "key long, n long"), "stripes")
 
     def spell(classes: list[tuple[DataFrame, float]], name: str) -> DataFrame:
+        # bitmaps go by the first bits they are given, so they are given those of the phrase
+        classes = [(keys.select(F.shiftleft("key", PREFIX_BITS)), share) for keys, share in classes]
         held = spark.sparkContext.broadcast([(bitmap(keys), share) for keys, share in classes])
         wanted = spark.sparkContext.broadcast(bitmap(_all(keys for keys, _ in classes)))
         found = texts.mapInArrow(
