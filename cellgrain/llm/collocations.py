@@ -3,7 +3,7 @@
 Stripes are packed. The key of an entry is 64 bits: 24 of its prefix, then 40 of the whole phrase, so that in the order of
 keys the entries of a prefix stand together as its stripe. A scan of the texts makes a run of stripes, with counts, of every
 slice (about 6 bytes a distinct phrase), for all phrase lengths at once; the empty phrase counts all words. Runs are
-dealt by ranges of keys, so that the stripe of a frequent prefix, above all the empty one, is spread over tasks, and merged
+dealt by prefix and phrase together, so that each stripe, above all that of the empty prefix, is spread over tasks, and merged
 elementwise: counts of equal keys add up. Entries under ``least`` go.
 
 In the merged stripes an entry is the count of an extension, that is of a phrase one word longer than its prefix, and the prefix's
@@ -46,7 +46,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = byte_class((0, 255)) & ~_BREAK
 _WORD[[0x20, 0x09]] = False
-#: Bytes of text that are worked on together, and parts of the range of keys for each shuffle partition; a part is summed in one task.
+#: Bytes of text that are worked on together, and parts that keys are dealt to for each shuffle partition; a part is summed in one task.
 SLICE, PARTS = 4 << 20, 8
 #: Bits of a key that its prefix gives; how often a phrase is spelled on average; classes of counts, each four times the one before.
 PREFIX_BITS, SPELLED, CLASSES = 24, 16, 10
@@ -90,10 +90,13 @@ def _unplaned(held: bytes, n: int) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], longest: int, parts: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Per slice and part of the range of keys a run of stripes: keys in order (as differences) with their counts."""
+    """Per slice and part a run of stripes: keys in order (as differences) with their counts."""
     for lang, w, spelled in _by_language(batches, slice_bytes):
         keys, counts = np.unique(np.concatenate([key for _, _, key in _phrases(w, spelled, lang, longest)]), return_counts=True)
-        part = (keys >> U(40)) * U(parts) >> U(24)
+        # the prefix's place turned by the phrase's: a stripe goes over all parts, and lies in order in each
+        part = (((keys >> U(40)) * U(parts) >> U(24)) + (((keys >> U(16)) & U(0xFFFFFF)) * U(parts) >> U(24))) % U(parts)
+        order = np.argsort(part, kind="stable")
+        keys, counts, part = keys[order], counts[order], part[order]
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(keys)).tolist()
         begins = [0, *ends[:-1]]
         yield pa.RecordBatch.from_pydict({
