@@ -41,6 +41,8 @@ class CorrelationOptions:
 
 # Columns whose co-moments are summed together: 3 * BLOCK numbers per row, (3 * BLOCK) ** 2 / 2 per task.
 BLOCK = 400
+# Up to so many columns the pairs of a row are fewer than what a vector of it costs.
+FEW = 8
 # A variance this small beside the mean square may have lost digits to the sums; such pairs are measured again.
 DOUBTFUL = 1e-6
 
@@ -73,19 +75,22 @@ def _gram(numbers: DataFrame, fields: Sequence[str], centres: Sequence[tuple[flo
     return RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "v"), 0, 3 * len(fields)).computeGramianMatrix().toArray()
 
 
-def _measured(numbers: DataFrame, fields: Sequence[str], pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float | None]:
-    """r of some pairs by Spark's own covariance and variances; a row fans out to the pairs inside its task."""
+def _measured(numbers: DataFrame, fields: Sequence[str], pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, float]]:
+    """Complete rows and r of some pairs by Spark's own covariance and variances; a row fans out to the pairs inside its task."""
     cells = numbers.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), ref(fields[i]).alias("a"), ref(fields[j]).alias("b")) for i, j in pairs
     ])))
     folded = cells.where("a IS NOT NULL AND b IS NOT NULL").groupBy("i", "j").agg(
-        F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a")) * F.sqrt(F.var_pop("b"))).alias("r")
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a")) * F.sqrt(F.var_pop("b"))).alias("r")
     )
-    return {(r["i"], r["j"]): r["r"] for r in folded.collect()}
+    found = {pair: (0, float("nan")) for pair in pairs}  # a row per pair at most
+    return found | {(r["i"], r["j"]): (r["n"], float("nan") if r["r"] is None else r["r"]) for r in folded.collect()}
 
 
 def _pair_values(numbers: DataFrame, fields: Sequence[str]) -> dict[tuple[int, int], tuple[int, float]]:
     """Complete rows and r of every pair (i, j) of columns."""
+    if len(fields) <= FEW:
+        return _measured(numbers, fields, list(combinations(range(len(fields)), 2)))
     centres = _centres(numbers, fields)
     found: dict[tuple[int, int], tuple[int, float]] = {}
     doubtful: list[tuple[int, int]] = []
@@ -106,9 +111,7 @@ def _pair_values(numbers: DataFrame, fields: Sequence[str]) -> dict[tuple[int, i
             found[pair] = (int(round(n[p, q])), float(r[p, q]))
             if n[p, q] >= 2 and (unsure[p, q] or unsure[q, p]):
                 doubtful.append(pair)
-    for pair, r in (_measured(numbers, fields, sorted(set(doubtful))) if doubtful else {}).items():
-        found[pair] = (found[pair][0], float("nan") if r is None else r)
-    return found
+    return found | (_measured(numbers, fields, sorted(set(doubtful))) if doubtful else {})
 
 
 def correlation_pairs(
@@ -116,7 +119,7 @@ def correlation_pairs(
 ) -> DataFrame:
     """Every unordered pair with r over rows where both sides are numbers.
 
-    Fewer than two such rows or a constant side give 0.  Two scans serve up to ``BLOCK``
+    Fewer than two such rows or a constant side give 0.  Up to ``FEW`` fields are folded pair by pair in one scan.  Two scans serve up to ``BLOCK``
     fields, a middle and a range of each first, then one matrix of co-moments per task; the sums of all pairs come to the
     driver, which is a number per two columns.  More fields take a scan per pair of half blocks.
     """

@@ -54,7 +54,18 @@ def test_correlation_of_two_hundred_columns(spark):
     assert all(abs(r - want[k]) < 1e-9 for k, r in got.items())
 
 
-def test_correlation_of_huge_numbers_and_few_columns(spark):
+@pytest.mark.parametrize("few", [0, 8])
+def test_correlation_of_huge_numbers_and_few_columns(spark, monkeypatch, few):
+    monkeypatch.setattr(correlation, "FEW", few)
+    y = np.random.default_rng(8).normal(size=(50, 5))
+    y[:, 1] += y[:, 0]
+    y[:20, 2], y[20:, 3], y[:, 4] = np.nan, np.nan, 2.5
+    got = {(r.i, r.j): (r.valid_count, r.r) for r in correlation.correlation_pairs(frame(spark, y), [f"c {k}" for k in range(5)]).collect()}
+    assert got == {k: (n, pytest.approx(r, abs=1e-9)) for k, (n, r) in pairwise(y).items()}
+
+
+def test_correlation_of_numbers_near_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "FEW", 0)
     x = np.array([[1e308, 2e307], [-1e308, -3e307], [5e307, 1e307], [0.0, 5e306]])
     got = correlation.correlation_pairs(frame(spark, x), ["c 0", "c 1"]).first()
     assert got.r == pytest.approx(np.corrcoef((x / 1e307).T)[0, 1])
