@@ -25,6 +25,12 @@ EXCLUDED_ROLES = ("identity", "adjustment", "textMeta", "invalid", "unknown")
 METRIC_ROLES = ("primaryTotal", "sectionTotal", "courseScore", "rank", "adjustment", "metric")
 ID_WORDS = ("身份证号", "编号", "id", "订单", "用户", "商品", "编码")
 
+# Warnings shown to users.
+WARN_TOO_FEW_FIELDS = "可分析的数值字段不足 2 个，无法计算相关性。"
+WARN_FEW_ROWS = "数据行数较少（{n} 行），相关性结果可能不稳定。"
+WARN_IDS = "已排除 {n} 个标识符字段（如学号、ID等）。"
+WARN_CONSTANT = "已排除 {n} 个常量字段。"
+
 PAIR_SCHEMA = (
     "i int, j int, field_a string, field_b string, valid_count bigint, r double, "
     "pearson double, strength string, direction string, listed boolean"
@@ -264,14 +270,14 @@ def correlation_warnings(candidates: DataFrame, min_valid: int = 5, rows: int |
         F.count_if(F.col("status") == "constant").alias("constant"),
     ).first()
     if n["keep"] < 2:
-        return ["可分析的数值字段不足 2 个，无法计算相关性。"]
+        return [WARN_TOO_FEW_FIELDS]
     out = []
     if rows is not None and rows < min_valid:
-        out.append(f"数据行数较少（{rows} 行），相关性结果可能不稳定。")
+        out.append(WARN_FEW_ROWS.format(n=rows))
     if n["ids"]:
-        out.append(f"已排除 {n['ids']} 个标识符字段（如学号、ID等）。")
+        out.append(WARN_IDS.format(n=n["ids"]))
     if n["constant"]:
-        out.append(f"已排除 {n['constant']} 个常量字段。")
+        out.append(WARN_CONSTANT.format(n=n["constant"]))
     return out
 
 
