@@ -371,29 +371,26 @@ def attach_by_value(
     """Left-join per-value results (unique in ``mark``) to rows, without a hot shuffle key.
 
     ``hot`` flags the values of :func:`is_hot`: at most HOT_MOST of them, broadcast.  All other rows meet their value in a shuffle
-    join; rows already answered travel under spread-out keys that match nothing.
+    join; rows already answered travel under spread-out keys that match nothing.  The place is computed on both sides: a literal
+    there would be folded into a mere condition, and all answered rows would meet under the null value.
     """
     picked = marks.withColumn("_is_hot", F.coalesce(hot, F.lit(False)))
     few = F.broadcast(picked.where("_is_hot").select(
         F.col(mark).alias("_hot_mark"), *[F.col(c).alias(f"_hot_{c}") for c in columns]
     ))
     many = picked.where("NOT _is_hot").select(
-        F.col(mark).alias("_mark"), F.lit(0).cast("bigint").alias("_none"),
+        F.col(mark).alias("_mark"), F.xxhash64(F.col(mark).cast("double")).alias("_mark_place"),
         *[F.col(c).alias(f"_cold_{c}") for c in columns],
     )
     keyed = df.withColumn("_value", value + F.lit(0.0))
     first = keyed.join(few, F.col("_value") == F.col("_hot_mark"), "left")
     done = F.col("_hot_mark").isNotNull() | F.col("_value").isNull()
     # content hash plus partition number: stable when a lost task is run again
-    spread = F.pmod(
-        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-        + F.spark_partition_id().cast("bigint") * F.lit(7919),
-        F.lit(1024),
-    )
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20))
     second = (
-        first.withColumn("_spread", F.when(done, spread).otherwise(F.lit(0)).cast("bigint"))
+        first.withColumn("_place", F.when(done, spread).otherwise(F.xxhash64(F.col("_value").cast("double"))))
         .withColumn("_key", F.when(~done, F.col("_value")))
-        .join(many, (F.col("_key") == F.col("_mark")) & (F.col("_spread") == F.col("_none")), "left")
+        .join(many, (F.col("_key") == F.col("_mark")) & (F.col("_place") == F.col("_mark_place")), "left")
     )
     return second.select(
         *[F.col(f"`{c}`") for c in df.columns],

@@ -174,3 +174,23 @@ def test_catalog_plans_at_scale_for_the_rows_there_are(spark, monkeypatch):
     base.at_scale("sized")
     base.QUERIES["sized_at_scale"](spark, "")
     assert seen == [3_000_000]
+
+
+def test_answered_rows_share_no_task(spark):
+    i = F.col("id")
+    df = spark.range(0, 4000, 1, 4).select("id", F.when(i % 10 == 0, F.lit(None)).when(i % 10 == 1, i).otherwise(i % 2).cast("double").alias("v"))
+    marks = df.where("v IS NOT NULL").groupBy(F.col("v").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = ordering.attach_by_value(df, F.col("v"), marks, "m", F.col("n") > 100, ["n"]).select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    times = {}
+    for r in got:
+        times[r.v] = times.get(r.v, 0) + (r.v is not None)
+    assert sorted(r.id for r in got) == list(range(4000)) and all(r.n == (times[r.v] or None) for r in got)
+    sizes = [sum(r.part == p for r in got) for p in {r.part for r in got}]
+    assert len(sizes) == 8 and max(sizes) < 1000
