@@ -84,8 +84,9 @@ def day_state(
 ) -> DataFrame:
     """Mergeable state per (source, day): sums, and bitmaps of whole-numbered orders and customers.
 
-    ``(source_system, dt, kind, bucket, bits, sales, quantity)``: a row of sums for each day, and a bitmap of 32 768 numbers for each
-    bucket of orders or customers that the day has.  States of parts of the data are put together by
+    ``(source_system, dt, kind, bucket, bits, sales, quantity)``: a row of sums for each day, and a bitmap of 64 numbers (a long) for each
+    bucket of orders or customers that the day has, so a state has at most a short row per row of the data, however thinly a
+    day's numbers lie.  States of parts of the data are put together by
     :func:`merge_states` and counted for any period by :func:`overview_of_state`; no row is counted anew.
     """
     lines = df.select(
@@ -93,13 +94,14 @@ def day_state(
         customer.cast("bigint").alias("customers"), sales.cast("double").alias("sales"), quantity.cast("double").alias("quantity"),
     )
     state = lines.groupBy("source_system", "dt").agg(F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")).select(
-        "source_system", "dt", F.lit("sums").alias("kind"), F.lit(0).cast("bigint").alias("bucket"), F.lit(None).cast("binary").alias("bits"),
+        "source_system", "dt", F.lit("sums").alias("kind"), F.lit(0).cast("bigint").alias("bucket"), F.lit(None).cast("bigint").alias("bits"),
         "sales", "quantity",
     )
     for kind in ("orders", "customers"):
-        bucket = F.bitmap_bucket_number(F.col(kind)).alias("bucket")
+        bucket = F.shiftright(kind, 6).alias("bucket")
         held = lines.where(F.col(kind).isNotNull()).groupBy("source_system", "dt", bucket)
-        bits = held.agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(kind))).alias("bits"))
+        # the low 6 bits of a number are its place in the bitmap, the others its bucket; so below zero, too
+        bits = held.agg(F.bit_or(F.expr(f"shiftleft(1L, cast({kind} & 63 AS int))")).alias("bits"))
         state = state.unionByName(bits.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
     return state
 
@@ -109,8 +111,11 @@ def merge_states(*states: DataFrame) -> DataFrame:
     every = states[0]
     for state in states[1:]:
         every = every.unionByName(state)
-    return every.groupBy("source_system", "dt", "kind", "bucket").agg(
-        F.bitmap_or_agg("bits").alias("bits"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
+    keys = ("source_system", "dt", "kind", "bucket")
+    # by number: state rows compress so well that partitions put together by their bytes would hold millions of them
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.repartition(parts, *keys).groupBy(*keys).agg(
+        F.bit_or("bits").alias("bits"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
     )
 
 
@@ -119,7 +124,7 @@ def overview_of_state(state: DataFrame, period: Column | None = None, by_source:
     keys = ["source_system", "period"] if by_source else ["period"]
     placed = state.withColumn("period", F.col("dt") if period is None else period)
     merged = placed.groupBy(*keys, "kind", "bucket").agg(
-        F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
+        F.bit_count(F.bit_or("bits")).alias("n"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity")
     )
     got = merged.groupBy(*keys).agg(
         F.sum("sales").alias("total_sales"),

@@ -82,6 +82,22 @@ def test_states_merge_to_the_same_counts(spark):
             k: [v, len(o), len(c), q] for k, (v, o, c, q) in want.items()}
 
 
+def test_states_of_thin_days_stay_small(spark):
+    # every number lies far from the others of its day, or at the edge of a bitmap
+    ids = [i * 40_000 for i in range(300)] + [63, 64, 127, -1, -63, -64, -65, 2**63 - 1, -(2**63)]
+    rows = [("a", date(2024, 1, 1) + timedelta(k % 5), i, -i - 1, 1.0, 2.0) for k, i in enumerate(ids * 2)]
+    df = spark.createDataFrame(rows, "s string, d date, o long, c long, v double, q double")
+    named = dict(source=F.col("s"), day=F.col("d"), order_id=F.col("o"), customer=F.col("c"), sales=F.col("v"), quantity=F.col("q"))
+    state = timeseries.merge_states(timeseries.day_state(df.where("o % 2 = 0"), **named), timeseries.day_state(df.where("o % 2 <> 0"), **named))
+    sizes = [len(r[0]) for r in state.select(F.to_json(F.struct("bits"))).collect()]
+    assert len(sizes) <= 2 * len(rows) + 5 and sum(sizes) <= 40 * len(sizes)
+    whole = timeseries.overview_of_state(state, F.lit("all"), False).first()
+    assert (whole.total_orders, whole.total_customers, whole.total_sales, whole.total_quantity) == (len(ids), len(ids), len(rows), 2 * len(rows))
+    for r in timeseries.overview_of_state(state).collect():
+        of_day = {x[2] for x in rows if x[1] == r.period}
+        assert (r.total_orders, r.total_customers) == (len(of_day), len(of_day))
+
+
 @pytest.mark.parametrize("shape", ["skewed", "flat", "few", "none"])
 def test_most_frequent_values(spark, shape):
     rng = random.Random(1)
