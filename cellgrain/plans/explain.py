@@ -109,6 +109,46 @@ def field_profile(
     )
 
 
+# Up to so many fields a record's percentiles are columns of its row until the end; those of more fields are gathered in lists.
+FEW_FIELDS = 16
+
+
+def _in_columns(held: DataFrame, own: Sequence[str], marks: DataFrame, n: int) -> DataFrame:
+    """``own`` and the percentiles ``_p0``, ``_p1``, ... of each record of ``held``.
+
+    Hot values are looked up in the record's own row; only the others leave it to meet theirs, and come back by record.
+    """
+    # read once per field; the hot values of all fields, so few
+    few = ordering.fixed(marks.where("_hot").coalesce(1))
+    names = [f"_p{k}" for k in range(n)]
+    for k in range(n):
+        mine = few.where(F.col("_field") == k).select(F.col("_value").alias("_mark"), F.col("_percentile").alias(names[k]))
+        held = held.join(F.broadcast(mine), F.col(f"_v{k}") + F.lit(0.0) == F.col("_mark"), "left").drop("_mark")
+    cold = held.select(*own, F.inline(F.array(*[
+        F.struct(F.lit(k).alias("_field"), F.when(F.col(names[k]).isNull(), F.col(f"_v{k}") + F.lit(0.0)).alias("_value")) for k in range(n)
+    ]))).where("_value IS NOT NULL")
+    found = cold.join(marks.where("NOT _hot").drop("_hot"), ["_field", "_value"]).select(
+        *own, *[F.when(F.col("_field") == k, F.col("_percentile")).alias(names[k]) for k in range(n)]
+    )
+    # records meet before they are merged: the tasks before the exchange hold hardly any record twice
+    return held.select(*own, *names).unionByName(found).repartition("_record").groupBy(*own).agg(*[F.max(p).alias(p) for p in names])
+
+
+def _in_lists(cells: DataFrame, own: Sequence[str], marks: DataFrame, n: int) -> DataFrame:
+    """As :func:`_in_columns`, from cells."""
+    found = ordering.attach_by_keys(
+        cells.where("_value IS NOT NULL"), ["_field", "_value"], marks, F.col("_hot"), ["_percentile"]
+    )
+    missing = cells.where("_value IS NULL").withColumn("_percentile", F.lit(None).cast("double"))
+    # one entry per field
+    got = found.unionByName(missing).groupBy(*own).agg(F.collect_list(
+        F.when(F.col("_percentile").isNotNull(), F.struct("_field", "_percentile"))
+    ).alias("_found"))
+    return got.select(*own, *[
+        F.get(F.filter("_found", lambda e: e["_field"] == F.lit(k)), F.lit(0))["_percentile"].alias(f"_p{k}") for k in range(n)
+    ])
+
+
 def record_profiles(
     df: DataFrame, fields: Sequence[str], directions: Mapping[str, str] | None = None,
     ids: Sequence[str] = ("_row_id",), best: int = 2, *, rows: int | None = None,
@@ -141,34 +181,31 @@ def record_profiles(
         "_field", "_value", (within / F.col("n_total") * 100.0).alias("_percentile"),
         ordering.is_hot(F.col("n_equal"), F.col("n_total")).alias("_hot"),
     ))
-    found = ordering.attach_by_keys(
-        cells.where("_value IS NOT NULL"), ["_field", "_value"], marks, F.col("_hot"), ["_percentile"]
-    )
-    missing = cells.where("_value IS NULL").withColumn("_percentile", F.lit(None).cast("double"))
-    # one entry per field
-    entry = F.struct("_field", (-F.col("_percentile")).alias("key"), F.col("_value").alias("value"))
-    got = found.unionByName(missing).groupBy(*own).agg(F.array_sort(F.collect_list(
-        F.when(F.col("_percentile").isNotNull(), entry)
-    )).alias("_in_order"))
-    names = F.array(*[F.lit(f) for f in fields])
-    order = F.array_sort(F.transform("_in_order", lambda e: F.struct(e["key"].alias("key"), e["_field"].alias("field"))))
-    got = got.withColumns({"_order": order, "field_count": F.size("_in_order")})
-    first = F.slice("_order", 1, best)
-    last = F.reverse(F.slice("_order", F.greatest(F.lit(1), F.col("field_count") - best + 1), best))
-
-    def named(part: Column) -> Column:
-        return F.when(F.col("field_count") >= 2, F.transform(part, lambda e: F.get(names, e["field"])))
-
-    def shares(part: Column) -> Column:
-        return F.when(F.col("field_count") >= 2, F.transform(part, lambda e: -e["key"]))
-
-    total = F.aggregate("_in_order", F.lit(0.0), lambda acc, e: acc - e["key"])
+    if len(fields) <= FEW_FIELDS:
+        got = _in_columns(held, own, marks, len(fields))
+    else:
+        got = _in_lists(cells, own, marks, len(fields))
+    percentiles = [F.col(f"_p{k}") for k in range(len(fields))]
+    # highest first, then by the order of the fields; fields without a number come last
+    order = F.sort_array(F.array(*[
+        F.when(p.isNotNull(), F.struct(p.alias("share"), F.lit(-k).alias("at"), F.lit(f).alias("name")))
+        for k, (p, f) in enumerate(zip(percentiles, fields, strict=True))
+    ]), asc=False)
+    total = F.aggregate(F.array(*percentiles), F.lit(0.0), lambda acc, p: acc + F.coalesce(p, F.lit(0.0)))
+    got = got.withColumns({"_order": order, "field_count": F.size(F.array_compact(F.array(*percentiles)))})
+    n, most = F.col("field_count"), F.least(F.lit(best), F.col("field_count"))
+    first = F.slice("_order", F.lit(1), most)
+    last = F.reverse(F.slice("_order", F.greatest(F.lit(1), n - best + 1), most))
+
+    def of(part: Column, name: str) -> Column:
+        return F.when(n >= 2, part[name])
+
     return got.select(
         *[F.col(f"_id{k}").alias(i) for k, i in enumerate(ids)],
-        *[(-F.get(F.filter("_in_order", lambda e: e["_field"] == F.lit(k)), F.lit(0))["key"]).alias(f"percentile_{f}") for k, f in enumerate(fields)],
-        "field_count", named(first).alias("advantages"), shares(first).alias("advantage_percentiles"),
-        named(last).alias("weaknesses"), shares(last).alias("weakness_percentiles"),
-        F.try_divide(total, F.col("field_count")).alias("average_percentile"),
+        *[p.alias(f"percentile_{f}") for p, f in zip(percentiles, fields, strict=True)],
+        "field_count", of(first, "name").alias("advantages"), of(first, "share").alias("advantage_percentiles"),
+        of(last, "name").alias("weaknesses"), of(last, "share").alias("weakness_percentiles"),
+        F.try_divide(total, n).alias("average_percentile"),
     )
 
 

@@ -107,6 +107,23 @@ def test_profiles_of_all_records(spark, monkeypatch, large):
             assert r.weakness_percentiles == [r[f"percentile_{f}"] for f in r.weaknesses]
 
 
+def test_profiles_of_few_fields_gather_no_cells(spark, monkeypatch):
+    i = F.col("id")
+    values = [F.when(i % 7 != 0, i % 3), F.when(i % 11 != 0, i * 7919 % 1009), F.when(i % 7 != 0, (i % 2) * -0.0), F.lit(None)]
+    df = spark.range(0, 3000, 1, 3).select((i % 100).alias("_row_id"), *[v.cast("double").alias(f"f{k}") for k, v in enumerate(values)])
+    fields, low = [f"f{k}" for k in range(4)], {"f1": "lower_is_better"}
+    monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
+    got = explain.record_profiles(df, fields, low, best=3)
+    # hot values stay in their row; a list per record would be sorted cell by cell
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(explain, "FEW_FIELDS", 0)
+    lists = explain.record_profiles(df, fields, low, best=3)
+    assert got.columns == lists.columns and got.count() == 3000
+    rows = sorted(map(repr, got.collect()))
+    assert rows == sorted(map(repr, lists.collect()))
+    assert {r.field_count for r in got.collect()} == {0, 1, 2, 3} and max(len(r.advantages or []) for r in got.collect()) == 3
+
+
 def test_profiles_of_records_shuffle_as_often_for_many_fields(spark):
     df = spark.range(50).select(F.col("id").alias("_row_id"), *[(F.col("id") * k % 11).cast("double").alias(f"f{k}") for k in range(1, 13)])
 
